@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from failwatch.functions import metrics, text
@@ -9,12 +11,18 @@ from failwatch.operators import history
 from failwatch.settings import DEFAULTS, EXTRA_SENTENCES, FAILURE_SENTENCES, Settings
 from failwatch.storage import materialize
 
+TERM_GROUPS = 64
+
 
 def corpora(spark: SparkSession, sizes: list[int] | None = None) -> DataFrame:
     """(size, ref_id, text): the first ``size`` failure sentences, extra ones last."""
     sentences = FAILURE_SENTENCES + EXTRA_SENTENCES
-    rows = [(s, i, sentences[i]) for s in sizes or [len(FAILURE_SENTENCES)] for i in range(s)]
-    return spark.createDataFrame(rows, "size int, ref_id int, text string")
+    rows = [
+        F.struct(F.lit(s).alias("size"), F.lit(i).alias("ref_id"), F.lit(sentences[i]).alias("text"))
+        for s in sizes or [len(FAILURE_SENTENCES)]
+        for i in range(s)
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def keyword_layer(template: Column) -> tuple[Column, Column, Column]:
@@ -34,87 +42,109 @@ def _term_counts(df: DataFrame, keys: list[str], body: str) -> DataFrame:
     )
 
 
-def term_weights(
-    templates: DataFrame, corpus: DataFrame, settings: Settings = DEFAULTS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """TF-IDF fitted on the distinct templates and each corpus size.
+@dataclass(frozen=True)
+class TermModel:
+    """TF-IDF fitted on the distinct templates and the sentences of each corpus size.
 
-    Returns the vocabulary (size, term, idf) and the unit-length weights of the
-    templates (size, log_template, term, weight) and of the sentences
-    (size, ref_id, term, weight). Terms of templates are counted once for all sizes; a
-    size adds only its few sentences to the totals.
+    ``template_terms`` (log_template, term, tf); ``vocabulary`` (size, term, idf, refs) with
+    the unit weight of the term in every sentence. The vocabulary has at most
+    ``vocabulary_size`` terms per corpus size, whatever the data, so it can be broadcast.
     """
-    sizes = corpus.groupBy("size").agg(F.count("*").alias("refs"))
-    template_terms = _term_counts(templates, ["log_template"], "log_template")
-    sentence_terms = _term_counts(corpus, ["size", "ref_id"], "text")
 
-    in_templates = template_terms.groupBy("term").agg(
-        F.sum("tf").alias("total"), F.count("*").alias("df")
-    )
-    in_sentences = sentence_terms.groupBy("size", "term").agg(
-        F.sum("tf").alias("total"), F.count("*").alias("df")
+    sizes: list[int]
+    template_terms: DataFrame
+    vocabulary: DataFrame
+
+
+def fit_terms(
+    templates: DataFrame, sizes: list[int] | None = None, settings: Settings = DEFAULTS
+) -> TermModel:
+    """Count the terms of the templates once; a size adds only its few sentences."""
+    sizes = sizes or [len(FAILURE_SENTENCES)]
+    counts = _term_counts(templates, ["log_template"], "log_template")
+    template_terms = materialize(counts, "template-terms")
+    sentence_terms = _term_counts(
+        corpora(templates.sparkSession, sizes), ["size", "ref_id"], "text"
     )
-    # One row per corpus size (six at most), so the term totals are copied that often.
-    totals = (
-        in_templates.join(F.broadcast(sizes.select("size")))
-        .select("size", "term", "total", "df")
-        .unionByName(in_sentences)
+    totals = [F.sum("tf").alias("total"), F.count("*").alias("df")]
+    every_size = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size")
+    summed = (
+        template_terms.groupBy("term").agg(*totals).select(every_size, "term", "total", "df")
+        .unionByName(sentence_terms.groupBy("size", "term").agg(*totals))
         .groupBy("size", "term")
         .agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     )
-    by_total = Window.partitionBy("size").orderBy(F.col("total").desc(), "term")
-    documents = templates.agg(F.count("*").alias("n_templates"))
-    vocabulary = (
-        totals.withColumn("_rank", F.row_number().over(by_total))
-        .where(F.col("_rank") <= settings.vocabulary_size)
-        .join(F.broadcast(sizes), "size")
-        .join(F.broadcast(documents))  # one row
-        .select(
-            "size",
-            "term",
-            (
-                F.log((1 + F.col("n_templates") + F.col("refs")) / (1 + F.col("df"))) + 1
-            ).alias("idf"),
-        )
+    # A corpus of ``size`` sentences adds that many documents.
+    documents = F.lit(templates.count()) + F.col("size")
+    terms = _most_frequent_terms(summed, settings.vocabulary_size).select(
+        "size", "term", (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    # At most vocabulary_size terms per corpus size, whatever the data.
-    lookup = F.broadcast(vocabulary)
-    return (
-        vocabulary,
-        _unit_weights(template_terms.join(lookup, "term"), ["size", "log_template"]),
-        _unit_weights(sentence_terms.join(lookup, ["size", "term"]), ["size", "ref_id"]),
+    terms = materialize(terms, "terms")
+    sentences = _unit_weights(
+        sentence_terms.join(F.broadcast(terms), ["size", "term"]), ["size", "ref_id"]
+    )
+    by_sentence = sentences.groupBy("size", "term").agg(
+        F.map_from_entries(F.collect_list(F.struct("ref_id", "weight"))).alias("_by_ref")
+    )
+    dense = F.transform(
+        F.sequence(F.lit(0), F.lit(max(sizes) - 1)),
+        lambda i: F.coalesce(F.try_element_at("_by_ref", i), F.lit(0.0)),
+    )
+    vocabulary = terms.join(by_sentence, ["size", "term"], "left").select(
+        "size", "term", "idf", dense.alias("refs")
     )
+    return TermModel(sizes, template_terms, materialize(vocabulary, "vocabulary"))
+
+
+def _most_frequent_terms(totals: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` most frequent terms per size, ties by term.
+
+    Ranked in hash groups first, so the last ranking only sees the leaders of each.
+    """
+    order = [F.col("total").desc(), F.col("term")]
+    group = F.pmod(F.xxhash64("term"), F.lit(TERM_GROUPS))
+    leaders = totals.withColumn("_group", group).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("size", "_group").orderBy(*order))
+    ).where(F.col("_rank") <= limit)
+    return leaders.withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("size").orderBy(*order))
+    ).where(F.col("_rank") <= limit).drop("_rank", "_group")
+
+
+def _raw_weight() -> Column:
+    return (1 + F.log("tf")) * F.col("idf")
 
 
 def _unit_weights(weighted: DataFrame, document: list[str]) -> DataFrame:
-    raw = (1 + F.log("tf")) * F.col("idf")
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*document)))
-    return weighted.withColumn("_raw", raw).select(
+    return weighted.withColumn("_raw", _raw_weight()).select(
         *document, "term", (F.col("_raw") / norm).alias("weight")
     )
 
 
-def template_similarity(
-    templates: DataFrame, corpus: DataFrame, settings: Settings = DEFAULTS
-) -> DataFrame:
+def term_weights(model: TermModel) -> DataFrame:
+    """Unit-length weights of the templates: (size, log_template, term, weight)."""
+    known = model.template_terms.join(F.broadcast(model.vocabulary), "term")
+    return _unit_weights(known, ["size", "log_template"])
+
+
+def template_similarity(templates: DataFrame, model: TermModel) -> DataFrame:
     """(size, log_template, similarity): largest cosine to any sentence, 0 if none.
 
-    An inverted-index join on the term: only sentences that share a term meet a
-    template. The sentence side has at most a few hundred rows, fixed by the corpus.
+    Only terms of the vocabulary take part. Length and all dot products of a template
+    come from one grouping, since the sentences are a fixed short list.
     """
-    _, of_templates, of_sentences = term_weights(templates, corpus, settings)
-    sentences = of_sentences.withColumnRenamed("weight", "ref_weight")
-    best = (
-        of_templates.join(F.broadcast(sentences), ["size", "term"])
-        .groupBy("size", "log_template", "ref_id")
-        .agg(F.sum(F.col("weight") * F.col("ref_weight")).alias("cosine"))
-        .groupBy("size", "log_template")
-        .agg(F.max("cosine").alias("similarity"))
+    known = model.template_terms.join(F.broadcast(model.vocabulary), "term").withColumn(
+        "_raw", _raw_weight()
     )
-    every = templates.join(F.broadcast(corpus.select("size").distinct()))
-    return every.join(best, ["size", "log_template"], "left").select(
-        "size", "log_template", F.coalesce("similarity", F.lit(0.0)).alias("similarity")
+    dots = [F.sum(F.col("_raw") * F.get("refs", F.lit(i))) for i in range(max(model.sizes))]
+    best = known.groupBy("size", "log_template").agg(
+        (F.greatest(F.lit(0.0), *dots) / F.sqrt(F.sum(F.col("_raw") * F.col("_raw")))).alias("similarity")
     )
+    every_size = F.explode(F.array(*[F.lit(s) for s in model.sizes])).alias("size")
+    return templates.select(every_size, "log_template").join(
+        best, ["size", "log_template"], "left"
+    ).select("size", "log_template", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def distinct_templates(df: DataFrame) -> DataFrame:
@@ -164,11 +194,11 @@ def fuse(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def fit_similarity(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(log_template, similarity) fitted on the templates of ``df``.
 
-    The model is a table of its own: the distinct templates are written first, since
-    counting, weighting and comparing all read them, and so is the result.
+    The model is a table of its own: templates, terms and vocabulary are written as they
+    are made, since counting, weighting and comparing all read them.
     """
     found = materialize(distinct_templates(df), "distinct-templates")
-    fitted = template_similarity(found, corpora(df.sparkSession), settings)
+    fitted = template_similarity(found, fit_terms(found, settings=settings))
     return materialize(fitted.select("log_template", "similarity"), "similarity")
 
 

@@ -28,9 +28,8 @@ def corpus_size_sweep(
         .agg(F.count_if(truth).alias("_pos"), F.count_if(~truth).alias("_neg")),
         "template-counts",
     )
-    similar = classify.template_similarity(
-        per_template.select("log_template"), classify.corpora(df.sparkSession, sizes), settings
-    )
+    found = per_template.select("log_template")
+    similar = classify.template_similarity(found, classify.fit_terms(found, sizes, settings))
     hit = classify.semantic_hit(F.col("similarity"), settings.semantic_threshold)
     counts = (
         similar.join(per_template, "log_template")

@@ -298,8 +298,7 @@ def cls1(spark, sf_dir):
     SELECT doc AS log_template, term, {r6('weight', 'weight')} FROM weight WHERE side = 't'"""))
 def cls2(spark, sf_dir):
     found = materialize(classify.distinct_templates(adapter.stages(spark, sf_dir).templated))
-    _, weights, _ = classify.term_weights(found, classify.corpora(spark))
-    return out(weights, "log_template", "term", "weight")
+    return out(classify.term_weights(classify.fit_terms(found)), "log_template", "term", "weight")
 
 
 @register("cls2_vocabulary_documents", r"""
@@ -315,8 +314,7 @@ def cls2_documents(spark, sf_dir):
         F.trim("line").alias("log_template")
     )
     found = materialize(classify.distinct_templates(lines.where(F.col("log_template") != "")))
-    vocabulary, _, _ = classify.term_weights(found, classify.corpora(spark))
-    return out(vocabulary, "term", "idf")
+    return out(classify.fit_terms(found).vocabulary, "term", "idf")
 
 
 @register("cls3_similarity", sql(P.SIMILARITY, f"SELECT log_template, {r6('similarity', 'similarity')} FROM similarity"))

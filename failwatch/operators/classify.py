@@ -147,6 +147,15 @@ def template_similarity(templates: DataFrame, model: TermModel) -> DataFrame:
     ).select("size", "log_template", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
+def frozen_similarity(templates: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(log_template, similarity) of new templates under a kept one-size vocabulary."""
+    sizes = [len(FAILURE_SENTENCES)]
+    terms = _term_counts(templates, ["log_template"], "log_template")
+    return template_similarity(templates, TermModel(sizes, terms, vocabulary)).select(
+        "log_template", "similarity"
+    )
+
+
 def distinct_templates(df: DataFrame) -> DataFrame:
     return df.select("log_template").where(F.col("log_template").isNotNull()).distinct()
 

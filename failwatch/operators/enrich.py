@@ -84,10 +84,9 @@ def audit_table(windows: DataFrame) -> DataFrame:
     return with_missing(windows, AUDIT_COLUMNS).select(*AUDIT_COLUMNS)
 
 
-def ml_table(windows: DataFrame, by: str = "stack") -> DataFrame:
-    """The ML projection of windows that carry their trend columns."""
-    rows = with_missing(windows, [c for c in ML_COLUMNS if c not in ("project_id", "label")])
-    rows = add_project_id(rows, by).withColumns(
+def ml_rows(windows: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """The ML columns of windows that carry trends and a project id."""
+    rows = with_missing(windows, [c for c in ML_COLUMNS if c != "label"]).withColumns(
         {
             "label": F.col("hybrid_label"),
             "failure_type": F.when(
@@ -97,4 +96,9 @@ def ml_table(windows: DataFrame, by: str = "stack") -> DataFrame:
             "incident_phase_2": F.lit(0),
         }
     )
-    return rows.select(*ML_COLUMNS)
+    return rows.select(*ML_COLUMNS, *keys)
+
+
+def ml_table(windows: DataFrame, by: str = "stack") -> DataFrame:
+    """The ML projection, project ids by first appearance of each ``by`` value."""
+    return ml_rows(add_project_id(windows, by))

@@ -58,11 +58,13 @@ def leaf_columns(df: DataFrame) -> DataFrame:
     ).drop("_tokens")
 
 
-def with_leaf(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def with_leaf(
+    df: DataFrame, settings: Settings = DEFAULTS, catalogue: DataFrame | None = None
+) -> DataFrame:
     """Add ``leaf`` and ``at``.
 
     A token count has a limited number of first tokens; those first seen after the
-    limit share the wildcard leaf.
+    limit share the wildcard leaf. Tokens of the catalogue were seen before all rows.
     """
     keyed = leaf_columns(df).withColumn("at", F.coalesce("ts_us", F.lit(_LAST)))
     firsts = (
@@ -70,7 +72,18 @@ def with_leaf(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         .groupBy("n_tokens", "first_token")
         .agg(F.min(F.struct("at", "seq")).alias("_from"))
     )
-    by_first = Window.partitionBy("n_tokens").orderBy("_from")
+    if catalogue is not None:
+        known = catalogue.select(
+            F.substring_index("leaf", " ", 1).cast("int").alias("n_tokens"),
+            F.expr("substring(leaf, length(substring_index(leaf, ' ', 1)) + 2)").alias("first_token"),
+        ).where(F.col("first_token") != WILDCARD).distinct()
+        earliest = F.struct(F.lit(-_LAST).alias("at"), F.lit(0).cast("bigint").alias("seq"))
+        firsts = (
+            firsts.unionByName(known.withColumn("_from", earliest))
+            .groupBy("n_tokens", "first_token")
+            .agg(F.min("_from").alias("_from"))
+        )
+    by_first = Window.partitionBy("n_tokens").orderBy("_from", "first_token")
     kept = (
         firsts.withColumn("_rank", F.row_number().over(by_first))
         .where(F.col("_rank") < settings.max_children)
@@ -278,7 +291,7 @@ def mine_templates(
     must identify a row.
     """
     base, highest = catalogue_base(catalogue)
-    rows = materialize(with_leaf(df, settings), "leaves")
+    rows = materialize(with_leaf(df, settings, catalogue), "leaves")
     events = materialize(_first_events(rows), "events")
     timeline, unsettled = None, rows.select("leaf").distinct()
     for _ in range(MAX_ROUNDS):

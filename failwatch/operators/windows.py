@@ -126,9 +126,11 @@ def _merge(rows: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def sliding_windows(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def sliding_windows(
+    df: DataFrame, settings: Settings = DEFAULTS, keep: list[str] = ()
+) -> DataFrame:
     """Window table without ids: pass-through columns, features and labels."""
-    rows = df.select(*PASSED_THROUGH)
+    rows = df.select(*PASSED_THROUGH, *keep)
     return frame_features(rows, settings).withColumns(
         {"timestamp": from_micros(F.col("ts_us")), "label_source": F.lit("ground_truth")}
     )

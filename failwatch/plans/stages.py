@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from failwatch.operators import classify, enrich, preprocess, templates, trends, windows
 from failwatch.settings import DEFAULTS, Settings
+from failwatch.sinks import tables
 from failwatch.storage import materialize
 
 Templating = Callable[[DataFrame], DataFrame]
@@ -71,7 +72,7 @@ class Stages:
 
     @cached_property
     def trended(self) -> DataFrame:
-        """Windows with all trend columns.
+        """Windows with ids and all trend columns.
 
         The row lag comes first: it reads its input twice, which here is a written table.
         """
@@ -79,12 +80,15 @@ class Stages:
         numbered = windows.number_windows(
             materialize(lagged, "lagged"), self.classified, self.settings
         )
-        return trends.add_failure_trends(numbered)
+        return materialize(trends.add_failure_trends(numbered), "trended")
 
     @property
     def audit(self) -> DataFrame:
         return enrich.audit_table(self.windows)
 
-    @cached_property
+    @property
     def ml(self) -> DataFrame:
-        return enrich.ml_table(materialize(self.trended, "trended"))
+        return enrich.ml_table(self.trended)
+
+    def write_ml(self, path: str) -> None:
+        tables.write_ml(self.trended, path)

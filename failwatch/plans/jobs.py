@@ -2,34 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from failwatch.operators import evaluate, sweeps, templates, windows
+from failwatch.operators import classify, evaluate, sweeps, templates, windows
 from failwatch.operators.importance import feature_importance
 from failwatch.plans.stages import Stages
 from failwatch.settings import DEFAULTS, Settings
 from failwatch.sinks import tables
 
 
+class Reports(Mapping):
+    """Reports by name, each built when asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers = makers
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._makers[name]()
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass(frozen=True)
 class BatchResult:
-    """Lazy reports and the written stage tables of a batch run."""
+    """Stage tables and reports of a batch run."""
 
     stages: Stages
-    reports: dict[str, DataFrame]
+    reports: Reports
 
 
 def run_batch(samples: DataFrame, out_dir: str, settings: Settings = DEFAULTS) -> BatchResult:
     """Clean, mine, label, window, write both tables and prepare every report."""
     stages = Stages(samples, settings)
-    tables.write_audit(stages.windows, f"{out_dir}/audit")
+    tables.write_audit(stages.trended, f"{out_dir}/audit")
     stages.write_ml(f"{out_dir}/ml_ready")
     templates.template_catalogue(stages.templated).write.mode("overwrite").parquet(
         f"{out_dir}/template_catalogue"
     )
-    return BatchResult(stages, evaluation(stages, settings))
+    return BatchResult(stages, reports(stages, settings))
 
 
 def run_without_export(
@@ -40,29 +57,35 @@ def run_without_export(
     return stages.classified, stages.windows
 
 
-def evaluation(stages: Stages, settings: Settings = DEFAULTS) -> dict[str, DataFrame]:
-    rows = stages.window_rows
-    ablated = evaluate.ablation(rows)
-    warnings = evaluate.early_warnings(rows)
-    corpus = sweeps.corpus_size_sweep(stages.classified, settings=settings)
-    widths = sweeps.window_width_sweep(stages.classified, settings=settings)
-    return {
-        "window_summary": windows.window_summary(rows),
-        "overall": evaluate.overall(rows),
-        "layer_contribution": evaluate.layer_contribution(rows),
-        "per_service": evaluate.per_service(rows),
-        "templates": templates.template_count(stages.classified),
-        "templates_per_stack": templates.per_stack(stages.classified),
-        "top_templates": templates.most_frequent(stages.classified),
-        "feature_ranges": evaluate.feature_ranges(rows),
-        "ablation": ablated,
-        "best_method": evaluate.best_method(ablated),
-        "leave_one_stack_out": evaluate.leave_one_stack_out(rows),
-        "leave_one_stack_out_summary": evaluate.leave_one_stack_out_summary(rows),
-        "corpus_size": corpus,
-        "window_width": widths,
-        "early_warnings": warnings,
-        "early_warning_summary": evaluate.early_warning_summary(warnings),
-        "early_warning_by_service": evaluate.early_warning_by_service(warnings),
-        "feature_importance": feature_importance(rows),
-    }
+def reports(stages: Stages, settings: Settings = DEFAULTS) -> Reports:
+    """Every evaluation of the labels."""
+    samples, rows = stages.classified, stages.window_rows
+    return Reports(
+        {
+            "label_distribution": lambda: classify.distribution(samples, "hybrid_label"),
+            "failure_types": lambda: classify.distribution(samples, "failure_type"),
+            "templates": lambda: templates.template_count(samples),
+            "templates_per_stack": lambda: templates.per_stack(samples),
+            "top_templates": lambda: templates.most_frequent(samples),
+            "corpus_size": lambda: sweeps.corpus_size_sweep(samples, settings=settings),
+            "window_width": lambda: sweeps.window_width_sweep(samples, settings=settings),
+            "window_summary": lambda: windows.window_summary(rows),
+            "window_labels": lambda: classify.distribution(rows, "ground_truth_label"),
+            "overall": lambda: evaluate.overall(rows),
+            "layer_contribution": lambda: evaluate.layer_contribution(rows),
+            "per_service": lambda: evaluate.per_service(rows),
+            "feature_ranges": lambda: evaluate.feature_ranges(rows),
+            "ablation": lambda: evaluate.ablation(rows),
+            "best_method": lambda: evaluate.best_method(evaluate.ablation(rows)),
+            "leave_one_stack_out": lambda: evaluate.leave_one_stack_out(rows),
+            "leave_one_stack_out_summary": lambda: evaluate.leave_one_stack_out_summary(rows),
+            "early_warnings": lambda: evaluate.early_warnings(rows),
+            "early_warning_summary": lambda: evaluate.early_warning_summary(
+                evaluate.early_warnings(rows)
+            ),
+            "early_warning_by_service": lambda: evaluate.early_warning_by_service(
+                evaluate.early_warnings(rows)
+            ),
+            "feature_importance": lambda: feature_importance(rows),
+        }
+    )

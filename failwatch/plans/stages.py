@@ -47,7 +47,8 @@ class Stages:
 
     @cached_property
     def templated(self) -> DataFrame:
-        return self.templating(self.cleaned)
+        # Labelling reads it three times, and mining is a pass of Python over the rows.
+        return materialize(self.templating(self.cleaned), "templated")
 
     @cached_property
     def similarity(self) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from failwatch.functions.timeaxis import micros, slot
 from failwatch.schemas import AUDIT_COLUMNS, ML_COLUMNS, with_missing
 from failwatch.settings import MICROS
+from failwatch.storage import materialize
 
 PRE_FAILURE_US = 5 * 60 * MICROS
 EARLY_PHASE_US = 7 * 60 * MICROS
@@ -21,7 +22,8 @@ def project_ids(df: DataFrame, by: str, order: str = "window_id") -> DataFrame:
 
 
 def add_project_id(df: DataFrame, by: str = "stack", order: str = "window_id") -> DataFrame:
-    ids = project_ids(df, by, order).withColumnRenamed(by, "_by")
+    # Written first, so that its known size lets the rows be joined without a shuffle.
+    ids = materialize(project_ids(df, by, order).withColumnRenamed(by, "_by"), "projects")
     return df.drop("project_id").join(ids, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 

@@ -136,16 +136,18 @@ def early_warnings(windows: DataFrame) -> DataFrame:
     """One row per ground-truth failure with the time since the first alert.
 
     The earliest alert before ``t`` is the first alert of the service if that is before
-    ``t``, so one small aggregate per service replaces any look-back.
+    ``t``, so one small aggregate per service replaces any look-back. It is written first:
+    with its size known the failures are joined in place unless there are very many
+    services.
     """
     timed = windows.where(F.col("ts_us").isNotNull() & F.col("service_name").isNotNull())
     order = F.struct("ts_us", "seq")
-    services = timed.groupBy("service_name").agg(
+    services = materialize(timed.groupBy("service_name").agg(
         F.min(F.when(is_failure(PREDICTED), F.col("ts_us"))).alias("_alert"),
         F.coalesce(
             F.min_by("stack", F.when(F.col("stack").isNotNull(), order)), F.lit("Unknown")
         ).alias("_stack"),
-    )
+    ), "first-alerts")
     failures = timed.where(is_failure(TRUTH)).select("service_name", "ts_us", "seq")
     warned = F.col("_alert") < F.col("ts_us")
     lead = F.when(warned, F.col("ts_us") - F.col("_alert"))
@@ -160,7 +162,7 @@ def early_warnings(windows: DataFrame) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, column: str, name: str, range_width: int = MICROS) -> DataFrame:
+def exact_median(df: DataFrame, column: str, name: str, range_width: int = 10 * MICROS) -> DataFrame:
     """Exact median of a BIGINT column as one row, without gathering the values.
 
     Values are counted, then the counts summed per range of values; only the ranges

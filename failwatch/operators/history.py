@@ -173,15 +173,22 @@ def first_seen(df: DataFrame) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, services: DataFrame, name: str, width_us: int, start: int = 1
+    df: DataFrame,
+    services: DataFrame,
+    name: str,
+    width_us: int,
+    start: int = 1,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Dense number in service-major order, services by their ``first_seen`` position.
 
     Counts per (service, slice) are added up in two steps, first over the slices of a
-    service, then over services, so rows are only ordered inside a slice.
+    service, then over services, so rows are only ordered inside a slice. ``counted`` has
+    the same rows in a cheaper form, such as the written table ``df`` is made from.
     """
     rows = with_slice(df, width_us)
-    per_slice = rows.groupBy(*SLICE_KEYS).agg(F.count("*").alias("_n"))
+    source = rows if counted is None else with_slice(counted, width_us)
+    per_slice = source.groupBy(*SLICE_KEYS).agg(F.count("*").alias("_n"))
     # One row per service is ordered in one task, never the rows themselves.
     by_first = Window.orderBy("_from").rowsBetween(Window.unboundedPreceding, -1)
     bases = (

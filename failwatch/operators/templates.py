@@ -89,6 +89,8 @@ def with_leaf(
         .where(F.col("_rank") < settings.max_children)
         .select("n_tokens", "first_token", F.lit(True).alias("_kept"))
     )
+    # Written first: with its size known a small list is joined without a shuffle.
+    kept = materialize(kept, "first-tokens")
     first = F.when(F.col("_kept"), F.col("first_token")).otherwise(WILDCARD)
     return (
         keyed.join(kept, ["n_tokens", "first_token"], "left")

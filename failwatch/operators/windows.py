@@ -137,12 +137,16 @@ def sliding_windows(
 
 
 def number_windows(
-    windows: DataFrame, samples: DataFrame, settings: Settings = DEFAULTS, start: int = 1
+    windows: DataFrame,
+    samples: DataFrame,
+    settings: Settings = DEFAULTS,
+    start: int = 1,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``window_id``: service after service in order of their first sample, by time
     within a service."""
     services = history.first_seen(samples.where(F.col("ts_us").isNotNull()))
-    return history.number_rows(windows, services, "window_id", settings.slice_us, start)
+    return history.number_rows(windows, services, "window_id", settings.slice_us, start, counted)
 
 
 def window_table(df: DataFrame, settings: Settings = DEFAULTS, start: int = 1) -> DataFrame:

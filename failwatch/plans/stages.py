@@ -79,7 +79,7 @@ class Stages:
         """
         lagged = trends.add_ram_std_trend(self.window_rows, settings=self.settings)
         numbered = windows.number_windows(
-            materialize(lagged, "lagged"), self.classified, self.settings
+            lagged, self.classified, self.settings, counted=self.window_rows
         )
         return materialize(trends.add_failure_trends(numbered), "trended")
 

@@ -7,26 +7,35 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_folders: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a local session may do without."""
+    """Folder named by ``spark.checkpoint.dir``; only a local session may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="failwatch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="failwatch-")
+    return _local_folders[context.applicationId]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """Unused path in the folder of this application, which can go when it has ended."""
+    folder = f"{shared_folder(spark)}/failwatch-{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once and read it back.
 
     Unlike a cache the result survives the loss of executors, and unlike
-    ``checkpoint()`` it is columnar, so later passes still prune columns.
+    ``checkpoint()`` it is columnar, so later passes still prune columns. The files also
+    tell the planner the size, so a join broadcasts the table only when it is small.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -155,10 +155,10 @@ class LiveJob:
             "window_context", batch,
             _recent(both_windows, passed - TREND_LOOK_BACK_US, TREND_ROWS).select(*_WINDOW_CONTEXT),
         )
-        trended = materialize(trends.add_ram_std_trend(both_windows, settings=s), "lagged")
-        trended = trends.add_failure_trends(trended).where(~F.col("_old")).drop("_old")
+        lagged = trends.add_ram_std_trend(both_windows, settings=s)
+        trended = trends.add_failure_trends(lagged).where(~F.col("_old")).drop("_old")
         numbered = materialize(
-            windows.number_windows(materialize(trended, "trended"), labelled, s, last_id + 1), "numbered"
+            windows.number_windows(trended, labelled, s, last_id + 1, counted=made), "numbered"
         )
         projects = self._projects(numbered, before, batch)
         tables.save_windows(numbered, f"{self.out_dir}/audit", f"{self.out_dir}/ml_ready", projects)

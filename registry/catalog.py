@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -18,7 +17,7 @@ from failwatch.schemas import (
     TREND_COLUMNS,
 )
 from failwatch.sources import container, samples as sources
-from failwatch.storage import materialize, shared_folder
+from failwatch.storage import materialize, new_path
 from registry import adapter, oracle_parts as P
 from registry.oracle_parts import r6
 
@@ -79,7 +78,7 @@ def r6s(columns: list[str]) -> str:
     WHERE seq < {adapter.COPY_SEQ} AND trim(log_message) <> ''"""))
 def src1(spark, sf_dir):
     """Write the samples as CSV, read them back with the declared schema."""
-    path = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    path = new_path(spark, "samples")
     rows = adapter.samples(spark, sf_dir).where(
         (F.col("seq") < adapter.COPY_SEQ) & ~text.is_blank(F.col("log_message"))
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from failwatch.operators import enrich, importance, templates
@@ -12,7 +10,7 @@ from failwatch.plans.stages import Stages
 from failwatch.schemas import FEATURE_COLUMNS, SAMPLES, SAMPLE_COLUMNS
 from failwatch.sinks import tables
 from failwatch.sources import samples as sources
-from failwatch.storage import materialize, shared_folder
+from failwatch.storage import materialize, new_path
 from failwatch.streaming import operators as streams
 from failwatch.streaming.live import LiveJob
 from registry import adapter, oracle_parts as P
@@ -24,10 +22,6 @@ FILES = 4
 _STREAM_SCHEMA = T.StructType([*SAMPLES, T.StructField("seq", T.LongType())])
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.mine_templates(adapter.stages(spark, sf_dir).cleaned)
 
@@ -69,7 +63,7 @@ def src11(spark, sf_dir):
 
 @register("src13_ml_table_read_back", sql(ML, "SELECT * FROM ml"))
 def src13(spark, sf_dir):
-    path = _folder(spark, "ml")
+    path = new_path(spark, "ml")
     adapter.stages(spark, sf_dir).write_ml(path)
     return out(sources.read_ml_table(spark, path), *_ML)
 
@@ -78,7 +72,7 @@ def src13(spark, sf_dir):
     SELECT service_name, stack, log_level, {r6s(METRICS)}, gc_count, ground_truth_label, failure_type
     FROM (SELECT *, 'none' AS failure_type FROM raw)"""))
 def snk3(spark, sf_dir):
-    path = _folder(spark, "raw")
+    path = new_path(spark, "raw")
     tables.write_samples(adapter.samples(spark, sf_dir), path)
     return out(sources.read_csv(spark, path), "service_name", "stack", "log_level", *METRICS, "gc_count",
                "ground_truth_label", "failure_type")
@@ -87,7 +81,7 @@ def snk3(spark, sf_dir):
 def _sample_files(spark: SparkSession, sf_dir: str) -> str:
     """The samples as files for a stream to pick up, written one after the other: rows
     of one stretch of time each, some of them up to a minute late."""
-    path = _folder(spark, "arrivals")
+    path = new_path(spark, "arrivals")
     samples = adapter.samples(spark, sf_dir)
     first, last = samples.agg(F.min("ts_us"), F.max("ts_us")).first()
     delay = F.pmod(F.xxhash64("seq"), F.lit(60_000_000))
@@ -106,7 +100,7 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _collected(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and read its result table."""
     spark = stream.sparkSession
-    path, checkpoint = _folder(spark, "stream"), _folder(spark, "checkpoint")
+    path, checkpoint = new_path(spark, "stream"), new_path(spark, "checkpoint")
     if mode == "append":
         writer = streams.append_samples(stream, path, checkpoint)
     else:
@@ -131,7 +125,7 @@ def snk5(spark, sf_dir):
     """Half of the windows, then all of them: only the missing half is added."""
     run = adapter.stages(spark, sf_dir)
     projects = materialize(enrich.project_ids(run.trended, "stack"), "projects")
-    audit, ml = _folder(spark, "audit"), _folder(spark, "ml")
+    audit, ml = new_path(spark, "audit"), new_path(spark, "ml")
     tables.save_windows(run.trended.where("seq % 2 = 0"), audit, ml, projects)
     tables.save_windows(run.trended, audit, ml, projects)
     return out(spark.read.parquet(audit), *KEYS, "window_id", *FEATURES)
@@ -181,7 +175,7 @@ def api12_stream(spark, sf_dir):
 
 def _live(spark: SparkSession, sf_dir: str) -> str:
     """Run the live job over the samples in four micro-batches; gives its folder."""
-    folder = _folder(spark, "live")
+    folder = new_path(spark, "live")
     job = LiveJob(spark, folder, f"{folder}/state")
     source = streams.read_samples_stream(spark, _sample_files(spark, sf_dir), _STREAM_SCHEMA, files_per_batch=2)
     job.start(source, f"{folder}/checkpoint", every=None).awaitTermination()
@@ -198,7 +192,7 @@ def job3(spark, sf_dir):
 @register("job1_batch_overall_scores", None)
 def job1(spark, sf_dir):
     """The whole batch job with mined templates; its overall scores."""
-    result = jobs.run_batch(adapter.samples(spark, sf_dir), _folder(spark, "batch"))
+    result = jobs.run_batch(adapter.samples(spark, sf_dir), new_path(spark, "batch"))
     return out(result.reports["overall"])
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -11,18 +13,13 @@ from failwatch.operators import history
 from failwatch.settings import DEFAULTS, EXTRA_SENTENCES, FAILURE_SENTENCES, Settings
 from failwatch.storage import materialize
 
-TERM_GROUPS = 64
 
-
-def corpora(spark: SparkSession, sizes: list[int] | None = None) -> DataFrame:
+def corpora(spark: SparkSession, sizes: list[int]) -> DataFrame:
     """(size, ref_id, text): the first ``size`` failure sentences, extra ones last."""
     sentences = FAILURE_SENTENCES + EXTRA_SENTENCES
-    rows = [
-        F.struct(F.lit(s).alias("size"), F.lit(i).alias("ref_id"), F.lit(sentences[i]).alias("text"))
-        for s in sizes or [len(FAILURE_SENTENCES)]
-        for i in range(s)
-    ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    rows = [{"size": s, "ref_id": i, "text": sentences[i]} for s in sizes for i in range(s)]
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<size int, ref_id int, text string>>")
+    return spark.range(0, 1, 1, 1).select(F.inline(table))
 
 
 def keyword_layer(template: Column) -> tuple[Column, Column, Column]:
@@ -47,7 +44,7 @@ class TermModel:
     """TF-IDF fitted on the distinct templates and the sentences of each corpus size.
 
     ``template_terms`` (log_template, term, tf); ``vocabulary`` (size, term, idf, refs) with
-    the unit weight of the term in every sentence. The vocabulary has at most
+    the weight of the term in every sentence. The vocabulary has at most
     ``vocabulary_size`` terms per corpus size, whatever the data, so it can be broadcast.
     """
 
@@ -61,71 +58,83 @@ def fit_terms(
 ) -> TermModel:
     """Count the terms of the templates once; a size adds only its few sentences."""
     sizes = sizes or [len(FAILURE_SENTENCES)]
+    spark = templates.sparkSession
     counts = _term_counts(templates, ["log_template"], "log_template")
     template_terms = materialize(counts, "template-terms")
-    sentence_terms = _term_counts(
-        corpora(templates.sparkSession, sizes), ["size", "ref_id"], "text"
-    )
-    totals = [F.sum("tf").alias("total"), F.count("*").alias("df")]
-    every_size = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size")
-    summed = (
-        template_terms.groupBy("term").agg(*totals).select(every_size, "term", "total", "df")
-        .unionByName(sentence_terms.groupBy("size", "term").agg(*totals))
-        .groupBy("size", "term")
-        .agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
-    )
-    # A corpus of ``size`` sentences adds that many documents.
-    documents = F.lit(templates.count()) + F.col("size")
-    terms = _most_frequent_terms(summed, settings.vocabulary_size).select(
-        "size", "term", (F.log((1 + documents) / (1 + F.col("df"))) + 1).alias("idf")
-    )
-    terms = materialize(terms, "terms")
-    sentences = _unit_weights(
-        sentence_terms.join(F.broadcast(terms), ["size", "term"]), ["size", "ref_id"]
-    )
-    by_sentence = sentences.groupBy("size", "term").agg(
-        F.map_from_entries(F.collect_list(F.struct("ref_id", "weight"))).alias("_by_ref")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(max(sizes) - 1)),
-        lambda i: F.coalesce(F.try_element_at("_by_ref", i), F.lit(0.0)),
-    )
-    vocabulary = terms.join(by_sentence, ["size", "term"], "left").select(
-        "size", "term", "idf", dense.alias("refs")
+    counted = template_terms.select("term", F.col("tf").alias("total"), F.lit(1).cast("bigint").alias("df"))
+    if len(sizes) > 1:
+        counted = materialize(counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")))
+    sentences = _sentence_terms(spark, sizes)
+    n_templates = templates.count()
+    vocabulary = reduce(
+        DataFrame.unionByName,
+        [
+            _vocabulary(counted, sentences.where(F.col("size") == s), s, n_templates, max(sizes), settings)
+            for s in sizes
+        ],
     )
     return TermModel(sizes, template_terms, materialize(vocabulary, "vocabulary"))
 
 
-def _most_frequent_terms(totals: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` most frequent terms per size, ties by term.
+def _sentence_terms(spark: SparkSession, sizes: list[int]) -> DataFrame:
+    """(size, term, total, df, tfs): counts of each term over the sentences of a size, and
+    per sentence. A fixed short list, so it is laid out without a shuffle."""
+    split = corpora(spark, sizes).withColumn("_words", text.words(F.col("text"))).select(
+        "size", "ref_id", text.with_bigrams(F.col("_words")).alias("terms")
+    )
+    found: dict[tuple, dict[int, int]] = {}
+    for r in split.collect():
+        for term in r["terms"]:
+            tfs = found.setdefault((r["size"], term), {})
+            tfs[r["ref_id"]] = tfs.get(r["ref_id"], 0) + 1
+    rows = [
+        {"size": s, "term": t, "total": sum(tfs.values()), "df": len(tfs),
+         "tfs": [tfs.get(i, 0) for i in range(max(sizes))]}
+        for (s, t), tfs in found.items()
+    ]
+    shape = "array<struct<size int, term string, total bigint, df bigint, tfs array<int>>>"
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), shape)))
 
-    Ranked in hash groups first, so the last ranking only sees the leaders of each.
-    """
-    order = [F.col("total").desc(), F.col("term")]
-    group = F.pmod(F.xxhash64("term"), F.lit(TERM_GROUPS))
-    leaders = totals.withColumn("_group", group).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("size", "_group").orderBy(*order))
-    ).where(F.col("_rank") <= limit)
-    return leaders.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("size").orderBy(*order))
-    ).where(F.col("_rank") <= limit).drop("_rank", "_group")
 
+def _vocabulary(
+    counted: DataFrame, sentences: DataFrame, size: int, n_templates: int, width: int, settings: Settings
+) -> DataFrame:
+    """The most frequent terms of templates and sentences, ties by term.
 
-def _raw_weight() -> Column:
-    return (1 + F.log("tf")) * F.col("idf")
+    ``orderBy().limit()`` keeps the leaders of every partition before they are merged.
+    """
+    columns = ["term", "total", "df"]
+    totals = (
+        counted.unionByName(sentences.select(*columns))
+        .groupBy("term")
+        .agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+    )
+    leaders = totals.orderBy(F.desc("total"), "term").limit(settings.vocabulary_size)
+    # A corpus of ``size`` sentences adds that many documents.
+    idf = F.log((1 + n_templates + size) / (1 + F.col("df"))) + 1
+    refs = F.transform(
+        F.coalesce("tfs", F.array_repeat(F.lit(0), width)),
+        lambda tf: F.when(tf > 0, (1 + F.log(F.greatest(tf, F.lit(1)))) * F.col("idf")).otherwise(0.0),
+    )
+    return (
+        leaders.join(F.broadcast(sentences.select("term", "tfs")), "term", "left")
+        .withColumn("idf", idf)
+        .select(F.lit(size).alias("size"), "term", "idf", refs.alias("refs"))
+    )
 
 
-def _unit_weights(weighted: DataFrame, document: list[str]) -> DataFrame:
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*document)))
-    return weighted.withColumn("_raw", _raw_weight()).select(
-        *document, "term", (F.col("_raw") / norm).alias("weight")
-    )
+def _weighted(model: TermModel) -> DataFrame:
+    known = model.template_terms.join(F.broadcast(model.vocabulary), "term")
+    return known.withColumn("_raw", (1 + F.log("tf")) * F.col("idf"))
 
 
 def term_weights(model: TermModel) -> DataFrame:
     """Unit-length weights of the templates: (size, log_template, term, weight)."""
-    known = model.template_terms.join(F.broadcast(model.vocabulary), "term")
-    return _unit_weights(known, ["size", "log_template"])
+    document = Window.partitionBy("size", "log_template")
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(document))
+    return _weighted(model).select(
+        "size", "log_template", "term", (F.col("_raw") / norm).alias("weight")
+    )
 
 
 def template_similarity(templates: DataFrame, model: TermModel) -> DataFrame:
@@ -134,12 +143,21 @@ def template_similarity(templates: DataFrame, model: TermModel) -> DataFrame:
     Only terms of the vocabulary take part. Length and all dot products of a template
     come from one grouping, since the sentences are a fixed short list.
     """
-    known = model.template_terms.join(F.broadcast(model.vocabulary), "term").withColumn(
-        "_raw", _raw_weight()
+    places = range(max(model.sizes))
+    square = lambda c: F.sqrt(F.sum(c * c))
+    # One row per corpus size.
+    lengths = model.vocabulary.groupBy("size").agg(
+        F.array(*[square(F.get("refs", F.lit(i))) for i in places]).alias("_lengths")
+    )
+    dots = _weighted(model).groupBy("size", "log_template").agg(
+        square(F.col("_raw")).alias("_length"),
+        F.array(*[F.sum(F.col("_raw") * F.get("refs", F.lit(i))) for i in places]).alias("_dots"),
+    )
+    cosines = F.zip_with(
+        "_dots", "_lengths", lambda d, r: F.when(r > 0, d / (r * F.col("_length"))).otherwise(0.0)
     )
-    dots = [F.sum(F.col("_raw") * F.get("refs", F.lit(i))) for i in range(max(model.sizes))]
-    best = known.groupBy("size", "log_template").agg(
-        (F.greatest(F.lit(0.0), *dots) / F.sqrt(F.sum(F.col("_raw") * F.col("_raw")))).alias("similarity")
+    best = dots.join(F.broadcast(lengths), "size").select(
+        "size", "log_template", F.array_max(cosines).alias("similarity")
     )
     every_size = F.explode(F.array(*[F.lit(s) for s in model.sizes])).alias("size")
     return templates.select(every_size, "log_template").join(

@@ -21,20 +21,41 @@ from failwatch.operators.history import KEY
 BLOCK = "_block"
 COPY = "_copy"
 AT = "_at"
+PACKED = "_packed"
+HOME = "_home"
 
 
-def copy_to_blocks(df: DataFrame, width_us: int, blocks: int = 1) -> DataFrame:
-    """One copy per block in which the row can be part of a frame."""
+def copy_to_blocks(df: DataFrame, width_us: int, read: list[str], blocks: int = 1) -> DataFrame:
+    """One copy per block in which the row can be part of a frame.
+
+    Copies carry the order keys and the columns the frame aggregates ``read``; everything
+    else stays with the row itself, packed away until ``home_rows``.
+    """
+    carried = [KEY, "ts_us", "seq", *read]
+    # The literal keeps the struct valid when there is nothing else to pack.
+    packed = F.struct(F.lit(True).alias(HOME), *[c for c in df.columns if c not in carried])
     copies = F.explode(F.array(*[F.lit(i) for i in range(blocks + 1)]))
-    moved = df.withColumn(COPY, copies).withColumns(
-        {
-            BLOCK: slot(F.col("ts_us"), width_us) + F.col(COPY),
-            AT: F.col("ts_us") + F.col(COPY) * F.lit(width_us),
-        }
+    moved = (
+        df.select(*carried, packed.alias(PACKED))
+        .withColumn(COPY, copies)
+        .withColumns(
+            {
+                PACKED: only_copy(0, F.col(PACKED)),
+                BLOCK: slot(F.col("ts_us"), width_us) + F.col(COPY),
+                AT: F.col("ts_us") + F.col(COPY) * F.lit(width_us),
+            }
+        )
     )
     return moved.repartition(KEY, BLOCK)
 
 
+def home_rows(copied: DataFrame) -> DataFrame:
+    """The rows themselves with all their columns, without the copies."""
+    rows = copied.where(F.col(COPY) == 0)
+    kept = [c for c in rows.columns if c not in (PACKED, COPY, BLOCK, AT)]
+    return rows.select(*kept, f"{PACKED}.*").drop(HOME)
+
+
 def block_order():
     """Source order of the rows that share block and copy number."""
     return Window.partitionBy(KEY, BLOCK, COPY).orderBy("ts_us", "seq")
@@ -85,11 +106,11 @@ class Moments:
     m2: Column
 
     @staticmethod
-    def of(n: str, mean: str, var_pop: str) -> "Moments":
+    def of(n: str, mean: Column, var_pop: str) -> "Moments":
         count = F.coalesce(F.col(n), F.lit(0)).cast("double")
         return Moments(
             count,
-            F.coalesce(F.col(mean), F.lit(0.0)),
+            F.when(count > 0, mean).otherwise(F.lit(0.0)),
             F.coalesce(F.col(var_pop), F.lit(0.0)) * count,
         )
 

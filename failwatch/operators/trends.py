@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from failwatch.operators import history
 from failwatch.operators.trailing import (
-    AT, BLOCK, COPY, Moments, block_order, copy_to_blocks, moved_after, only_copy, up_to_row,
+    Moments, block_order, copy_to_blocks, home_rows, moved_after, only_copy, up_to_row,
     whole_block,
 )
 from failwatch.schemas import TREND_COLUMNS
@@ -16,13 +16,14 @@ from failwatch.settings import DEFAULTS, MINUTE_US, Settings
 def failures_last_minute(df: DataFrame, label: str = "hybrid_label") -> DataFrame:
     """Add ``failures_1m``: FAILURE rows of the service in (t - 1 min, t]."""
     failed = F.coalesce((F.col(label) == "FAILURE").cast("bigint"), F.lit(0))
-    rows = copy_to_blocks(df.withColumn("_failed", failed), MINUTE_US)
+    rows = copy_to_blocks(df.withColumn("_failed", failed), MINUTE_US, ["_failed"])
+    counted = rows.withColumn("_here", F.sum("_failed").over(up_to_row())).withColumn(
+        "_moved", F.sum(only_copy(1, F.col("_failed"))).over(moved_after())
+    )
     return (
-        rows.withColumn("_here", F.sum("_failed").over(up_to_row()))
-        .withColumn("_moved", F.sum(only_copy(1, F.col("_failed"))).over(moved_after()))
-        .where(F.col(COPY) == 0)
+        home_rows(counted)
         .withColumn("failures_1m", F.col("_here") + F.coalesce("_moved", F.lit(0)))
-        .drop("_here", "_moved", "_failed", COPY, BLOCK, AT)
+        .drop("_here", "_moved", "_failed")
     )
 
 
@@ -34,7 +35,6 @@ def _part(copy: int | None) -> dict[str, Column]:
     return {
         "n": F.count(pick(F.lit(1))),
         "max": F.max(pick(y)),
-        "mean": F.avg(pick(y)),
         "var": F.var_pop(pick(y)),
         "sum": F.sum(pick(y)),
         "xy": F.sum(pick(y * F.col("_pos"))),
@@ -53,7 +53,7 @@ def _trend(parts: list[str]) -> dict[str, Column]:
     xy = F.lit(0.0)
     total = F.lit(0.0)
     for p in parts:
-        part = Moments.of(f"{p}_n", f"{p}_mean", f"{p}_var")
+        part = Moments.of(f"{p}_n", F.try_divide(F.col(f"{p}_sum"), F.col(f"{p}_n")), f"{p}_var")
         moments = part if moments is None else moments + part
         part_sum = F.coalesce(f"{p}_sum", F.lit(0.0))
         start = F.coalesce(f"{p}_from", F.lit(0)).cast("double")
@@ -76,7 +76,7 @@ def rolling_trends(df: DataFrame) -> DataFrame:
     Both widths share five-minute blocks and one exchange: ten minutes take the end of
     the block before the previous one, the whole previous block and the current start.
     """
-    rows = copy_to_blocks(df, 5 * MINUTE_US, blocks=2).withColumn(
+    rows = copy_to_blocks(df, 5 * MINUTE_US, ["failures_1m"], blocks=2).withColumn(
         "_pos", F.row_number().over(block_order())
     )
     rows = rows.withColumns({f"_now_{k}": a.over(up_to_row()) for k, a in _part(None).items()})
@@ -87,14 +87,15 @@ def rolling_trends(df: DataFrame) -> DataFrame:
             for name, copy in (("one", 1), ("two", 2))
             for k, a in _part(copy).items()
         }
-    ).where(F.col(COPY) == 0)
+    )
+    rows = home_rows(rows)
     five = _trend(["_one", "_now"])
     ten = _trend(["_two", "_mid", "_now"])
     helpers = [c for c in rows.columns if c.startswith(("_now_", "_mid_", "_one_", "_two_"))]
     return rows.withColumns(
         {f"trend_{k}_5m": v for k, v in five.items()}
         | {f"trend_{k}_10m": v for k, v in ten.items()}
-    ).drop(*helpers, "_pos", COPY, BLOCK, AT)
+    ).drop(*helpers, "_pos")
 
 
 def add_failure_trends(df: DataFrame) -> DataFrame:

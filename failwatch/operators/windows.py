@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from failwatch.functions.timeaxis import from_micros
 from failwatch.operators import history
 from failwatch.operators.trailing import (
-    AT, BLOCK, COPY, Moments, block_order, copy_to_blocks, moved_at_or_after, only_copy,
+    Moments, block_order, copy_to_blocks, home_rows, moved_at_or_after, only_copy,
     strictly_before,
 )
-from failwatch.schemas import WINDOW_COLUMNS
+from failwatch.schemas import METRICS, WINDOW_COLUMNS
 from failwatch.settings import DEFAULTS, MICROS, Settings
 
+READ = [*METRICS, "ground_truth_label"]
 PASSED_THROUGH = [
     "ts_us", "seq", "service_name", "stack", "log_template", "template_id",
     "ram_percent", "cpu_percent", "heap_mb_used", "gc_count",
@@ -27,7 +28,7 @@ def frame_features(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     columns pass through. Rows without service or time have no frame.
     """
     timed = df.where(F.col("ts_us").isNotNull() & F.col("service_name").isNotNull())
-    rows = copy_to_blocks(timed, settings.window_us).withColumns(
+    rows = copy_to_blocks(timed, settings.window_us, READ).withColumns(
         {
             "_heap_step": F.col("heap_mb_used") - F.lag("heap_mb_used").over(block_order()),
             "_gc_step": F.coalesce(
@@ -40,8 +41,8 @@ def frame_features(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
     rows = rows.withColumns(
         {f"_a_{k}": a.over(moved_at_or_after()) for k, a in _part(1).items()}
-    ).where(F.col(COPY) == 0)
-    return _merge(rows, settings)
+    )
+    return _merge(home_rows(rows), settings)
 
 
 def _part(copy: int | None) -> dict[str, Column]:
@@ -94,8 +95,8 @@ def _merge(rows: DataFrame, settings: Settings) -> DataFrame:
         F.coalesce("_a_gc_steps", zero) + F.coalesce("_b_gc_steps", zero)
         - F.coalesce("_a_first._gc_step", zero) + F.coalesce(gc_joint, zero)
     )
-    ram = Moments.of("_a_ram_n", "_a_ram_mean", "_a_ram_var") + Moments.of(
-        "_b_ram_n", "_b_ram_mean", "_b_ram_var"
+    ram = Moments.of("_a_ram_n", F.col("_a_ram_mean"), "_a_ram_var") + Moments.of(
+        "_b_ram_n", F.col("_b_ram_mean"), "_b_ram_var"
     )
     first = F.coalesce("_a_first", "_b_first")
     last = F.coalesce("_b_last", "_a_last")
@@ -122,7 +123,7 @@ def _merge(rows: DataFrame, settings: Settings) -> DataFrame:
                 ).otherwise("NORMAL"),
             }
         )
-        .drop(*helpers, "_heap_step", "_gc_step", COPY, BLOCK, AT)
+        .drop(*helpers, "_heap_step", "_gc_step")
     )
 
 

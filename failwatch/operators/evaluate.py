@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from failwatch.functions import metrics
 from failwatch.functions.metrics import confusion, f1, is_failure, precision, recall
 from failwatch.functions.timeaxis import slot
+from failwatch.operators import history
 from failwatch.schemas import FEATURE_COLUMNS
 from failwatch.settings import MICROS, MINUTE_US
 from failwatch.storage import materialize
@@ -53,12 +54,17 @@ def layer_contribution(windows: DataFrame) -> DataFrame:
 
 def per_service(windows: DataFrame) -> DataFrame:
     """F1 per service with the stack of its first row."""
-    return (
+    # Counted per (service, stack) in a hash table; the few results are then merged.
+    parts = (
         windows.where(F.col("service_name").isNotNull())
-        .groupBy("service_name")
-        .agg(F.min_by("stack", F.struct("ts_us", "seq")).alias("stack"), *_confusion())
-        .select("service_name", "stack", f1().alias("f1"))
+        .groupBy("service_name", "stack")
+        .agg(F.min(history.position()).alias("_from"), *_confusion())
     )
+    merged = parts.groupBy("service_name").agg(
+        F.min_by("stack", "_from").alias("stack"),
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")],
+    )
+    return merged.select("service_name", "stack", f1().alias("f1"))
 
 
 def feature_ranges(windows: DataFrame) -> DataFrame:
@@ -141,12 +147,14 @@ def early_warnings(windows: DataFrame) -> DataFrame:
     services.
     """
     timed = windows.where(F.col("ts_us").isNotNull() & F.col("service_name").isNotNull())
-    order = F.struct("ts_us", "seq")
-    services = materialize(timed.groupBy("service_name").agg(
+    parts = timed.groupBy("service_name", "stack").agg(
         F.min(F.when(is_failure(PREDICTED), F.col("ts_us"))).alias("_alert"),
-        F.coalesce(
-            F.min_by("stack", F.when(F.col("stack").isNotNull(), order)), F.lit("Unknown")
-        ).alias("_stack"),
+        F.min(history.position()).alias("_from"),
+    )
+    known = F.when(F.col("stack").isNotNull(), F.col("_from"))
+    services = materialize(parts.groupBy("service_name").agg(
+        F.min("_alert").alias("_alert"),
+        F.coalesce(F.min_by("stack", known), F.lit("Unknown")).alias("_stack"),
     ), "first-alerts")
     failures = timed.where(is_failure(TRUTH)).select("service_name", "ts_us", "seq")
     warned = F.col("_alert") < F.col("ts_us")

@@ -9,6 +9,7 @@ service and joined back. The only per-service ordering is over slice summaries.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -21,6 +22,7 @@ SLICE_KEYS = [KEY, SLICE]
 # Rows without a time come after all others and are split by source position.
 _UNTIMED_BASE = 1 << 50
 _UNTIMED_ROWS = 1_000_000
+_UNTIMED = 1 << 62
 
 
 def with_slice(df: DataFrame, width_us: int) -> DataFrame:
@@ -49,9 +51,14 @@ def join_earlier(
     return rows.join(carry, SLICE_KEYS, "left")
 
 
-def position() -> Column:
-    """Struct that orders rows as in the source."""
-    return F.struct(F.col("ts_us").isNull().alias("untimed"), "ts_us", "seq")
+def position(ts: str = "ts_us") -> Column:
+    """(time, seq) as one number that orders rows as in the source, untimed rows last.
+
+    A struct would do, but minima and maxima of a number are kept in a hash table,
+    those of a struct need the rows sorted by key first.
+    """
+    at = F.coalesce(F.col(ts), F.lit(_UNTIMED)).cast("decimal(19,0)")
+    return at * F.lit(Decimal(1 << 63)).cast("decimal(19,0)") + F.col("seq").cast("decimal(19,0)")
 
 
 def forward_fill(df: DataFrame, columns: list[str], width_us: int) -> DataFrame:
@@ -168,7 +175,7 @@ def row_lag(
 def first_seen(df: DataFrame) -> DataFrame:
     """(service, _from): position of the first row of each service."""
     return df.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(
-        F.min(F.struct("ts_us", "seq")).alias("_from")
+        F.min(position()).alias("_from")
     )
 
 

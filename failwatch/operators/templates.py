@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from failwatch.functions import text
 from failwatch.functions.timeaxis import slot
+from failwatch.operators.history import position
 from failwatch.settings import DEFAULTS, Settings
 from failwatch.storage import materialize
 
@@ -37,7 +38,7 @@ WILDCARD = "<*>"
 SEED_BUCKETS = 16
 MAX_ROUNDS = 10
 MODEL_LIMIT_BYTES = 64 * 1024 * 1024
-_LAST = (1 << 63) - 1
+_LAST = (1 << 62)
 _TIME_SLICE_US = 3_600_000_000
 
 EVENT = "leaf string, at bigint, seq bigint, message string"
@@ -70,16 +71,15 @@ def with_leaf(
     firsts = (
         keyed.where(F.col("first_token") != WILDCARD)
         .groupBy("n_tokens", "first_token")
-        .agg(F.min(F.struct("at", "seq")).alias("_from"))
+        .agg(F.min(position("at")).alias("_from"))
     )
     if catalogue is not None:
         known = catalogue.select(
             F.substring_index("leaf", " ", 1).cast("int").alias("n_tokens"),
             F.expr("substring(leaf, length(substring_index(leaf, ' ', 1)) + 2)").alias("first_token"),
         ).where(F.col("first_token") != WILDCARD).distinct()
-        earliest = F.struct(F.lit(-_LAST).alias("at"), F.lit(0).cast("bigint").alias("seq"))
         firsts = (
-            firsts.unionByName(known.withColumn("_from", earliest))
+            firsts.unionByName(known.withColumn("_from", F.lit(-1).cast(firsts.schema["_from"].dataType)))
             .groupBy("n_tokens", "first_token")
             .agg(F.min("_from").alias("_from"))
         )
@@ -248,16 +248,32 @@ def _pass_in_order(df: DataFrame, base: dict[str, list[str]], similarity: float)
     )
 
 
+_GROUP = ["leaf", "pattern", "_bucket"]
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64("log_message"), F.lit(SEED_BUCKETS)))
+
+
 def _first_events(rows: DataFrame) -> DataFrame:
-    """Earliest rows per (leaf, pattern), a few each, combined before the shuffle."""
-    event = F.struct("at", "seq", F.col("log_message").alias("message"))
-    return (
-        rows.groupBy("leaf", "pattern", F.pmod(F.xxhash64("log_message"), F.lit(SEED_BUCKETS)))
-        .agg(F.min(event).alias("e"))
-        .select("leaf", "e.*")
+    """Earliest rows per (leaf, pattern), a few each.
+
+    Only positions are reduced, in hash tables before the shuffle; their rows are then
+    picked from the table.
+    """
+    placed = _grouped(rows).withColumn("_from", position("at"))
+    firsts = materialize(placed.groupBy(*_GROUP).agg(F.min("_from").alias("_from")), "firsts")
+    return placed.join(firsts, [*_GROUP, "_from"], "left_semi").select(
+        "leaf", "at", "seq", F.col("log_message").alias("message")
     )
 
 
+def _first_changes(rows: DataFrame) -> DataFrame:
+    """The same for the few rows that a match has marked, in one pass over them."""
+    event = F.struct("at", "seq", F.col("log_message").alias("message"))
+    return _grouped(rows).groupBy(*_GROUP).agg(F.min(event).alias("e")).select("leaf", "e.*")
+
+
 def _fits(table: DataFrame, column: str) -> bool:
     size = table.agg(F.coalesce(F.sum(F.length("leaf") + F.length(column) + 64), F.lit(0))).first()[0]
     return size <= MODEL_LIMIT_BYTES
@@ -303,7 +319,7 @@ def mine_templates(
             break
         timeline = Timeline(base, [tuple(r) for r in versions.collect()], settings.similarity)
         late = materialize(
-            _first_events(_matched(rows, timeline, False).where("_match.changes")), "late"
+            _first_changes(_matched(rows, timeline, False).where("_match.changes")), "late"
         )
         unsettled = late.select("leaf").distinct()
         if late.isEmpty():

@@ -179,7 +179,7 @@ class LiveJob:
         filled = materialize(preprocess.fill_metrics(both, self.settings), "filled")
         latest = filled.where(F.col("service_name").isNotNull()).groupBy("service_name").agg(
             *[
-                F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("ts_us", "seq"))).alias(c)
+                F.max_by(c, F.when(F.col(c).isNotNull(), history.position())).alias(c)
                 for c in METRICS
             ]
         )

@@ -147,3 +147,16 @@ def test_duplicates_are_limited_before_the_shuffle(spark):
     plan = preprocess.drop_duplicates(rows_to_df(spark, random_rows(20)))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_slice_summaries_need_no_sort(spark):
+    plan = history.forward_fill(rows_to_df(spark, random_rows(20)), ["ram_percent"], MIN)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and "HashAggregate" in text
+
+
+def test_position_orders_like_time_then_seq(spark):
+    rows = [(5, 2), (5, 1), (4, (1 << 62)), (None, 0), (None, 3), (T0 * 1000, 1)]
+    df = spark.createDataFrame(rows, "ts_us bigint, seq bigint")
+    got = [(r[0], r[1]) for r in df.orderBy(history.position()).collect()]
+    assert got == [(4, 1 << 62), (5, 1), (5, 2), (T0 * 1000, 1), (None, 0), (None, 3)]

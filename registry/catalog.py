@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from failwatch import settings as S
 from failwatch.functions import metrics, text
 from failwatch.operators import (
-    classify, enrich, evaluate, history, preprocess, serve, sweeps, templates, trends, windows,
+    classify, enrich, evaluate, preprocess, serve, sweeps, templates, trends, windows,
 )
 from failwatch.schemas import (
     AUDIT_COLUMNS, FEATURE_COLUMNS, FEED_COLUMNS, LIVE_COLUMNS, ML_COLUMNS, SAMPLE_COLUMNS,

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from failwatch.operators import enrich, importance, templates
 from failwatch.plans import jobs
-from failwatch.plans.stages import Stages
 from failwatch.schemas import FEATURE_COLUMNS, SAMPLES, SAMPLE_COLUMNS
 from failwatch.sinks import tables
 from failwatch.sources import samples as sources

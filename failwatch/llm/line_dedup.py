@@ -170,3 +170,11 @@ def dedup_lines(documents: DataFrame, columns: list[str] | None = None) -> DataF
     ]
     cleaned = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], *counts)
     return cleaned.where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
+
+
+def with_length(cleaned: DataFrame, documents: DataFrame) -> DataFrame:
+    """The columns of ``documents``, with n_chars counted anew where a line was dropped."""
+    chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None
+    return cleaned.select(
+        *[chars.cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
+    )

@@ -39,3 +39,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for file in df.inputFiles()[:1]:
+            folder = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

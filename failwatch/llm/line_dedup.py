@@ -5,14 +5,15 @@ A line is its sequence of words (split at spaces). A line is dropped when an ear
 ``MIN_WORDS`` words, at most ``EDITS`` = 1 word insertion, deletion or substitution away. That
 earlier line may itself be dropped, so of a chain of near lines the earliest stays.
 
-1. Equal lines are grouped by two 64-bit hashes; the earliest stands for them.
-2. One edit cannot touch both the first and the last ``SIDE`` words, so lines that share
-   neither with another line have no neighbour and go no further. This loses nothing.
-3. The other lines emit all deletion variants as hashed keys: the hash of the line without
-   word i, and the hash of the line itself. Two lines are one substitution apart when they
-   share (length, i, hash without i), one deletion apart when a variant of one is the other.
-   The variant hashes come from running exclusive ors over the words, so a line of n words
-   costs n rows, not n * n.
+1. Every line becomes a narrow row of hashes, written once. Equal lines are grouped by two
+   64-bit hashes; the earliest stands for them.
+2. One edit cannot touch both the first and the last ``SIDE`` words, nor both halves of a
+   line, so lines that share neither with another line of fitting length have no neighbour and
+   go no further. This loses nothing, and only the other lines are fetched.
+3. Those emit all deletion variants as hashed keys: the hash of the line without word i, and
+   the hash of the line itself. Two lines are one substitution apart when they share (length,
+   i, hash without i), one deletion apart when a variant of one is the other. The hashes come
+   from a running exclusive or over the words, so a variant is not hashed word by word.
 4. Each key keeps the earliest line only; no pairs are formed within a key. Each line is
    checked word by word against the earliest neighbour found, then dropped.
 
@@ -25,71 +26,110 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from failwatch.storage import materialize
+from failwatch.storage import materialize, remove
 
 MIN_WORDS = 10
 SIDE = MIN_WORDS // 2
 EDITS = 1
+#: Lines of more words get their variants row by row instead of in one array.
+ARRAY_WORDS = 4096
+
+
+#: Stands for a null doc_id, so that ids are joined by plain equality and null comes first.
+NO_ID = -(2**63)
+
+
+def _doc() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc")
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
-def split_lines(documents: DataFrame) -> DataFrame:
-    """doc, text_hash, line_no, words of every line that is not blank."""
+def line_hashes(documents: DataFrame) -> DataFrame:
+    """doc, text_hash, line_no, n, two hashes and two side hashes of every line that is not blank."""
     lines = documents.select(
-        F.col("doc_id").cast("bigint").alias("doc"),
-        F.xxhash64("text").alias("text_hash"),
+        _doc(), F.xxhash64("text").alias("text_hash"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
-    )
-    return lines.select("doc", "text_hash", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
-
-
-def _hashes(lines: DataFrame) -> DataFrame:
+    ).select("doc", "text_hash", "line_no", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
     n = F.size("words")
     return lines.select(
         "doc", "text_hash", "line_no",
         F.xxhash64("words").alias("hash_a"),
-        F.xxhash64(F.lit(1), "words", n).alias("hash_b"),
+        F.xxhash64(F.lit(1), "words").alias("hash_b"),
         F.when(n >= MIN_WORDS, F.xxhash64(F.slice("words", 1, SIDE))).alias("head"),
         F.when(n >= MIN_WORDS, F.xxhash64(F.lit(2), F.slice("words", -SIDE, SIDE))).alias("tail"),
     )
 
 
-def _place(*prefix: str) -> Column:
-    return F.struct(*[F.col(c) for c in ("doc", "text_hash", "line_no")])
+def _place() -> Column:
+    return F.struct("doc", "text_hash", "line_no")
 
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """key, kind (0 the line itself, 1 without a word, for a deletion, 2 for a substitution) and line."""
-    size = F.size("words")
-    word = lines.select("hash_a", "hash_b", "place", "words", size.alias("n"), F.posexplode("words").alias("i", "word"))
-    word = word.select(
-        "hash_a", "hash_b", "place", "n", "i",
-        # A word's hash at its own place, and at the place it has when an earlier word goes.
-        F.xxhash64("word", "i").alias("stay"),
-        F.xxhash64("word", F.col("i") - 1).alias("move"),
+def _fetch(documents: DataFrame, places: DataFrame) -> DataFrame:
+    """place and words of the lines at ``places``."""
+    wanted = places.select("place.*").groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("wanted"))
+    texts = documents.select(_doc(), F.xxhash64("text").alias("text_hash"), "text")
+    lines = texts.join(wanted, ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash"]).select(
+        "doc", "text_hash", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
-    line = Window.partitionBy("hash_a", "hash_b")
-    so_far = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    word = word.select(
-        "hash_a", "hash_b", "place", "n", "i", "stay", "move",
-        F.bit_xor("stay").over(so_far).alias("stay_run"),
-        F.bit_xor("move").over(so_far).alias("move_run"),
+    return lines.where(F.array_contains("wanted", F.col("line_no"))).select(_place().alias("place"), _words(F.col("line")).alias("words"))
+
+
+def _fitting(lines: DataFrame) -> DataFrame:
+    """Lines that share their first or last half with another, as of the shorter one's length."""
+    def halves(shorter: Column) -> list[Column]:
+        half = F.floor(shorter / 2).cast("int")
+        back = shorter - half
+        return [
+            F.when(shorter >= MIN_WORDS, F.xxhash64(shorter, F.slice("words", F.lit(1), half))),
+            F.when(shorter >= MIN_WORDS, F.xxhash64(-shorter, F.slice("words", F.size("words") - back + 1, back))),
+        ]
+
+    n = F.size("words")
+    keyed = lines.select("ord", F.explode(F.array(*halves(n), *halves(n - 1))).alias("half")).where("half is not null")
+    shared = keyed.groupBy("half").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high")
+    return lines.join(keyed.join(shared, "half", "left_semi"), "ord", "left_semi")
+
+
+def _without(words: str) -> Column:
+    """For every i the hash of the words without word i, and last that of all words."""
+    # A word's hash at its own place, and at the place it has when an earlier word goes.
+    both = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, i).alias("stay"), F.xxhash64(w, i - 1).alias("move")))
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(
+        both,
+        F.struct(zero.alias("stay"), zero.alias("move"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, x: F.struct(
+            acc["stay"].bitwiseXOR(x["stay"]).alias("stay"),
+            acc["move"].bitwiseXOR(x["move"]).alias("move"),
+            F.array_append(acc["out"], acc["stay"].bitwiseXOR(acc["move"]).bitwiseXOR(x["move"])).alias("out"),
+        ),
+        lambda acc: F.array_append(F.transform(acc["out"], lambda x: x.bitwiseXOR(acc["move"])), acc["stay"]),
+    )
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """key, kind (0 the line itself, 1 without a word, for a deletion, 2 for a substitution) and ord."""
+    n = F.size("words")
+    short = lines.where(n <= ARRAY_WORDS).select("ord", n.alias("n"), F.posexplode(_without("words")).alias("i", "hash"))
+    word = lines.where(n > ARRAY_WORDS).select("ord", n.alias("n"), F.posexplode("words").alias("i", "word"))
+    word = word.withColumn("stay", F.xxhash64("word", "i")).withColumn("move", F.xxhash64("word", F.col("i") - 1)).drop("word")
+    up_to = Window.partitionBy("ord").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = Window.partitionBy("ord").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    word = word.withColumn("before", F.bit_xor("stay").over(up_to)).withColumn("behind", F.bit_xor("move").over(from_here))
+    gone = F.col("before").bitwiseXOR(F.col("stay")).bitwiseXOR(F.col("behind")).bitwiseXOR(F.col("move"))
+    long = word.select("ord", "n", "i", gone.alias("hash")).union(
+        word.where(F.col("i") == F.col("n") - 1).select("ord", "n", "n", "before")
     )
-    # The last row of a line holds the totals; they come by a second frame of the same sort.
-    after = line.orderBy("i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    word = word.withColumn("move_all", F.last("move_run").over(after)).withColumn("stay_all", F.last("stay_run").over(after))
-    without = F.col("stay_run").bitwiseXOR(F.col("stay")).bitwiseXOR(F.col("move_all")).bitwiseXOR(F.col("move_run"))
-    options = F.array(
-        F.struct(F.xxhash64(F.col("n") - 1, without).alias("key"), F.lit(1).alias("kind")),
-        F.struct(F.xxhash64("n", "i", without).alias("key"), F.lit(2).alias("kind")),
-        F.struct(F.when(F.col("i") == 0, F.xxhash64("n", "stay_all")).alias("key"), F.lit(0).alias("kind")),
+    options = F.when(F.col("i") == F.col("n"), F.array(F.struct(F.xxhash64("n", "hash").alias("key"), F.lit(0).alias("kind")))).otherwise(
+        F.array(
+            F.struct(F.xxhash64(F.col("n") - 1, "hash").alias("key"), F.lit(1).alias("kind")),
+            F.struct(F.xxhash64("n", "i", "hash").alias("key"), F.lit(2).alias("kind")),
+        )
     )
-    return word.select("hash_a", "hash_b", "place", "n", F.explode(options).alias("o")).select(
-        "hash_a", "hash_b", "place", "n", "o.key", "o.kind"
-    ).where(F.col("key").isNotNull() & ((F.col("kind") != 1) | (F.col("n") > MIN_WORDS)))
+    return short.union(long).select("ord", "n", F.inline(options)).where((F.col("kind") != 1) | (F.col("n") > MIN_WORDS)).drop("n")
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -107,47 +147,55 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(n == m, apart(a, b) <= EDITS).when(F.abs(n - m) == 1, rest == other).otherwise(False)
 
 
+def _near_lines(documents: DataFrame, first: DataFrame) -> DataFrame:
+    """hash_a, hash_b and ``earlier``, the place of an earlier line one edit away."""
+    sides = first.where("head is not null").select("hash_a", "hash_b", F.explode(F.array("head", "tail")).alias("side"))
+    shared = sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side")
+    close = first.join(sides.join(shared, "side", "left_semi"), ["hash_a", "hash_b"], "left_semi").select("hash_a", "hash_b", "place")
+    # Written in the order of the lines, so the row numbers are in that order.
+    ordered = _fetch(documents, close).orderBy("place").withColumn("ord", F.monotonically_increasing_id())
+    fetched = materialize(ordered, "lines")
+    lines = materialize(_fitting(fetched), "near-lines")
+    keys = materialize(_variants(lines), "variants")
+    shared = keys.groupBy("key").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high")
+    kept = materialize(keys.join(shared, "key", "left_semi"), "shared-variants")
+    least = kept.groupBy("key").agg(
+        F.min(F.when(F.col("kind") == 0, F.col("ord"))).alias("whole"),
+        F.min(F.when(F.col("kind") == 1, F.col("ord"))).alias("shorter"),
+        F.min(F.when(F.col("kind") == 2, F.col("ord"))).alias("swapped"),
+    )
+    earlier = F.when(F.col("kind") == 0, F.col("shorter")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("swapped"))
+    found = kept.join(least, "key").select("ord", earlier.alias("earlier")).where("earlier < ord").distinct()
+    mine = lines.select("ord", F.col("place").alias("mine"), F.col("words").alias("words_a"))
+    theirs = lines.select(F.col("ord").alias("earlier"), F.col("place").alias("theirs"), F.col("words").alias("words_b"))
+    checked = found.join(mine, "ord").join(theirs, "earlier").where(_one_edit(F.col("words_a"), F.col("words_b")))
+    near = materialize(checked.groupBy(F.col("mine").alias("place")).agg(F.min("theirs").alias("earlier")), "near")
+    remove(fetched, lines, keys, kept)
+    return near
+
+
 def duplicate_lines(documents: DataFrame) -> DataFrame:
     """doc, text_hash, line_no of every dropped line, and doc and line number of an earlier one."""
-    hashed = _hashes(split_lines(documents))
+    hashed = materialize(line_hashes(documents), "line-hashes")
     first = hashed.groupBy("hash_a", "hash_b").agg(
-        F.min(_place()).alias("place"), F.first("head").alias("head"), F.first("tail").alias("tail"), F.count("*").alias("copies")
+        F.min(_place()).alias("place"), F.max("head").alias("head"), F.max("tail").alias("tail"), F.count("*").alias("copies")
     )
     first = materialize(first, "distinct-lines")
-    # Lines that share their first or last words with another distinct line.
-    sides = first.where("head is not null").select(
-        "hash_a", "hash_b", F.explode(F.array("head", "tail")).alias("side")
-    )
-    shared = sides.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side")
-    near = sides.join(shared, "side", "left_semi").select("hash_a", "hash_b").distinct()
-    near = first.join(near, ["hash_a", "hash_b"], "left_semi").select("hash_a", "hash_b", "place", "place.*")
-    candidates = materialize(
-        split_lines(documents).join(near, ["doc", "text_hash", "line_no"]).dropDuplicates(["hash_a", "hash_b"])
-        .select("hash_a", "hash_b", "place", "words"),
-        "near-lines",
-    )
-    keys = materialize(_variants(candidates), "variants")
-    least = keys.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == 0, F.col("place"))).alias("whole"),
-        F.min(F.when(F.col("kind") == 1, F.col("place"))).alias("shorter"),
-        F.min(F.when(F.col("kind") == 2, F.col("place"))).alias("swapped"),
-        F.max("place").alias("last"),
-    ).where(F.least("whole", "shorter", "swapped") < F.col("last"))
-    earlier = F.when(F.col("kind") == 0, F.col("shorter")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("swapped"))
-    found = keys.join(least, "key").select("hash_a", "hash_b", "place", earlier.alias("earlier")).where("earlier < place")
-    found = found.distinct()
-    mine = candidates.select("hash_a", "hash_b", F.col("words").alias("mine"))
-    theirs = candidates.select(F.col("place").alias("earlier"), F.col("words").alias("theirs"))
-    near = (
-        found.join(mine, ["hash_a", "hash_b"]).join(theirs, "earlier")
-        .where(_one_edit(F.col("mine"), F.col("theirs")))
-        .groupBy("hash_a", "hash_b").agg(F.min("earlier").alias("earlier"))
-    )
+    near = _near_lines(documents, first)
     # A line goes when it is not the first of its own copies, or that first one has a neighbour.
-    repeated = first.join(near, ["hash_a", "hash_b"], "left").where("copies > 1 or earlier is not null")
-    repeated = materialize(repeated.select("hash_a", "hash_b", "place", F.least("earlier", "place").alias("first")), "repeated")
+    repeated = first.join(near, "place", "left").where("copies > 1 or earlier is not null")
+    repeated = materialize(repeated.select("hash_a", "hash_b", F.least("earlier", "place").alias("first")), "repeated")
+    remove(first, near)
     gone = hashed.select("hash_a", "hash_b", _place().alias("mine")).join(repeated, ["hash_a", "hash_b"]).where("first < mine")
-    return gone.select("mine.*", F.col("first.doc").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
+    return gone.select("mine.*", F.col("first.doc").alias("first_doc"), F.col("first.line_no").alias("first_line_no"))
+
+
+def line_report(documents: DataFrame) -> DataFrame:
+    """doc_id, line_no, first_doc_id and first_line_no of every dropped line.
+
+    first_* is an earlier line that equals it or is one edit away."""
+    ids = [F.nullif(F.col(c), F.lit(NO_ID)).alias(name) for c, name in (("doc", "doc_id"), ("first_doc", "first_doc_id"))]
+    return duplicate_lines(documents).select(ids[0], "line_no", ids[1], "first_line_no")
 
 
 def dedup_lines(documents: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -159,7 +207,7 @@ def dedup_lines(documents: DataFrame, columns: list[str] | None = None) -> DataF
         .agg(F.array_sort(F.collect_set("line_no")).alias("gone_lines"))
         .select(F.col("doc").alias("gone_doc"), F.col("text_hash").alias("gone_hash"), "gone_lines")
     )
-    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_doc")) & (F.xxhash64("text") == F.col("gone_hash"))
+    on = (_doc() == F.col("gone_doc")) & (F.xxhash64("text") == F.col("gone_hash"))
     joined = documents.select(*columns).join(gone, on, "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone_lines", i))

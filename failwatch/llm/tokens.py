@@ -80,10 +80,11 @@ class UnitTokenizer:
         flat = np.fromiter((t for x in found for t in x), np.uint32, int(counts.sum()))
         firsts = len(self.ids) + np.cumsum(counts) - counts
         self.ids = np.concatenate([self.ids, flat])
-        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        self.keys = np.concatenate([self.keys, keys])[order]
-        self.firsts = np.concatenate([self.firsts, firsts])[order]
-        self.counts = np.concatenate([self.counts, counts])[order]
+        # Both key lists are sorted, so the new keys are let in without sorting all.
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.firsts = np.insert(self.firsts, at, firsts)
+        self.counts = np.insert(self.counts, at, counts)
 
     def _known(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):

@@ -17,8 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier go, and documents of which nothing is left; n_chars follows."""
-    cleaned = line_dedup.dedup_lines(docs, docs.columns)
-    return line_dedup.with_length(cleaned, docs)
+    return line_dedup.clean_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,31 +198,40 @@ def line_report(documents: DataFrame) -> DataFrame:
     return duplicate_lines(documents).select(ids[0], "line_no", ids[1], "first_line_no")
 
 
-def dedup_lines(documents: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of the documents with ``text`` cleaned, n_lines before and n_dropped."""
-    columns = columns or ["doc_id", "text"]
+def _cleaned(documents: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as c0, c1, ..., so clashing names do no harm, new_text, n_lines and n_dropped."""
     gone = (
         duplicate_lines(documents)
         .groupBy("doc", "text_hash")
         .agg(F.array_sort(F.collect_set("line_no")).alias("gone_lines"))
-        .select(F.col("doc").alias("gone_doc"), F.col("text_hash").alias("gone_hash"), "gone_lines")
     )
-    on = (_doc() == F.col("gone_doc")) & (F.xxhash64("text") == F.col("gone_hash"))
-    joined = documents.select(*columns).join(gone, on, "left")
-    lines = F.split("text", "\n")
+    rows = documents.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)],
+        _doc(), F.xxhash64("text").alias("text_hash"), F.col("text").alias("old_text"),
+    )
+    lines = F.split("old_text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone_lines", i))
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    counts = [
+    joined = rows.join(gone, ["doc", "text_hash"], "left").select(
+        *[f"c{i}" for i in range(len(columns))],
+        F.when(F.col("gone_lines").isNull(), F.col("old_text")).otherwise(F.array_join(kept, "\n")).alias("new_text"),
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone_lines"), F.lit(0)).cast("bigint").alias("n_dropped"),
-    ]
-    cleaned = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns], *counts)
-    return cleaned.where((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
+    )
+    return joined.where((F.col("n_dropped") == 0) | (F.trim(F.translate("new_text", "\n", " ")) != ""))
 
 
-def with_length(cleaned: DataFrame, documents: DataFrame) -> DataFrame:
-    """The columns of ``documents``, with n_chars counted anew where a line was dropped."""
-    chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in documents.columns else None
-    return cleaned.select(
-        *[chars.cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    )
+def dedup_lines(documents: DataFrame) -> DataFrame:
+    """doc_id, the cleaned text, n_lines before and n_dropped."""
+    return _cleaned(documents, ["doc_id"]).select(F.col("c0").alias("doc_id"), F.col("new_text").alias("text"), "n_lines", "n_dropped")
+
+
+def clean_documents(documents: DataFrame) -> DataFrame:
+    """All columns of the documents with the text cleaned and n_chars, if there, counted anew."""
+    def column(i: int, name: str) -> Column:
+        if name == "text":
+            return F.col("new_text")
+        if name == "n_chars":
+            return F.when(F.col("n_dropped") > 0, F.length("new_text")).otherwise(F.col(f"c{i}")).cast(documents.schema[name].dataType)
+        return F.col(f"c{i}")
+
+    return _cleaned(documents, documents.columns).select(*[column(i, c).alias(c) for i, c in enumerate(documents.columns)])

@@ -195,11 +195,9 @@ def linear_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.nda
     return np.bincount(pairs // len(model.keys), model.weights[pairs % len(model.keys)], n)
 
 
-def score(documents: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of the documents, the expected ``severity`` and ``p_toxic``, P(grade > 0)."""
-    columns = columns or ["doc_id"]
-    # Columns travel under own names, so clashing ones in the input do no harm.
-    picked = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("scored_text"))
+def _scored(documents: DataFrame, model: Model, columns: list[str]) -> DataFrame:
+    """The columns as c0, c1, ..., so clashing names do no harm, severity and p_toxic."""
+    picked = documents.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.col("text").alias("scored_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +213,12 @@ def score(documents: DataFrame, model: Model, columns: list[str] | None = None)
                 names = [f"c{i}" for i in range(len(columns))] + ["severity", "p_toxic"]
                 yield pa.record_batch(arrays, names)
 
-    out = picked.mapInArrow(run, f"{schema}, severity double, p_toxic double")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], "severity", "p_toxic")
+    return picked.mapInArrow(run, f"{schema}, severity double, p_toxic double")
+
+
+def score(documents: DataFrame, model: Model) -> DataFrame:
+    """doc_id, the expected ``severity`` and ``p_toxic``, P(grade > 0), of every document."""
+    return _scored(documents, model, ["doc_id"]).select(F.col("c0").alias("doc_id"), "severity", "p_toxic")
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -226,5 +228,5 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose P(grade > 0) is under ``threshold``, all their columns."""
-    kept = score(documents, train(documents, labels), documents.columns)
-    return kept.where(F.col("p_toxic") < threshold).drop("severity", "p_toxic")
+    kept = _scored(documents, train(documents, labels), documents.columns).where(F.col("p_toxic") < threshold)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)])

@@ -325,3 +325,48 @@ def test_csv_keeps_bad_times_as_null(spark, tmp_path):
 def test_empty_samples(spark):
     empty = sources.empty_samples(spark)
     assert empty.count() == 0 and empty.columns == [*SAMPLE_COLUMNS, "ts_us", "seq"]
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_files_are_ordered_by_name_not_by_size(spark, tmp_path, kind):
+    """The larger file comes last by name, and is scanned first."""
+    from failwatch.schemas import SAMPLE_COLUMNS
+
+    def rows(ram, n):
+        return spark.range(n).coalesce(1).selectExpr(
+            "timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) as timestamp", "'s' as service_name",
+            "'x' as stack", "'INFO' as log_level", "repeat('m', 20) as log_message", f"{ram}D as ram_percent", "1D as cpu_percent",
+            "1D as heap_mb_used", "1L as gc_count", "'NORMAL' as ground_truth_label", "'none' as failure_type",
+        ).select(*SAMPLE_COLUMNS)
+
+    folder = tmp_path / "in"
+    for name, df in (("part 0", rows(1, 3)), ("part 1", rows(99, 2000))):
+        df.write.option("header", True).format(kind).save(str(tmp_path / name))
+        folder.mkdir(exist_ok=True)
+        found = next(p for p in (tmp_path / name).iterdir() if p.name.startswith("part-"))
+        (folder / f"{name}.{kind}").write_bytes(found.read_bytes())
+    read = sources.read_csv if kind == "csv" else sources.read_parquet
+    got = read(spark, str(folder)).orderBy("seq").select("ram_percent", "ts_us").collect()
+    assert [r.ram_percent for r in got] == [1.0] * 3 + [99.0] * 2000
+    assert [r.ts_us for r in got[3:]] == sorted(r.ts_us for r in got[3:])
+    first = preprocess.drop_duplicates(read(spark, str(folder))).where("ram_percent = 1")
+    assert first.count() == 3
+
+
+def test_latest_per_service_needs_no_sorted_aggregate(spark):
+    rows = spark.createDataFrame([("a", 1, 1, 2.0)], "service_name string, ts_us bigint, seq bigint, ram_percent double")
+    plan = serve.latest_per_service(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_project_ids_are_null_safe(spark, tmp_path):
+    """Rows without a stack have one project id, in every micro-batch and in the ML table."""
+    from failwatch.streaming.live import LiveJob
+
+    live = LiveJob(spark, str(tmp_path / "out"), str(tmp_path / "state"))
+    schema = "stack string, window_id bigint"
+    batches = [[(None, 1), ("b", 2)], [(None, 3), ("c", 4)], [(None, 5), ("b", 6), ("d", 7)]]
+    for batch, rows in enumerate(batches):
+        ids = live._projects(spark.createDataFrame(rows, schema), batch - 1, batch)
+    assert {r.stack: r.project_id for r in ids.collect()} == {None: "project_1", "b": "project_2", "c": "project_3", "d": "project_4"}
+    assert ids.count() == 4

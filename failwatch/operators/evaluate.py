@@ -170,11 +170,16 @@ def early_warnings(windows: DataFrame) -> DataFrame:
     )
 
 
+#: Ranges whose counts are ordered together; of these groups one row each is ordered.
+RANGES_PER_GROUP = 4096
+
+
 def exact_median(df: DataFrame, column: str, name: str, range_width: int = 10 * MICROS) -> DataFrame:
     """Exact median of a BIGINT column as one row, without gathering the values.
 
-    Values are counted, then the counts summed per range of values; only the ranges
-    that hold the middle are looked at value by value.
+    Values are counted, then the counts summed per range of values and per group of
+    ranges. Only the groups that hold the middle are looked at range by range, and only the
+    ranges that hold it value by value, so no window orders more than a group of ranges.
     """
     counts = materialize(
         df.where(F.col(column).isNotNull())
@@ -188,8 +193,14 @@ def exact_median(df: DataFrame, column: str, name: str, range_width: int = 10 *
     total = ranges.agg(F.sum("rn").alias("total")).select(
         F.floor((F.col("total") + 1) / 2).alias("low"), F.floor((F.col("total") + 2) / 2).alias("high")
     )
-    placed = ranges.withColumn("start", F.coalesce(F.sum("rn").over(before.orderBy("r")), F.lit(0)))
-    middle = placed.join(F.broadcast(total)).where(
+    ranges = ranges.withColumn("g", slot(F.col("r"), RANGES_PER_GROUP))
+    groups = ranges.groupBy("g").agg(F.sum("rn").alias("gn"))
+    groups = groups.withColumn("g_start", F.coalesce(F.sum("gn").over(before.orderBy("g")), F.lit(0)))
+    groups = groups.join(F.broadcast(total)).where(
+        (F.col("g_start") < F.col("high")) & (F.col("g_start") + F.col("gn") >= F.col("low"))
+    )
+    start = F.col("g_start") + F.coalesce(F.sum("rn").over(before.partitionBy("g").orderBy("r")), F.lit(0))
+    middle = ranges.join(groups, "g").withColumn("start", start).where(
         (F.col("start") < F.col("high")) & (F.col("start") + F.col("rn") >= F.col("low"))
     )
     values = counts.join(F.broadcast(middle), "r").withColumn(

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from failwatch.functions import metrics
 from failwatch.functions.timeaxis import from_micros, iso
 from failwatch.operators import evaluate
+from failwatch.operators.history import position
 from failwatch.schemas import FEED_COLUMNS, LIVE_COLUMNS, with_missing
 from failwatch.settings import MINUTE_US
 
@@ -24,15 +25,17 @@ def status(samples: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def latest_per_service(samples: DataFrame) -> DataFrame:
-    """Last timed row of each service; combined before the shuffle."""
+    """Last timed row of each service.
+
+    The position is one number, so its maximum is combined in a hash table before the
+    shuffle; one row per service then picks the rows."""
     rows = with_missing(samples, LIVE_COLUMNS)
     timed = rows.where(F.col("ts_us").isNotNull() & F.col("service_name").isNotNull())
-    payload = F.struct("ts_us", "seq", *[c for c in LIVE_COLUMNS if c != "service_name"])
-    return (
-        timed.groupBy("service_name")
-        .agg(F.max_by(payload, F.struct("ts_us", "seq")).alias("_row"))
-        .select("service_name", "_row.*")
+    placed = timed.select(
+        "service_name", "ts_us", "seq", *[c for c in LIVE_COLUMNS if c != "service_name"], position().alias("_position")
     )
+    last = placed.groupBy("service_name").agg(F.max("_position").alias("_position"))
+    return placed.join(last, ["service_name", "_position"], "left_semi").drop("_position")
 
 
 def alerts(latest: DataFrame) -> DataFrame:

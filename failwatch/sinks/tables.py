@@ -78,7 +78,9 @@ def save_windows(windows: DataFrame, audit_path: str, ml_path: str, projects: Da
     """
     keys = ["ts_us", "seq"]
     audit = with_missing(windows, enrich.AUDIT_COLUMNS).select(*enrich.AUDIT_COLUMNS, *keys)
-    ml = enrich.ml_rows(windows.join(projects, "stack", "left"), keys)
+    ids = projects.select(F.col("stack").alias("_stack"), "project_id")
+    named = windows.join(ids, windows["stack"].eqNullSafe(ids["_stack"]), "left").drop("_stack")
+    ml = enrich.ml_rows(named, keys)
     added = append_new(audit, audit_path)
     append_new(ml, ml_path)
     return added

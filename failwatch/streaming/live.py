@@ -229,7 +229,8 @@ class LiveJob:
         firsts = numbered.groupBy("stack").agg(F.min("window_id").alias("_first"))
         start = 0
         if known is not None:
-            firsts = firsts.join(known, "stack", "left_anti")
+            # Null-safe: rows without a stack get one id for ever, as in the batch.
+            firsts = firsts.join(known, firsts["stack"].eqNullSafe(known["stack"]), "left_anti")
             start = known.count()
         # One row per stack.
         rank = F.row_number().over(Window.orderBy("_first")) + F.lit(start)

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from failwatch.functions.metrics import is_failure
 from failwatch.operators import preprocess, serve
-from failwatch.schemas import SAMPLES
+from failwatch.schemas import LIVE_COLUMNS, SAMPLES, with_missing
 
 
 def read_samples_stream(
@@ -40,7 +40,10 @@ def failures_per_minute_stream(df: DataFrame, delay: str = "2 minutes") -> DataF
 
 def latest_per_service_stream(df: DataFrame) -> DataFrame:
     """Latest row of each service; one row of state per service, combined map-side."""
-    return serve.latest_per_service(df)
+    rows = with_missing(df, LIVE_COLUMNS).where(F.col("ts_us").isNotNull() & F.col("service_name").isNotNull())
+    payload = F.struct("ts_us", "seq", *[c for c in LIVE_COLUMNS if c != "service_name"])
+    latest = rows.groupBy("service_name").agg(F.max_by(payload, F.struct("ts_us", "seq")).alias("_row"))
+    return latest.select("service_name", "_row.*")
 
 
 def alerts_stream(df: DataFrame) -> DataFrame:

@@ -53,13 +53,6 @@ def tpl2(spark, sf_dir):
     return templates.template_catalogue(_mined(spark, sf_dir))
 
 
-@register("src11_empty_samples", None)
-def src11(spark, sf_dir):
-    """No sample matches, yet the schema is that of the samples."""
-    rows = adapter.samples(spark, sf_dir).where("seq < 0")
-    return sources.empty_samples(spark).unionByName(rows.select(*SAMPLE_COLUMNS, "ts_us", "seq"))
-
-
 @register("src13_ml_table_read_back", sql(ML, "SELECT * FROM ml"))
 def src13(spark, sf_dir):
     path = new_path(spark, "ml")

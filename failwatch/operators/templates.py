@@ -14,12 +14,13 @@ yet nearly all rows change nothing. So the work is split in two:
 The matching also finds rows that would still change a template. Those are added and
 the replay repeated until there are none; then every row has exactly the result of one
 pass in order. Leaves that do not settle, or models too large to send to all tasks, take
-the pass in order itself: rows stream through a sorted partition and only the templates
-of the current leaf are held.
+the pass in order itself: rows stream through a sorted partition, behind the templates that the
+leaf has from an earlier model, and only the templates of the current leaf are held.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,6 +36,8 @@ from failwatch.settings import DEFAULTS, Settings
 from failwatch.storage import materialize
 
 WILDCARD = "<*>"
+#: The blanks that part tokens in Spark's patterns; other Unicode blanks belong to a token.
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 SEED_BUCKETS = 16
 MAX_ROUNDS = 10
 MODEL_LIMIT_BYTES = 64 * 1024 * 1024
@@ -101,6 +104,11 @@ def with_leaf(
 
 # ----------------------------------------------------------- one leaf, small helpers
 
+def split_tokens(message: str) -> list[str]:
+    """The tokens of a message, as ``text.tokens`` has them."""
+    return [t for t in _BLANKS.split(message) if t]
+
+
 @dataclass
 class Leaf:
     """Templates of one leaf at one moment."""
@@ -150,13 +158,13 @@ class Timeline:
         """Leaf, the positions that tell its templates apart, and a result cache."""
         state = self._states.get((leaf, step))
         if state is None:
-            templates = [t.split() for t in self.base.get(leaf, [])]
+            templates = [split_tokens(t) for t in self.base.get(leaf, [])]
             for _, cluster, template in self.changes.get(leaf, [])[:step]:
-                templates[cluster:cluster + 1] = [template.split()]
+                templates[cluster:cluster + 1] = [split_tokens(template)]
             fixed = sorted({p for t in templates for p, token in enumerate(t) if token != WILDCARD})
             pick = itemgetter(*fixed) if fixed else (lambda tokens: ())
             if len(self._states) >= 256:
-                self._states.clear()
+                del self._states[next(iter(self._states))]
             state = self._states[(leaf, step)] = (Leaf(templates, self.similarity), pick, {})
         return state
 
@@ -166,7 +174,7 @@ class Timeline:
         if moments is None:
             moments = self._moments[leaf] = [c[0] for c in self.changes.get(leaf, [])]
         state, pick, cache = self._state(leaf, bisect_right(moments, (at, seq)))
-        tokens = message.split()
+        tokens = split_tokens(message)
         key = pick(tokens)
         found = cache.get(key)
         if found is None:
@@ -200,8 +208,8 @@ def _replay(events: DataFrame, base: dict[str, list[str]], similarity: float) ->
             for row in batch.itertuples(index=False):
                 if row.leaf != name:
                     name = row.leaf
-                    leaf = Leaf([t.split() for t in base.get(name, [])], similarity)
-                cluster, changed = leaf.absorb(row.message.split())
+                    leaf = Leaf([split_tokens(t) for t in base.get(name, [])], similarity)
+                cluster, changed = leaf.absorb(split_tokens(row.message))
                 if changed:
                     made.append((name, cluster, row.at, row.seq, " ".join(leaf.templates[cluster])))
             yield pd.DataFrame(made, columns=["leaf", "cluster", "at", "seq", "template"])
@@ -209,26 +217,31 @@ def _replay(events: DataFrame, base: dict[str, list[str]], similarity: float) ->
     return _in_order(events.select("leaf", "at", "seq", "message")).mapInPandas(run, VERSION)
 
 
-def _matched(df: DataFrame, timeline: Timeline, final: bool) -> DataFrame:
-    """Add ``_match`` (cluster, template, changes) to every row, without a shuffle."""
+def _matched(df: DataFrame, timeline: Timeline, final: bool, ids: dict[tuple[str, int], int] | None = None) -> DataFrame:
+    """Add ``_match`` (cluster, template, template_id, changes) to every row, without a shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(
-        (timeline.base, [(k, c, p[0], p[1], t) for k, v in timeline.changes.items() for p, c, t in v])
+        (timeline.base, [(k, c, p[0], p[1], t) for k, v in timeline.changes.items() for p, c, t in v], ids or {})
     )
     similarity = timeline.similarity
 
-    @F.pandas_udf("cluster int, template string, changes boolean")
+    @F.pandas_udf("cluster int, template string, template_id bigint, changes boolean")
     def match(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        base, versions = shared.value
+        base, versions, numbers = shared.value
         local = Timeline(base, versions, similarity)
         for leaf, at, seq, message in columns:
             found = [local.look_up(*row, final) for row in zip(leaf, at, seq, message)]
-            yield pd.DataFrame(found, columns=["cluster", "template", "changes"])
+            numbered = [numbers.get((name, f[0]), -1) for name, f in zip(leaf, found)]
+            frame = pd.DataFrame(found, columns=["cluster", "template", "changes"])
+            frame.insert(2, "template_id", numbered)
+            yield frame
 
     return df.withColumn("_match", match("leaf", "at", "seq", "log_message"))
 
 
-def _pass_in_order(df: DataFrame, base: dict[str, list[str]], similarity: float) -> DataFrame:
-    """The plain pass: every row absorbed in order, one leaf at a time."""
+def _pass_in_order(df: DataFrame, catalogue: DataFrame | None, similarity: float) -> DataFrame:
+    """The plain pass: every row absorbed in order, one leaf at a time.
+
+    The templates of the catalogue come first in their leaf, so it may have any size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, leaf = None, Leaf()
@@ -237,13 +250,20 @@ def _pass_in_order(df: DataFrame, base: dict[str, list[str]], similarity: float)
             for row in batch.itertuples(index=False):
                 if row.leaf != name:
                     name = row.leaf
-                    leaf = Leaf([t.split() for t in base.get(name, [])], similarity)
-                cluster, _ = leaf.absorb(row.message.split())
+                    leaf = Leaf([], similarity)
+                if row.known:
+                    leaf.templates.append(split_tokens(row.message))
+                    continue
+                cluster, _ = leaf.absorb(split_tokens(row.message))
                 made.append((name, row.at, row.seq, cluster, " ".join(leaf.templates[cluster])))
             yield pd.DataFrame(made, columns=["leaf", "at", "seq", "cluster", "template"])
 
-    keys = df.select("leaf", "at", "seq", F.col("log_message").alias("message"))
-    return _in_order(keys).mapInPandas(
+    keys = df.select("leaf", F.lit(False).alias("known"), "at", "seq", F.col("log_message").alias("message"))
+    if catalogue is not None:
+        first = F.col("cluster").cast("bigint").alias("at")
+        keys = keys.union(catalogue.select("leaf", F.lit(True), first, F.lit(0).cast("bigint"), F.col("template")))
+    ordered = keys.repartition("leaf").sortWithinPartitions("leaf", F.desc("known"), "at", "seq")
+    return ordered.mapInPandas(
         run, "leaf string, at bigint, seq bigint, cluster int, template string"
     )
 
@@ -279,18 +299,18 @@ def _fits(table: DataFrame, column: str) -> bool:
     return size <= MODEL_LIMIT_BYTES
 
 
-def catalogue_base(catalogue: DataFrame | None) -> tuple[dict[str, list[str]], int]:
-    """Templates per leaf in cluster order and the highest id of a kept catalogue."""
+def catalogue_base(catalogue: DataFrame | None) -> tuple[dict[str, list[str]], dict[tuple[str, int], int]] | None:
+    """Templates per leaf in cluster order and their ids; None if they are too large to send."""
     if catalogue is None:
-        return {}, 0
+        return {}, {}
     if not _fits(catalogue, "template"):
-        raise ValueError("the catalogue is too large to start from; mine it again from the rows")
+        return None
     base: dict[str, list[str]] = {}
-    highest = 0
+    ids: dict[tuple[str, int], int] = {}
     for r in catalogue.orderBy("leaf", "cluster").toLocalIterator():
         base.setdefault(r["leaf"], []).append(r["template"])
-        highest = max(highest, r["template_id"])
-    return base, highest
+        ids[r["leaf"], r["cluster"]] = r["template_id"]
+    return base, ids
 
 
 def mine_templates(
@@ -308,10 +328,19 @@ def mine_templates(
     Runs jobs: the versions have to be known before rows can be matched. (ts_us, seq)
     must identify a row.
     """
-    base, highest = catalogue_base(catalogue)
+    highest = 0
+    if catalogue is not None:
+        highest = catalogue.agg(F.max("template_id")).first()[0] or 0
+    known = catalogue_base(catalogue)
     rows = materialize(with_leaf(df, settings, catalogue), "leaves")
+    if known is None:
+        found = materialize(_unsettled(rows, catalogue, settings, final), "templates")
+        return _with_ids(found, highest, catalogue).drop("at", "pattern")
+    base, ids = known
     events = materialize(_first_events(rows), "events")
     timeline, unsettled = None, rows.select("leaf").distinct()
+    # Leaves are independent, so one that has settled is not looked at again.
+    open_rows = rows
     for _ in range(MAX_ROUNDS):
         versions = materialize(_replay(events, base, settings.similarity), "versions")
         if not _fits(versions, "template"):
@@ -319,37 +348,47 @@ def mine_templates(
             break
         timeline = Timeline(base, [tuple(r) for r in versions.collect()], settings.similarity)
         late = materialize(
-            _first_changes(_matched(rows, timeline, False).where("_match.changes")), "late"
+            _first_changes(_matched(open_rows, timeline, False).where("_match.changes")), "late"
         )
         unsettled = late.select("leaf").distinct()
+        open_rows = rows.join(unsettled, "leaf", "left_semi")
         if late.isEmpty():
             unsettled = None
             break
         events = materialize(events.unionByName(late), "events")
 
     if unsettled is None:
-        found = _settled(rows, timeline, final)
-    elif timeline is None:
-        found = _unsettled(rows, base, settings, final)
+        # The ids go with the model, so one pass over the rows gives all three columns.
+        return _settled(rows, timeline, final, ids | _first_ids(timeline, base, highest)).drop("at", "pattern")
+    if timeline is None:
+        found = _unsettled(rows, catalogue, settings, final)
     else:
         unsettled = materialize(unsettled, "unsettled")
-        found = _settled(rows.join(unsettled, "leaf", "left_anti"), timeline, final).unionByName(
-            _unsettled(rows.join(unsettled, "leaf", "left_semi"), base, settings, final)
+        found = _settled(rows.join(unsettled, "leaf", "left_anti"), timeline, final, {}).drop("template_id").unionByName(
+            _unsettled(rows.join(unsettled, "leaf", "left_semi"), catalogue, settings, final)
         )
-        found = materialize(found, "templates")
-    return _with_ids(found, timeline if unsettled is None else None, base, highest, catalogue).drop(
-        "at", "pattern"
-    )
+    return _with_ids(materialize(found, "templates"), highest, catalogue).drop("at", "pattern")
 
 
-def _settled(rows: DataFrame, timeline: Timeline, final: bool) -> DataFrame:
-    return _matched(rows, timeline, final).select(
-        *rows.columns, F.col("_match.cluster").alias("cluster"), F.col("_match.template").alias("log_template")
+def _settled(rows: DataFrame, timeline: Timeline, final: bool, ids: dict[tuple[str, int], int]) -> DataFrame:
+    return _matched(rows, timeline, final, ids).select(
+        *rows.columns, F.col("_match.cluster").alias("cluster"), F.col("_match.template").alias("log_template"),
+        F.col("_match.template_id").alias("template_id"),
     )
 
 
-def _unsettled(rows: DataFrame, base: dict, settings: Settings, final: bool) -> DataFrame:
-    found = materialize(_pass_in_order(rows, base, settings.similarity), "in-order")
+def _first_ids(timeline: Timeline, base: dict, highest: int) -> dict[tuple[str, int], int]:
+    """Ids of the clusters that are not in the catalogue, by their first row."""
+    first: dict[tuple, tuple] = {}
+    for leaf, changes in timeline.changes.items():
+        for moment, cluster, _ in changes:
+            if cluster >= len(base.get(leaf, [])):
+                first.setdefault((leaf, cluster), moment)
+    return {k: highest + i for i, k in enumerate(sorted(first, key=first.get), 1)}
+
+
+def _unsettled(rows: DataFrame, catalogue: DataFrame | None, settings: Settings, final: bool) -> DataFrame:
+    found = materialize(_pass_in_order(rows, catalogue, settings.similarity), "in-order")
     if final:
         last = found.groupBy("leaf", "cluster").agg(
             F.max_by("template", F.struct("at", "seq")).alias("template")
@@ -359,25 +398,12 @@ def _unsettled(rows: DataFrame, base: dict, settings: Settings, final: bool) ->
     return rows.join(found, ["leaf", "at", "seq"]).select(*rows.columns, "cluster", "log_template")
 
 
-def _with_ids(
-    found: DataFrame, timeline: Timeline | None, base: dict, highest: int, catalogue: DataFrame | None
-) -> DataFrame:
+def _with_ids(found: DataFrame, highest: int, catalogue: DataFrame | None) -> DataFrame:
     """Number the clusters that are not in the catalogue by their first row."""
-    spark = found.sparkSession
-    if timeline is not None:
-        first: dict[tuple, tuple] = {}
-        for leaf, changes in timeline.changes.items():
-            for moment, cluster, _ in changes:
-                if cluster >= len(base.get(leaf, [])):
-                    first.setdefault((leaf, cluster), moment)
-        # Bounded like the timeline it comes from.
-        numbered = [(*k, highest + i) for i, k in enumerate(sorted(first, key=first.get), 1)]
-        ids = spark.createDataFrame(numbered, "leaf string, cluster int, template_id bigint")
-    else:
-        clusters = found.groupBy("leaf", "cluster").agg(F.min(F.struct("at", "seq")).alias("_from"))
-        if catalogue is not None:
-            clusters = clusters.join(catalogue.select("leaf", "cluster"), ["leaf", "cluster"], "left_anti")
-        ids = _number_clusters(clusters, highest)
+    clusters = found.groupBy("leaf", "cluster").agg(F.min(F.struct("at", "seq")).alias("_from"))
+    if catalogue is not None:
+        clusters = clusters.join(catalogue.select("leaf", "cluster"), ["leaf", "cluster"], "left_anti")
+    ids = _number_clusters(clusters, highest)
     if catalogue is not None:
         ids = ids.unionByName(catalogue.select("leaf", "cluster", "template_id"))
     return found.join(ids, ["leaf", "cluster"])

@@ -131,3 +131,26 @@ def test_matching_does_not_shuffle(spark):
     plan = templates._matched(materialize(leafed), timeline, False)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert leafed.where(F.col("leaf") == "3 job").count() == 3
+
+
+def test_unicode_blanks_belong_to_tokens(spark):
+    got = mined(spark, ["alpha beta gamma omega", "alpha beta delta omega"])
+    assert got == [(1, "alpha beta gamma omega"), (1, f"alpha {WILD} omega")]
+
+
+def test_a_large_catalogue_continues(spark, monkeypatch):
+    messages = random_messages(400, 7)
+    rows = [{"ts_us": T0 + i, "log_message": m} for i, m in enumerate(messages)]
+    df = rows_to_df(spark, rows)
+    first = templates.mine_templates(df.where("seq < 250"))
+    model = templates.template_catalogue(first)
+    monkeypatch.setattr(templates, "MODEL_LIMIT_BYTES", 0)
+    second = templates.mine_templates(df.where("seq >= 250"), catalogue=model)
+    both = first.unionByName(second).orderBy("seq").collect()
+    assert [(r["template_id"], r["log_template"]) for r in both] == sequential(messages)[0]
+
+
+def test_rows_are_matched_once_and_not_moved(spark):
+    rows = [{"ts_us": T0 + i, "log_message": f"job {i} done"} for i in range(50)]
+    plan = templates.mine_templates(rows_to_df(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Join" not in plan

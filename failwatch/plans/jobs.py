@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from failwatch.operators import classify, evaluate, sweeps, templates, windows
+from failwatch.operators import classify, evaluate, preprocess, sweeps, templates, trends, windows
 from failwatch.operators.importance import feature_importance
 from failwatch.plans.stages import Stages
 from failwatch.settings import DEFAULTS, Settings
 from failwatch.sinks import tables
+from failwatch.sources import samples as sources
 
 
 class Reports(Mapping):
@@ -58,10 +59,15 @@ def run_without_export(
 
 
 def reports(stages: Stages, settings: Settings = DEFAULTS) -> Reports:
-    """Every evaluation of the labels."""
+    """Every report on the source, the cleaning, the trends and the labels."""
+    raw = stages.samples
     samples, rows = stages.classified, stages.window_rows
     return Reports(
         {
+            "rows_per_service": lambda: sources.rows_per_service(raw),
+            "source_labels": lambda: classify.distribution(raw, "ground_truth_label"),
+            "quality": lambda: preprocess.quality_report(raw, settings),
+            "trends": lambda: trends.trend_report(stages.trended),
             "label_distribution": lambda: classify.distribution(samples, "hybrid_label"),
             "failure_types": lambda: classify.distribution(samples, "failure_type"),
             "templates": lambda: templates.template_count(samples),

@@ -47,7 +47,11 @@ def test_batch_tables(spark, samples, tmp_path):
     assert sorted(ids) == list(range(1, n + 1))
     counts = result.reports["overall"].first()
     assert counts["tp"] + counts["fp"] + counts["fn"] + counts["tn"] == n
-    assert "ablation" in result.reports and len(result.reports) == 21
+    assert "ablation" in result.reports and len(result.reports) == 25
+    seen = {r["service_name"]: r["rows"] for r in result.reports["rows_per_service"].collect()}
+    assert sum(seen.values()) == samples.where("service_name is not null").count()
+    assert sum(r["rows"] for r in result.reports["source_labels"].collect()) == samples.count()
+    assert result.reports["quality"].count() == 1 and result.reports["trends"].count() == 6
 
 
 def test_append_new_is_idempotent(spark, stages, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,7 +12,9 @@ import pytest
 import __spark_entry__ as contract
 from failwatch.llm import chat, neighbours, warc
 from failwatch.llm.files import listed, resolve
+from failwatch.llm.catalog import ORACLE_SQL
 from failwatch.storage import new_path
+from tests.oracle import connect, difference
 
 
 def test_neighbours_recall(spark, sf_dir):
@@ -117,3 +120,9 @@ def test_warc_skips_damage_and_false_magic(spark):
 def test_queries_are_registered():
     names = set(contract.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+
+
+@pytest.mark.parametrize("key", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, sf_dir, key):
+    entry = SimpleNamespace(query=contract.queries()[key], sql=contract.oracle_sql()[key])
+    assert difference(spark, connect(sf_dir), sf_dir, entry) is None

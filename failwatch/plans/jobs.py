@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from failwatch.operators import classify, evaluate, preprocess, sweeps, templates, trends, windows
 from failwatch.operators.importance import feature_importance
-from failwatch.plans.stages import Stages
+from failwatch.plans.stages import Stages, Templating
 from failwatch.settings import DEFAULTS, Settings
 from failwatch.sinks import tables
 from failwatch.sources import samples as sources
@@ -39,14 +39,19 @@ class BatchResult:
     reports: Reports
 
 
-def run_batch(samples: DataFrame, out_dir: str, settings: Settings = DEFAULTS) -> BatchResult:
-    """Clean, mine, label, window, write both tables and prepare every report."""
-    stages = Stages(samples, settings)
+def run_batch(
+    samples: DataFrame, out_dir: str, settings: Settings = DEFAULTS, templating: Templating | None = None
+) -> BatchResult:
+    """Clean, mine, label, window, write both tables and prepare every report.
+
+    ``templating`` replaces the mining; the catalogue of clusters is that of the miner."""
+    stages = Stages(samples, settings, templating)
     tables.write_audit(stages.trended, f"{out_dir}/audit")
     stages.write_ml(f"{out_dir}/ml_ready")
-    templates.template_catalogue(stages.templated).write.mode("overwrite").parquet(
-        f"{out_dir}/template_catalogue"
-    )
+    if templating is None:
+        templates.template_catalogue(stages.templated).write.mode("overwrite").parquet(
+            f"{out_dir}/template_catalogue"
+        )
     return BatchResult(stages, reports(stages, settings))
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from failwatch.operators import enrich
 from failwatch.schemas import SAMPLE_COLUMNS, with_missing
-from failwatch.storage import materialize
+from failwatch.storage import exists, materialize
 
 DAY = "day"
+# Messages keep their blanks, and a quote inside quotes is doubled.
+CSV = {
+    "header": True, "escape": '"', "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 # What identifies a written row; kept in the stored tables next to their columns.
 ROW_KEYS = ["service_name", "ts_us", "seq"]
 
@@ -21,7 +26,7 @@ def _by_day(df: DataFrame) -> DataFrame:
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", file_format: str = "parquet") -> None:
     writer = _by_day(df).write.mode(mode).partitionBy(DAY).format(file_format)
     if file_format == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV)
     writer.save(path)
 
 
@@ -40,17 +45,10 @@ def write_samples(samples: DataFrame, path: str, file_format: str = "csv") -> No
     rows = with_missing(samples, SAMPLE_COLUMNS).select(*SAMPLE_COLUMNS)
     writer = rows.write.mode("overwrite").format(file_format)
     if file_format == "csv":
-        writer = writer.option("header", True).option(
-            "timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS"
-        )
+        writer = writer.options(**CSV)
     writer.save(path)
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
 def append_new(df: DataFrame, path: str, keys: list[str] = ROW_KEYS) -> int:
     """Append the rows whose key is not in the table yet; gives their number.
 
@@ -59,7 +57,7 @@ def append_new(df: DataFrame, path: str, keys: list[str] = ROW_KEYS) -> int:
     """
     spark = df.sparkSession
     rows = df.withColumn(DAY, F.to_date("timestamp"))
-    if table_exists(spark, path):
+    if exists(spark, path):
         written = spark.read.parquet(path)
         # A batch spans few days; the list prunes partitions of the stored table.
         days = [r[DAY] for r in rows.select(DAY).distinct().collect()]

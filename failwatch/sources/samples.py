@@ -54,10 +54,11 @@ def _positioned(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Samples from CSV with a header; a time that cannot be read becomes null.
 
+    Inside quotes a doubled quote is a quote, as the common writers of CSV have it.
     Spark raises an error when the path does not exist. No global sort: order lives in
     the order keys.
     """
-    raw = spark.read.schema(_TIME_AS_TEXT).option("header", True).option("enforceSchema", False).csv(path)
+    raw = spark.read.schema(_TIME_AS_TEXT).options(header=True, enforceSchema=False, escape='"').csv(path)
     return with_order(_positioned(raw).withColumn("timestamp", F.try_to_timestamp("timestamp")))
 
 

@@ -17,6 +17,8 @@ def read_samples_stream(
 ) -> DataFrame:
     """Samples arriving as files; other sources give the same columns."""
     reader = spark.readStream.schema(schema).format(file_format)
+    if file_format == "csv":
+        reader = reader.options(header=True, escape='"')
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(path)

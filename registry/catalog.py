@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from failwatch import settings as S
 from failwatch.functions import metrics, text
@@ -16,6 +16,7 @@ from failwatch.schemas import (
     AUDIT_COLUMNS, FEATURE_COLUMNS, FEED_COLUMNS, LIVE_COLUMNS, ML_COLUMNS, SAMPLE_COLUMNS,
     TREND_COLUMNS,
 )
+from failwatch.sinks import tables
 from failwatch.sources import container, samples as sources
 from failwatch.storage import materialize, new_path
 from registry import adapter, oracle_parts as P
@@ -74,23 +75,28 @@ def r6s(columns: list[str]) -> str:
 # --------------------------------------------------------------------------- sources
 
 @register("src1_csv_scan", sql(P.RAW, f"""
-    SELECT {KEY_LIST}, stack, log_level, log_message, {r6s(METRICS)}, gc_count, ground_truth_label FROM raw
-    WHERE seq < {adapter.COPY_SEQ} AND trim(log_message) <> ''"""))
+    SELECT row_number() OVER (PARTITION BY service_name, ts_us // 60000000 ORDER BY ts_us, seq) AS row_no, service_name, ts_us, stack, log_level, log_message,
+           {r6s(METRICS)}, gc_count, ground_truth_label FROM raw"""))
 def src1(spark, sf_dir):
-    """Write the samples as CSV, read them back with the declared schema."""
+    """Write the samples as CSV files in order, read them back with the declared schema.
+
+    Rows are numbered within a service and minute by the reader's own order; messages hold
+    blanks, quotes and commas."""
     path = new_path(spark, "samples")
-    rows = adapter.samples(spark, sf_dir).where(
-        (F.col("seq") < adapter.COPY_SEQ) & ~text.is_blank(F.col("log_message"))
+    rows = adapter.samples(spark, sf_dir).withColumn(
+        "timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    )
+    quoted = F.when(F.col("log_message").startswith("ERROR"), F.concat(F.lit('a, "b" '), "log_message"))
+    (
+        rows.withColumn("log_message", F.coalesce(quoted, "log_message")).orderBy("ts_us", "seq").select(*SAMPLE_COLUMNS)
+        .write.options(**tables.CSV).csv(path)
     )
-    rows.select(
-        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
-        *[c for c in SAMPLE_COLUMNS if c != "timestamp"],
-    ).write.option("header", True).csv(path)
-    back = sources.read_csv(spark, path).drop("seq")
-    # A CSV row has no event id; the message or the counters do not hold it either.
-    ids = rows.select("service_name", "ts_us", "seq")
-    return out(back.join(ids, ["service_name", "ts_us"]), *KEYS, "stack", "log_level", "log_message",
-               *METRICS, "gc_count", "ground_truth_label")
+    back = sources.read_csv(spark, path)
+    order = Window.partitionBy("service_name", F.call_function("div", "ts_us", F.lit(60_000_000))).orderBy("seq")
+    numbered = back.withColumn("row_no", F.row_number().over(order).cast("bigint"))
+    plain = F.regexp_replace("log_message", '^a, "b" ', "")
+    return out(numbered.withColumn("log_message", plain), "row_no", "service_name", "ts_us", "stack", "log_level",
+               "log_message", *METRICS, "gc_count", "ground_truth_label")
 
 
 @register("src2_rows_per_service", sql(P.RAW, "SELECT service_name, count(*) AS rows FROM raw GROUP BY 1"))
@@ -160,22 +166,17 @@ def src9(spark, sf_dir):
 
 @register("src10_container_samples", sql(
     P.CONTAINER + f"""{P.LINES.replace('base AS', ', base AS', 1)},
-    ticked AS (SELECT *, ts_us - ts_us % 60000000 AS tick FROM container_metrics),
-    first_of_tick AS (SELECT * FROM ticked QUALIFY row_number() OVER (PARTITION BY name, tick ORDER BY seq) = 1)""",
+    ticked AS (SELECT *, ts_us - ts_us % 60000000 AS tick FROM container_metrics)""",
     f"""SELECT c.name AS service_name, c.tick AS ts_us, c.seq, {P.STACK_OF('image_tag')} AS stack, log_message,
         {P.LEVEL('log_message')} AS log_level, {r6s(METRICS)},
         sum(CASE WHEN regexp_matches(upper(log_message), 'GC|GARBAGE|COLLECTION') THEN 1 ELSE 0 END) OVER (
             PARTITION BY c.name ORDER BY c.tick, c.seq)::BIGINT AS gc_count,
         'UNKNOWN' AS ground_truth_label, 'none' AS failure_type
-    FROM first_of_tick c LEFT JOIN last_lines l ON c.name = l.name AND c.tick = l.tick"""))
+    FROM ticked c LEFT JOIN last_lines l ON c.name = l.name AND c.tick = l.tick"""))
 def src10(spark, sf_dir):
-    """One complete stats record per service and minute with the last lines of that minute."""
-    stats = container.parse_stats(adapter.container_stats(spark, sf_dir)).where("stats_ok")
+    """All complete stats records, each with the last lines of its minute."""
     minute = F.col("ts_us") - F.pmod("ts_us", F.lit(60_000_000))
-    first = stats.withColumn("ts_us", minute).groupBy("name", "ts_us").agg(
-        F.min_by(F.struct("seq", "image_tag", "stats"), "seq").alias("r")
-    )
-    records = first.select("name", "ts_us", "r.*")
+    records = adapter.container_stats(spark, sf_dir).withColumn("ts_us", minute)
     samples = container.container_samples(records, adapter.log_lines(spark, sf_dir))
     return out(samples, *KEYS, "stack", "log_message", "log_level", *METRICS, "gc_count",
                "ground_truth_label", "failure_type")
@@ -849,7 +850,10 @@ _AUDIT_DOUBLES = {*FEATURE_COLUMNS, *METRICS} - {"gc_spike_count"}
 @register("snk1_audit_table", sql(P.WINDOWS, "SELECT epoch_us(make_timestamp(ts_us)) AS ts_us, " + ", ".join(
     r6(c, c) if c in _AUDIT_DOUBLES else c for c in _AUDIT) + " FROM windows"))
 def snk1(spark, sf_dir):
-    audit = enrich.audit_table(_ids(spark, sf_dir)).withColumn("ts_us", F.unix_micros("timestamp"))
+    """The written files, read back."""
+    path = new_path(spark, "audit")
+    tables.write_audit(_ids(spark, sf_dir), path)
+    audit = spark.read.parquet(path).withColumn("ts_us", F.unix_micros("timestamp"))
     return out(audit, "ts_us", *_AUDIT)
 
 
@@ -858,10 +862,18 @@ def snk2(spark, sf_dir):
     return out(_ml(spark, sf_dir), *_ML)
 
 
-@register("snk6_json_records", sql(P.RAW, """
-    SELECT '{"service_name":"' || service_name || '","gc_count":' || gc_count || ',"missing":null,"timestamp":"'
-           || CASE WHEN ts_us % 1000000 = 0 THEN strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S')
-                   ELSE strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f') END || '"}' AS record FROM raw"""))
+_ISO = """CASE WHEN ts_us % 1000000 = 0 THEN strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S')
+    ELSE strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f') END"""
+_CELL = lambda c: f"""'"{c}":' || coalesce(to_json({c})::VARCHAR, 'null')"""
+
+
+@register("snk6_json_records", sql(P.RAW + f""",
+    told AS (SELECT * REPLACE (round(ram_percent * 8) / 8 AS ram_percent, round(heap_mb_used * 8) / 8 AS heap_mb_used),
+             {_ISO} AS timestamp, 'none' AS failure_type FROM raw)""",
+    "SELECT '{' || " + " || ',' || ".join(_CELL(c) for c in SAMPLE_COLUMNS)
+    + " || ',\"missing\":null}' AS record FROM told"))
 def snk6(spark, sf_dir):
-    rows = adapter.samples(spark, sf_dir).withColumn("missing", F.lit(float("nan")))
-    return serve.to_records(rows.select("service_name", "gc_count", "missing", "timestamp"))
+    """All columns; memory in eighths, since the engines print long fractions differently."""
+    eighths = {c: F.floor(F.col(c) * 8 + 0.5) / 8 for c in ("ram_percent", "heap_mb_used")}
+    rows = adapter.samples(spark, sf_dir).withColumns(eighths | {"missing": F.lit(float("nan"))})
+    return serve.to_records(rows.select(*SAMPLE_COLUMNS, "missing"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from failwatch.operators import enrich, importance, templates
 from failwatch.plans import jobs
-from failwatch.schemas import FEATURE_COLUMNS, SAMPLES, SAMPLE_COLUMNS
+from failwatch.schemas import FEATURE_COLUMNS, MODEL_COLUMNS, SAMPLES, SAMPLE_COLUMNS
 from failwatch.sinks import tables
 from failwatch.sources import samples as sources
 from failwatch.storage import materialize, new_path
@@ -53,6 +53,25 @@ def tpl2(spark, sf_dir):
     return templates.template_catalogue(_mined(spark, sf_dir))
 
 
+_LEAVES = r"""
+    SELECT n_tokens, first_token, count(*) AS rows, 0::BIGINT AS not_fitting FROM (
+        SELECT len(t)::BIGINT AS n_tokens, CASE WHEN regexp_matches(t[1], '\d') THEN '<*>' ELSE t[1] END AS first_token
+        FROM (SELECT regexp_split_to_array(log_message, '\s+') AS t FROM cleaned WHERE log_message <> ''))
+    GROUP BY ALL"""
+
+
+@register("tpl1_rows_per_leaf", sql(P.CLEANED, _LEAVES))
+def tpl1_leaves(spark, sf_dir):
+    """Mined rows by token count and first token of their final template, and how many do not fit it."""
+    mined = templates.mine_templates(adapter.stages(spark, sf_dir).cleaned, final=True).where("log_message <> ''")
+    pair = F.arrays_zip(F.split("log_template", " ").alias("t"), F.split("log_message", r"\s+").alias("m"))
+    fits = F.forall(pair, lambda x: (x["t"] == "<*>") | x["t"].eqNullSafe(x["m"]))
+    first = F.split("log_template", " ")[0]
+    told = mined.select(F.size(F.split("log_template", " ")).alias("n_tokens"), first.alias("first_token"), fits.alias("fits"))
+    return out(told.groupBy("n_tokens", "first_token").agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("fits")).alias("not_fitting")))
+
+
 @register("src13_ml_table_read_back", sql(ML, "SELECT * FROM ml"))
 def src13(spark, sf_dir):
     path = new_path(spark, "ml")
@@ -76,21 +95,28 @@ def _sample_files(spark: SparkSession, sf_dir: str) -> str:
     path = new_path(spark, "arrivals")
     samples = adapter.samples(spark, sf_dir)
     first, last = samples.agg(F.min("ts_us"), F.max("ts_us")).first()
-    delay = F.pmod(F.xxhash64("seq"), F.lit(60_000_000))
+    delay = F.pmod(F.col("seq") * 7_368_787, F.lit(60_000_000))
     part = F.least(
-        F.floor((F.col("ts_us") + delay - first) * FILES / (last - first + 1)), F.lit(FILES - 1)
+        F.call_function("div", (F.col("ts_us") + delay - first) * FILES, F.lit(last - first + 1)), F.lit(FILES - 1)
     )
     for i in range(FILES):
         samples.where(part == i).select(*_STREAM_SCHEMA.fieldNames()).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.read_samples_stream(spark, _sample_files(spark, sf_dir), _STREAM_SCHEMA)
+#: The samples with the number of the file they arrive in.
+ARRIVED = P.RAW + f""", arrived AS (
+    SELECT *, least((ts_us + seq * 7368787 % 60000000 - (SELECT min(ts_us) FROM raw)) * {FILES}
+                    // (SELECT max(ts_us) - min(ts_us) + 1 FROM raw), {FILES - 1})::BIGINT AS part FROM raw)"""
+
+
+def _arrivals(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
+    path = _sample_files(spark, sf_dir)
+    return streams.read_samples_stream(spark, path, _STREAM_SCHEMA, files_per_batch=files_per_batch)
 
 
 def _collected(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and read its result table."""
+    """Run a stream over what is there and read its result table; updates carry their ``batch``."""
     spark = stream.sparkSession
     path, checkpoint = new_path(spark, "stream"), new_path(spark, "checkpoint")
     if mode == "append":
@@ -99,10 +125,11 @@ def _collected(stream: DataFrame, mode: str) -> DataFrame:
         writer = (
             stream.writeStream.outputMode(mode)
             .option("checkpointLocation", checkpoint)
-            .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+            .foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}"))
         )
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    result = spark.read.parquet(path)
+    return result if mode == "append" else result.withColumn("batch", F.col("batch").cast("bigint"))
 
 
 @register("snk4_stream_append", sql(P.RAW, "SELECT service_name, count(*) AS rows, sum(gc_count)::BIGINT AS gc FROM raw GROUP BY 1"))
@@ -131,37 +158,43 @@ def str1(spark, sf_dir):
 
 @register("str4_stream_failures_per_minute", sql(P.RAW, """
     SELECT service_name, ts_us - ts_us % 60000000 AS minute_us,
-           count(*) FILTER (ground_truth_label = 'FAILURE') AS failures FROM raw GROUP BY 1, 2"""))
+           count(*) FILTER (ground_truth_label = 'FAILURE') AS failures FROM raw GROUP BY 1, 2
+    HAVING minute_us + 60000000 <= (SELECT max(ts_us) FROM raw) - 120000000"""))
 def str4(spark, sf_dir):
-    labelled = _arrivals(spark, sf_dir).withColumn("hybrid_label", F.col("ground_truth_label"))
-    counted = _collected(streams.failures_per_minute_stream(labelled), "complete")
+    """Append mode: minutes come out, final, once the watermark has passed them."""
+    labelled = _arrivals(spark, sf_dir, 1).withColumn("hybrid_label", F.col("ground_truth_label"))
+    counted = _collected(streams.failures_per_minute_stream(labelled), "append")
     return counted.select("service_name", F.unix_micros("minute").alias("minute_us"), "failures")
 
 
-_NEWEST = P.RAW + """, newest AS (
-    SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY service_name ORDER BY ts_us DESC, seq DESC) = 1)"""
+_NEWEST = ARRIVED + f""", batches AS (SELECT DISTINCT service_name, part AS batch FROM arrived),
+    newest AS (
+    SELECT a.*, batch FROM batches JOIN arrived a USING (service_name) WHERE part <= batch
+    QUALIFY row_number() OVER (PARTITION BY service_name, batch ORDER BY ts_us DESC, seq DESC) = 1)"""
 
 
 def _labelled_arrivals(spark, sf_dir):
-    return _arrivals(spark, sf_dir).withColumns(
+    return _arrivals(spark, sf_dir, 1).withColumns(
         {"hybrid_label": F.col("ground_truth_label"), "ts_us": F.unix_micros("timestamp")}
     )
 
 
 @register("str5_stream_latest_per_service", sql(_NEWEST, f"""
-    SELECT service_name, ts_us, stack, log_level, log_message, {r6s(METRICS)}, gc_count,
+    SELECT batch, service_name, ts_us, stack, log_level, log_message, {r6s(METRICS)}, gc_count,
            ground_truth_label AS hybrid_label FROM newest"""))
 def str5(spark, sf_dir):
-    latest = _collected(streams.latest_per_service_stream(_labelled_arrivals(spark, sf_dir)), "complete")
-    return out(latest, "service_name", "ts_us", "stack", "log_level", "log_message", *METRICS, "gc_count", "hybrid_label")
+    """Update mode: after each micro-batch the latest row of the services that had one in it."""
+    latest = _collected(streams.latest_per_service_stream(_labelled_arrivals(spark, sf_dir)), "update")
+    return out(latest, "batch", "service_name", "ts_us", "stack", "log_level", "log_message", *METRICS, "gc_count", "hybrid_label")
 
 
 @register("api12_stream_alerts", sql(_NEWEST, f"""
-    SELECT 'failure_alert' AS type, service_name, 'none' AS failure_type, ground_truth_label AS hybrid_label,
+    SELECT batch, 'failure_alert' AS type, service_name, 'none' AS failure_type, ground_truth_label AS hybrid_label,
            {r6('ram_percent', 'ram_percent')}, ts_us FROM newest WHERE ground_truth_label = 'FAILURE'"""))
 def api12_stream(spark, sf_dir):
-    alerts = _collected(streams.alerts_stream(_labelled_arrivals(spark, sf_dir)), "complete")
-    return out(alerts.withColumn("ts_us", F.unix_micros("timestamp")), "type", "service_name", "failure_type",
+    """Update mode: an alert per micro-batch in which the latest row of a service is a failure."""
+    alerts = _collected(streams.alerts_stream(_labelled_arrivals(spark, sf_dir)), "update")
+    return out(alerts.withColumn("ts_us", F.unix_micros("timestamp")), "batch", "type", "service_name", "failure_type",
                "hybrid_label", "ram_percent", "ts_us")
 
 
@@ -188,6 +221,14 @@ def job1(spark, sf_dir):
     return out(result.reports["overall"])
 
 
+@register("job1_batch_masked_ml_table", sql(ML, "SELECT * FROM ml"))
+def job1_masked(spark, sf_dir):
+    """The whole batch job with masked templates, which SQL can compute too: the ML table it wrote."""
+    path = new_path(spark, "batch")
+    jobs.run_batch(adapter.samples(spark, sf_dir), path, templating=adapter.with_mask_template)
+    return out(sources.read_ml_table(spark, f"{path}/ml_ready"), *_ML)
+
+
 @register("job2_windows_without_export", sql(P.WINDOWS, f"SELECT {KEY_LIST}, window_id, {FEATURE_LIST} FROM windows"))
 def job2(spark, sf_dir):
     _, windows = jobs.run_without_export(adapter.samples(spark, sf_dir))
@@ -199,6 +240,14 @@ def evl11(spark, sf_dir):
     return importance.feature_importance(adapter.stages(spark, sf_dir).window_rows)
 
 
+@register("evl11_training_rows", sql(P.WINDOWS, f"""
+    SELECT count(*) AS rows, count(*) FILTER (ground_truth_label = 'FAILURE') AS failures,
+           count(*) FILTER (ground_truth_label <> 'FAILURE') AS normal FROM windows
+    WHERE ground_truth_label IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in MODEL_COLUMNS)}"""))
+def evl11_rows(spark, sf_dir):
+    return importance.row_counts(importance.training_rows(adapter.stages(spark, sf_dir).window_rows))
+
+
 @register("evl11_novel_share", None)
 def evl11_share(spark, sf_dir):
     return importance.novel_share(importance.feature_importance(adapter.stages(spark, sf_dir).window_rows))

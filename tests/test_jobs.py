@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from types import SimpleNamespace
 
@@ -127,6 +128,72 @@ def test_rows_behind_the_watermark_are_kept_aside(spark, tmp_path):
     assert seqs == [3, 4, 5, 6, 7, 101]
 
 
+def test_live_state_does_not_grow(spark, tmp_path, monkeypatch):
+    from failwatch.streaming import live as module
+    from tests.fixtures import MIN, T0
+
+    monkeypatch.setattr(module, "VERSIONS", 1)
+    state = tmp_path / "state"
+    job = LiveJob(spark, str(tmp_path / "out"), str(state), delay_seconds=60)
+    columns = [c for c in STREAM_SCHEMA.fieldNames() if c != "seq"]
+    sizes = []
+    for batch, (stack, seqs) in enumerate([("S0", range(5)), (None, range(5, 9))]):
+        rows = [{"seq": i, "ts_us": T0 + i * MIN, "log_message": f"step {i} done", "stack": stack} for i in seqs]
+        # Arrivals without a position are numbered on from the last one.
+        job.process(rows_to_df(spark, rows).select(*columns).coalesce(1), batch)
+        sizes.append({f.name: len(list(f.glob("batch=*"))) for f in state.iterdir()})
+    assert sizes[1] == sizes[0] and max(sizes[1].values()) == 1
+    job.process(rows_to_df(spark, []).select(*columns), 2)
+    with pytest.raises(ValueError):
+        job.process(rows_to_df(spark, rows).select(*columns), 0)
+    job.finish()
+    raw = spark.read.parquet(str(tmp_path / "out/raw"))
+    assert sorted(r["seq"] for r in raw.collect()) == list(range(9))
+    # Windows start behind three rows of the service; one id per stack for ever, also for none.
+    ml = spark.read.parquet(str(tmp_path / "out/ml_ready")).orderBy("ts_us").collect()
+    assert [r["project_id"] for r in ml] == ["project_1"] * 2 + ["project_2"] * 4
+    folder = f"{shared_folder(spark)}/failwatch-{spark.sparkContext.applicationId}"
+    assert not [name for name in os.listdir(folder) if name.startswith("scratch-")]
+
+
+def test_a_state_folder_belongs_to_one_checkpoint(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows_to_df(spark, [{}]).select(*STREAM_SCHEMA.fieldNames()).write.parquet(source)
+    live = LiveJob(spark, str(tmp_path / "out"), str(tmp_path / "state"))
+    start = lambda name: live.start(streams.read_samples_stream(spark, source, STREAM_SCHEMA), str(tmp_path / name), every=None)
+    start("one").awaitTermination()
+    with pytest.raises(ValueError):
+        start("two")
+
+
+def test_live_finish_without_rows(spark, tmp_path):
+    LiveJob(spark, str(tmp_path / "out"), str(tmp_path / "state")).finish()
+
+
+def test_importance_finds_the_planted_feature(spark):
+    from failwatch.operators import importance
+    from failwatch.schemas import MODEL_COLUMNS
+
+    noise = {c: F.rand(i) for i, c in enumerate(MODEL_COLUMNS)}
+    rows = spark.range(2000, numPartitions=4).select(
+        F.lit("a").alias("service_name"), F.col("id").alias("ts_us"), F.col("id").alias("seq"), *[v.alias(c) for c, v in noise.items()]
+    ).withColumn("ground_truth_label", F.when(F.col("heap_rate") > 0.7, "FAILURE").otherwise("NORMAL"))
+    ranked = {r["feature"]: r for r in importance.feature_importance(materialize(rows), trees=20).collect()}
+    assert ranked["heap_rate"]["rank"] == 1 and ranked["heap_rate"]["permutation_loss"] > 0.2
+    assert all(abs(r["permutation_loss"]) < 0.05 for c, r in ranked.items() if c != "heap_rate")
+
+
+def test_shuffled_values_are_the_features_own(spark):
+    from failwatch.operators import importance
+
+    rows = spark.range(50).select(F.lit(0.0).alias("label"), F.xxhash64("id").alias("draw"), F.array(F.col("id") + 0.5, -F.col("id") - 0.5).alias("values"))
+    moved = importance._shuffled(rows).collect()
+    for feature, sign in ((0, 1), (1, -1)):
+        own = [r["values"] for r in moved if r["feature"] == feature]
+        assert sorted(sign * v[feature] for v in own) == [i + 0.5 for i in range(50)]
+        assert all(v[0] != -v[1] for v in own)
+
+
 def test_shared_folder_comes_from_the_session(spark):
     def session(folder, master):
         return SimpleNamespace(

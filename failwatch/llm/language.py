@@ -3,12 +3,15 @@
 Text becomes letters in lower case and single gaps; digits, marks and blanks are gaps. An
 event is a letter or the gap after a word, its context the up to three letters before it in
 the word. Per language the order-4 counts are taken over all training text by Spark; the lower
-orders are the continuation counts that follow from them. The model of all languages is one
-sorted array of n-gram hashes per order with a column of log probabilities per language. The
-language of least cross-entropy per event wins.
+orders are the continuation counts that follow from them. The model of all languages is, for
+each part, one sorted array of n-gram hashes per order with a column of log probabilities per
+language. The language of least cross-entropy per event wins.
 
-The counts cover all training documents. What is sent to the tasks is bounded: entries under a
-count cut-off are left out where the model had more than ``CELLS`` entries times languages.
+The counts cover all training documents and none is left out. N-grams are dealt to ``PARTS``
+parts by the letter before the event, so the contexts and the lower orders of an n-gram above
+the first are in its own part; tasks build the parts and write them to the shared folder. Sent
+to the tasks are only the first order (letters times languages) and the sizes of the parts. A
+worker scores the distinct n-grams of a chunk part by part and holds ``HELD_CELLS`` cells of parts.
 
 Calibrated rejection: on a bounded sample of training documents the mean and deviation of the
 cross-entropy per language and the sharpness of the score are set; ``rejected`` marks texts
@@ -21,6 +24,8 @@ crc32 is null, neither held out nor learned from. Without training text everythi
 
 from __future__ import annotations
 
+import io
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,12 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from failwatch.llm.files import committed, resolve
 from failwatch.llm.words import text_chunks
-from failwatch.storage import materialize
+from failwatch.storage import materialize, new_path
 
 ORDER = 4
-#: Bound of the model: n-grams times languages, 4 bytes each.
-CELLS = 8_000_000
+#: Parts of the model, by the letter before the event.
+PARTS = 256
+#: Parts that a worker keeps between chunks: n-grams times languages, 4 bytes each.
+HELD_CELLS = 64_000_000
 #: Bound of the sample that calibrates score and rejection, the documents of least hash.
 CALIBRATION_ROWS = 1_000
 REJECT_DEVIATIONS = 6.0
@@ -43,6 +51,8 @@ _U = np.uint64
 #: An odd factor makes the hash a bijection of the packed n-gram.
 _SPREAD = _U(0x9E3779B97F4A7C15)
 CHUNK_BYTES = 1 << 20
+#: Text scored at a time where a worker can not keep all parts and reads them for each chunk.
+LARGE_CHUNK_BYTES = 1 << 24
 
 
 @lru_cache(1)
@@ -141,57 +151,100 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
-def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Tables:
-    """Interpolated Kneser-Ney tables from the order-4 counts (gram, n) per language."""
-    langs = sorted(counts)
-    # Per language and order: distinct n-grams and their (continuation) counts.
-    levels = {}
-    for lang in langs:
-        grams, n = counts[lang]
-        own = {ORDER: (grams, n.astype(np.float64))}
-        for order in range(ORDER - 1, 0, -1):
-            grams, n = np.unique(grams & _mask(order), return_counts=True)
-            own[order] = (grams, n.astype(np.float64))
-        levels[lang] = own
-    symbols = len(np.unique(np.concatenate([levels[x][1][0] for x in langs])))
-    floor = np.full(len(langs), 1.0 / (symbols + 1))
-    union, probs, contexts, backs = [None], [None], [None], [None]
-    lower_keys, lower = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
-    for order in range(1, ORDER + 1):
-        keys = np.unique(np.concatenate([levels[x][order][0] for x in langs]))
-        context = np.unique(keys >> _U(16))
-        p, back = np.zeros((len(keys), len(langs))), np.ones((len(context), len(langs)))
-        if order == 1:
-            below = np.tile(floor, (len(keys), 1))
-        else:
-            at, known = _find(lower_keys, keys & _mask(order - 1))
-            below = np.where(known[:, None], lower[at], floor)
-        of = np.searchsorted(context, keys >> _U(16))
-        for i, lang in enumerate(langs):
-            grams, n = levels[lang][order]
-            once, twice = (n == 1).sum(), (n == 2).sum()
-            discount = once / (once + 2 * twice) if once else 0.5
-            discount = min(max(discount, 0.1), 0.9)
-            mine = np.searchsorted(keys, grams)
-            total = np.bincount(of[mine], n, len(context))
-            kinds = np.bincount(of[mine], minlength=len(context))
+def _rows(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the wanted keys, 0 where there is none, and whether there is one."""
+    at, known = _find(keys, wanted)
+    out = np.zeros((len(wanted), values.shape[1]), values.dtype)
+    out[known] = values[at[known]]
+    return out, known
+
+
+#: (gram, n) by order: the counts of a language and the continuation counts below them.
+Levels = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _levels(grams: np.ndarray, n: np.ndarray) -> Levels:
+    own = {ORDER: (grams, n.astype(np.float64))}
+    for order in range(ORDER - 1, 0, -1):
+        grams, n = np.unique(grams & _mask(order), return_counts=True)
+        own[order] = (grams, n.astype(np.float64))
+    return own
+
+
+def _discount(once: int, twice: int) -> float:
+    return min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+
+
+@dataclass
+class Shared:
+    """What all parts have in common: discounts by (language, order), first-order counts."""
+
+    langs: list[str]
+    discounts: dict[tuple[str, int], float]
+    first: dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _totals(levels: Levels) -> dict[tuple[int, int], int]:
+    """By (order, key) what is added up over the parts of a language: how many n-grams occur
+    once and twice (keys 1 and 2), and the counts of the first order (the letter as key)."""
+    found = {(order, k): int((levels[order][1] == k).sum()) for order in range(2, ORDER + 1) for k in (1, 2)}
+    return found | {(1, int(g)): int(n) for g, n in zip(*levels[1])}
+
+
+def _shared(totals: dict[str, dict[tuple[int, int], int]]) -> Shared:
+    langs, discounts, first = sorted(totals), {}, {}
+    for lang, own in totals.items():
+        letters = sorted(k for order, k in own if order == 1)
+        first[lang] = np.array(letters, np.uint64), np.array([own[1, k] for k in letters], np.float64)
+        n = first[lang][1]
+        discounts[lang, 1] = _discount((n == 1).sum(), (n == 2).sum())
+        for order in range(2, ORDER + 1):
+            discounts[lang, order] = _discount(own[order, 1], own[order, 2])
+    return Shared(langs, discounts, first)
+
+
+def _tables(levels: dict[str, Levels], shared: Shared, least: int = 1) -> Tables:
+    """Interpolated tables of the n-grams in ``levels``, from order ``least`` up."""
+    langs = shared.langs
+    symbols = len(np.unique(np.concatenate([shared.first[x][0] for x in langs])))
+    floor = 1.0 / (symbols + 1)
+    empty = np.zeros(0, np.uint64), np.zeros(0)
+    own = {x: {**levels.get(x, {}), 1: shared.first[x]} for x in langs}
+    keys = [np.unique(np.concatenate([own[x].get(order, empty)[0] for x in langs])) for order in range(1, ORDER + 1)]
+    contexts = [np.unique(k >> _U(16)) for k in keys]
+    of = [np.searchsorted(c, k >> _U(16)) for c, k in zip(contexts, keys)]
+    lower = [np.searchsorted(keys[i - 1], keys[i] & _mask(i)) for i in range(1, ORDER)]
+    spread = [np.argsort(k * _SPREAD, kind="stable") for k in keys]
+    spread_contexts = [np.argsort(c * _SPREAD, kind="stable") for c in contexts]
+    logs = [np.zeros((len(k), len(langs)), np.float32) for k in keys]
+    backs = [np.zeros((len(c), len(langs)), np.float32) for c in contexts]
+    for i, lang in enumerate(langs):
+        below = np.full(len(keys[0]), floor)
+        for k in range(ORDER):
+            grams, n = own[lang].get(k + 1, empty)
+            discount = shared.discounts[lang, k + 1]
+            mine = np.searchsorted(keys[k], grams)
+            total = np.bincount(of[k][mine], n, len(contexts[k]))
+            kinds = np.bincount(of[k][mine], minlength=len(contexts[k]))
             seen = total > 0
-            back[seen, i] = discount * kinds[seen] / total[seen]
-            p[:, i] = back[of, i] * below[:, i]
-            p[mine, i] += (n - discount) / total[of[mine]]
-        union.append(keys)
-        probs.append(p)
-        contexts.append(context)
-        backs.append(back)
-        lower_keys, lower = keys, p
+            back = np.ones(len(contexts[k]))
+            back[seen] = discount * kinds[seen] / total[seen]
+            p = back[of[k]] * (below if k == 0 else below[lower[k - 1]])
+            p[mine] += (n - discount) / total[of[k][mine]]
+            logs[k][:, i] = np.log(np.maximum(p[spread[k]], 1e-30))
+            backs[k][:, i] = np.log(np.maximum(back[spread_contexts[k]], 1e-30))
+            below = p
+    grams = [(k * _SPREAD)[o] for k, o in zip(keys, spread)]
+    hashes = [(c * _SPREAD)[o] for c, o in zip(contexts, spread_contexts)]
+    for k in range(least - 1):
+        grams[k], logs[k], hashes[k], backs[k] = empty[0], logs[k][:0], empty[0], backs[k][:0]
+    return Tables(langs, grams, logs, hashes, backs, np.full(len(langs), np.log(floor), np.float32))
 
-    def hashed(keys, values):
-        order = np.argsort(keys * _SPREAD, kind="stable")
-        return (keys * _SPREAD)[order], np.log(np.maximum(values[order], 1e-30)).astype(np.float32)
 
-    tables = [hashed(k, v) for k, v in zip(union[1:], probs[1:])]
-    weights = [hashed(k, v) for k, v in zip(contexts[1:], backs[1:])]
-    return Tables(langs, [t[0] for t in tables], [t[1] for t in tables], [t[0] for t in weights], [t[1] for t in weights], np.log(floor).astype(np.float32))
+def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Tables:
+    """Interpolated Kneser-Ney tables from the order-4 counts (gram, n) per language."""
+    levels = {lang: _levels(*rows) for lang, rows in counts.items()}
+    return _tables(levels, _shared({lang: _totals(own) for lang, own in levels.items()}))
 
 
 def log_probs(model: Tables, grams: np.ndarray) -> np.ndarray:
@@ -199,35 +252,82 @@ def log_probs(model: Tables, grams: np.ndarray) -> np.ndarray:
 
     An n-gram that no language has seen backs off; the back-off weights are 1 where a context
     is new to a language."""
-    at, known = _find(model.grams[ORDER - 1], grams * _SPREAD)
-    out = model.logs[ORDER - 1][at]
+    out, known = _rows(model.grams[ORDER - 1], model.logs[ORDER - 1], grams * _SPREAD)
     left = np.flatnonzero(~known)
     if len(left):
-        out[left] = 0
         for order in range(ORDER, 1, -1):
-            at, has = _find(model.contexts[order - 1], ((grams[left] & _mask(order)) >> _U(16)) * _SPREAD)
-            out[left] += np.where(has[:, None], model.backs[order - 1][at], np.float32(0))
-            at, has = _find(model.grams[order - 2], (grams[left] & _mask(order - 1)) * _SPREAD)
-            out[left[has]] += model.logs[order - 2][at[has]]
+            out[left] += _rows(model.contexts[order - 1], model.backs[order - 1], ((grams[left] & _mask(order)) >> _U(16)) * _SPREAD)[0]
+            logs, has = _rows(model.grams[order - 2], model.logs[order - 2], (grams[left] & _mask(order - 1)) * _SPREAD)
+            out[left] += logs
             left = left[~has]
         out[left] += model.floor
     return out
 
 
-def row_entropies(model: Tables, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Parts that this worker has read, by file, the latest last.
+_held: OrderedDict[str, Tables] = OrderedDict()
+
+
+@dataclass
+class Parts:
+    """The model in files: the first order and, by part, the path of the orders above it."""
+
+    first: Tables
+    paths: dict[int, str]
+    cells: int
+
+    @property
+    def langs(self) -> list[str]:
+        return self.first.langs
+
+    def part(self, number: int) -> Tables:
+        path = self.paths.get(number)
+        if path is None:  # no n-gram of this part was learned
+            return self.first
+        if path not in _held:
+            store, file = resolve(path)
+            with store.open_input_stream(file) as stream:
+                found = np.load(io.BytesIO(stream.read()))
+            f = self.first
+            arrays = [[own[0], *(found[f"{name}{k}"] for k in range(1, ORDER))] for name, own in (("g", f.grams), ("l", f.logs), ("c", f.contexts), ("b", f.backs))]
+            _held[path] = Tables(f.langs, *arrays, f.floor)
+            while len(_held) > 1 and sum(x.size for t in _held.values() for x in (*t.logs, *t.backs)) > HELD_CELLS:
+                _held.popitem(last=False)
+        _held.move_to_end(path)
+        return _held[path]
+
+    def log_probs(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(grams), len(self.langs)), np.float32)
+        number = part_of(grams)
+        order = np.argsort(number, kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+            if len(mine):
+                out[mine] = log_probs(self.part(int(number[mine[0]])), grams[mine])
+        return out
+
+
+def part_of(grams: np.ndarray) -> np.ndarray:
+    """The part of an n-gram, by the letter before the event."""
+    return ((grams >> _U(16)) & _U(PARTS - 1)).astype(np.int64)
+
+
+def row_entropies(model: Parts, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy per event in nats of every row and language, and the number of events."""
     grams, rows = events(data, offsets)
     n = np.diff(rows)
     out = np.zeros((len(n), len(model.langs)))
     full = np.flatnonzero(n)
     if len(full):
-        sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(log_probs(model, grams), axis=0, dtype=np.float64)])
-        out[full] = -(sums[rows[1:][full]] - sums[rows[:-1][full]]) / n[full, None]
+        distinct, place = np.unique(grams, return_inverse=True)
+        logs = model.log_probs(distinct)
+        for i in range(len(model.langs)):
+            out[full, i] = -np.add.reduceat(logs[:, i].astype(np.float64)[place], rows[:-1][full]) / n[full]
     return out, n
 
 
-def _best(model: Tables, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for first, end, data, offsets in text_chunks(batch["text"], CHUNK_BYTES):
+def _best(model: Parts, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    limit = CHUNK_BYTES if model.cells <= HELD_CELLS else LARGE_CHUNK_BYTES
+    for first, end, data, offsets in text_chunks(batch["text"], limit):
         yield first, end, *row_entropies(model, data, offsets)
 
 
@@ -240,7 +340,7 @@ class Calibration:
     scale: float
 
 
-def _calibrate(model: Tables, entropies: np.ndarray, langs: np.ndarray) -> Calibration:
+def _calibrate(model: Parts, entropies: np.ndarray, langs: np.ndarray) -> Calibration:
     means, deviations, margins = [], [], []
     for i, lang in enumerate(model.langs):
         mine = entropies[langs == lang]
@@ -254,27 +354,58 @@ def _calibrate(model: Tables, entropies: np.ndarray, langs: np.ndarray) -> Calib
     return Calibration(np.array(means), np.array(deviations), scale)
 
 
-def train(training: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> tuple[Tables, Calibration] | None:
+def _part_levels(table: pa.Table) -> dict[str, Levels]:
+    """The levels by language of the (lang, gram, n) rows of a part."""
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    grams, n = table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    codes = langs.indices.to_numpy()
+    order = np.lexsort((grams, codes))
+    bounds = np.searchsorted(codes[order], np.arange(len(langs.dictionary) + 1))
+    return {lang: _levels(grams[order[a:b]], n[order[a:b]]) for lang, a, b in zip(langs.dictionary.to_pylist(), bounds[:-1], bounds[1:])}
+
+
+def learn(training: DataFrame) -> Parts | None:
+    """The model from (lang, text), all counts in it; None without training text."""
+    spark = training.sparkSession
+    part = F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(PARTS - 1)).cast("int")
+    counts = materialize(count_ngrams(training).withColumn("part", part), "ngrams")
+
+    def totals(table: pa.Table) -> pa.Table:
+        found = [(lang, *key, n) for lang, own in _part_levels(table).items() for key, n in _totals(own).items()]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*found), kinds)], ["lang", "level", "key", "n"])
+
+    parts = counts.groupBy("part")
+    # At most letters times languages: the letters are 16 bits.
+    summed = parts.applyInArrow(totals, "lang string, level int, key int, n bigint").groupBy("lang", "level", "key").agg(F.sum("n").alias("n"))
+    by_lang: dict[str, dict[tuple[int, int], int]] = {}
+    for r in summed.collect():
+        by_lang.setdefault(r.lang, {})[r.level, r.key] = r.n
+    if not by_lang:
+        return None
+    shared, folder = _shared(by_lang), new_path(spark, "language-model")
+    sent = spark.sparkContext.broadcast(shared)
+
+    def build(table: pa.Table) -> pa.Table:
+        model, number = _tables(_part_levels(table), sent.value, least=2), table["part"][0].as_py()
+        file = io.BytesIO()
+        named = (("g", model.grams), ("l", model.logs), ("c", model.contexts), ("b", model.backs))
+        np.savez(file, **{f"{name}{k}": own[k] for name, own in named for k in range(1, ORDER)})
+        path = f"{folder}/{number}.npz"
+        with committed(path) as out:
+            out.write(file.getbuffer())
+        cells = sum(x.size for x in (*model.logs, *model.backs))
+        return pa.table([pa.array([number], pa.int32()), pa.array([path]), pa.array([cells])], ["part", "path", "cells"])
+
+    built = parts.applyInArrow(build, "part int, path string, cells bigint").collect()
+    return Parts(_tables({}, shared), {r.part: r.path for r in built}, sum(r.cells for r in built))
+
+
+def train(training: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> tuple[Parts, Calibration] | None:
     """Model and calibration from (doc_id, lang, text); None without training text."""
-    counts = materialize(count_ngrams(training), "ngrams")
-    langs = [r.lang for r in counts.select("lang").distinct().collect()]
-    if not langs:
+    model = learn(training)
+    if model is None:
         return None
-    # Counts per order of magnitude give the cut-off that keeps the model within its bound.
-    levels = counts.groupBy(F.floor(F.log2("n")).alias("level")).count().collect()
-    kept, cut = 0, 1
-    for level in sorted(levels, key=lambda r: -r["level"]):
-        kept += level["count"]
-        if kept * len(langs) > CELLS:
-            cut = 2 ** (level["level"] + 1)
-            break
-    rows = counts.where(F.col("n") >= cut).toPandas()
-    arrays = {}
-    for lang, part in rows.groupby("lang"):
-        grams = part["gram"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(grams)
-        arrays[lang] = (grams[order], part["n"].to_numpy()[order])
-    model = kneser_ney(arrays)
     sample = training.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "lang").limit(calibration_rows)
     texts = training.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").select("lang", "text")
     sent = training.sparkSession.sparkContext.broadcast(model)
@@ -289,7 +420,7 @@ def train(training: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> tupl
     return model, _calibrate(model, entropies, held["lang"].to_numpy())
 
 
-def predict(documents: DataFrame, trained: tuple[Tables, Calibration] | None) -> DataFrame:
+def predict(documents: DataFrame, trained: tuple[Parts, Calibration] | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy and rejected for every document."""
     rows = documents.select(F.col("doc_id").alias("doc_id"), held_out("doc_id").alias("held_out"), "text")
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"

@@ -67,6 +67,38 @@ def test_language_odd(odd_docs, no_docs):
     assert {r.lang_pred for r in language.predict(odd_docs, None).collect()} == {"und"}
 
 
+def test_language_keeps_every_count(spark, docs, monkeypatch):
+    """The model in parts, read part by part, is the one of all counts in one piece."""
+    monkeypatch.setattr(language, "HELD_CELLS", 1)
+    texts = defaultdict(list)
+    for r in docs.collect():
+        if r.lang is not None and r.text is not None:
+            texts[r.lang].append(r.text)
+    counts = {}
+    for lang, own in texts.items():
+        for _, _, data, offsets in text_chunks(pa.array(own), 1 << 40):
+            counts[lang] = np.unique(language.events(data, offsets)[0], return_counts=True)
+    whole, parts = language.kneser_ney(counts), language.learn(docs.where("lang is not null and text is not null"))
+    known = np.unique(np.concatenate([g for g, _ in counts.values()]))
+    unseen = (known << np.uint64(16)) | np.random.default_rng(0).integers(97, 140, len(known)).astype(np.uint64)
+    for grams in (known, unseen):
+        assert parts.langs == whole.langs
+        assert np.abs(parts.log_probs(grams) - language.log_probs(whole, grams)).max() < 1e-5
+
+
+def test_language_rare_among_many(spark):
+    """A hundred languages with counts of eight, and one with counts of one, in over 8 million cells."""
+    rng, rows, asked = random.Random(8), [], []
+    for k in range(101):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(150)]
+        rows += [(len(rows) + i, f"l{k:03}", " ".join(words)) for i in range(1 if k == 50 else 8)]
+        asked.append((k, " ".join(rng.sample(words, 20))))
+    trained = language.train(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    assert len(trained[0].langs) == 101
+    found = language.predict(spark.createDataFrame(asked, "doc_id bigint, text string"), trained).collect()
+    assert all(r.lang_pred == f"l{r.doc_id:03}" for r in found)
+
+
 # decontamination
 
 def edited(words, n, rng):

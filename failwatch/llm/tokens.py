@@ -55,10 +55,10 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class UnitTokenizer:
     """Ids of texts, by units that were seen before or are encoded now."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        # The strings of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # Whether the strings of special tokens in a text are ordinary text.
+        self.tokenizer.encode_special_tokens = special_as_text
         self._forget()
 
     def _forget(self):
@@ -118,5 +118,7 @@ class UnitTokenizer:
 
 @lru_cache(2)
 def tokenizer(path: str) -> UnitTokenizer:
-    """The worker's tokenizer of that file, with what it has learned."""
-    return UnitTokenizer(path)
+    """The worker's tokenizer of that file, with what it has learned.
+
+    Its ids are those of the library's plain call, so a special token's string gets its one id."""
+    return UnitTokenizer(path, special_as_text=False)

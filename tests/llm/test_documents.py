@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from failwatch.llm import decontam, language, line_dedup, near_dedup, packing, simple8b, toxicity
-from failwatch.llm.tokens import UnitTokenizer
+from failwatch.llm.tokens import UnitTokenizer, tokenizer
 from failwatch.llm.words import ALPHANUMERIC, text_chunks, word_hashes
 from failwatch.storage import new_path
 from pyspark.sql import functions as F
@@ -193,6 +193,32 @@ def test_unit_tokenizer_equals_the_library(path, docs):
             assert ids[rows[i - first] : rows[i - first + 1]].tolist() == want[i]
 
 
+SPECIAL = [
+    "x <|endoftext|> y", "a<|endoftext|>b.<|endoftext|>,c", "  <|startoftext|>  x\n<|endoftext|>\n\n", "<|endoftext|", "<|ENDOFTEXT|> <|endoftext|>\u0338 é\u00a0<|endoftext|>",
+]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_ids_are_those_of_the_plain_call(path):
+    plain, texts = Tokenizer.from_file(path), TEXTS + SPECIAL
+    ends = {plain.token_to_id("<|endoftext|>"), plain.token_to_id("<|startoftext|>")}
+    for first, end, data, offsets in text_chunks(pa.array(texts)):
+        ids, rows = tokenizer(path).encode(data, offsets)
+        for i in range(first, end):
+            want = plain.encode(texts[i] or "", add_special_tokens=False).ids
+            assert ids[rows[i - first] : rows[i - first + 1]].tolist() == want
+            assert bool(ends & set(want)) == ("<|endoftext|>" in (texts[i] or ""))
+
+
+def test_files_and_packs_hold_ids_of_the_plain_call(spark):
+    df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string")
+    files = simple8b.read_tokens(spark, simple8b.write_tokens(df, new_path(spark, "t"), WORD)).collect()
+    for path, rows in ((WORD, files), (BYTE, packing.pack(df, BYTE).collect())):
+        plain = Tokenizer.from_file(path)
+        got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows}
+        assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(SPECIAL)}
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     wide = rng.integers(0, 2**63, 30_000, dtype=np.uint64) >> rng.integers(0, 63, 30_000).astype(np.uint64)

@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by inner product: one HNSW graph per shard.
 
-Vectors are dealt to shards of about ``SHARD_ROWS`` distinct vectors. In each shard vectors are
-scaled by the largest norm and get one coordinate more, so that all have norm 1; then the
-nearest by angle is the one of largest inner product. The graph is hierarchical: a node's level
+Vectors are dealt to shards of about ``SHARD_ROWS`` distinct vectors whose norms differ by a
+factor of two at most. In each shard vectors are scaled by the largest norm and get one
+coordinate more, so that all have norm 1; then the nearest by angle is the one of largest inner
+product. As norms are alike, the added coordinate does not drown the others. Graphs are built and
+searched in double precision. The graph is hierarchical: a node's level
 is drawn from its hash, each layer is a flat array of neighbour numbers, links are chosen by the
 diversity rule and pruned by it. Nodes are added in blocks that search the graph so far
 together, which gives numpy whole arrays to work on. The graph is stored as a table, a row per
@@ -46,7 +48,7 @@ def search_layer(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entries:
     All queries take their steps together; a query rests when its best nodes are all opened."""
     b, width = len(queries), links.shape[1]
     ids = np.full((b, breadth), -1, np.int64)
-    sims = np.full((b, breadth), -np.inf, np.float32)
+    sims = np.full((b, breadth), -np.inf)
     opened = np.zeros((b, breadth), bool)
     seen = np.zeros((b, len(x) + 1), bool)
     first = entries[:, :breadth]
@@ -140,7 +142,7 @@ def unit_vectors(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / scale
     norms = np.linalg.norm(scaled, axis=1)
     scaled, norms = scaled / norms.max(), norms / norms.max()
-    return np.column_stack([scaled, np.sqrt(np.maximum(1 - norms**2, 0))]).astype(np.float32)
+    return np.column_stack([scaled, np.sqrt(np.maximum(1 - norms**2, 0))])
 
 
 def draw_levels(count: int) -> np.ndarray:
@@ -203,6 +205,13 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda v: v != 0)
 
 
+def _octave(vector: Column) -> Column:
+    """The norm as a power of two, rounded; scaled first, so that no square over- or underflows."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
+    return F.round(F.log2(largest) + F.log2(squares) / 2).cast("int")
+
+
 def nodes(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """shard, ids (the k + 1 smallest of equal vectors) and vector of every distinct vector."""
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
@@ -210,14 +219,15 @@ def nodes(vectors: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> DataFrame
     smallest = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.withColumn("rank", F.dense_rank().over(smallest)).where(F.col("rank") <= k + 1)
     distinct = materialize(few.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "distinct-vectors")
-    dims = distinct.groupBy(F.size("vector").alias("dim")).agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    # One row per dimension.
-    return distinct.join(F.broadcast(dims), F.size("vector") == F.col("dim")).select(
-        F.struct("dim", F.pmod(F.xxhash64("vector"), "shards").alias("number")).alias("shard"), "ids", "vector"
+    distinct = distinct.withColumn("dim", F.size("vector")).withColumn("octave", _octave(F.col("vector")))
+    ranges = distinct.groupBy("dim", "octave").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    # One row per dimension and octave, of which double precision has about two thousand.
+    return distinct.join(F.broadcast(ranges), ["dim", "octave"]).select(
+        F.struct("dim", "octave", F.pmod(F.xxhash64("vector"), "shards").alias("number")).alias("shard"), "ids", "vector"
     )
 
 
-_INDEX = "shard struct<dim:int,number:bigint>, node bigint, ids array<bigint>, vector array<double>, levels bigint, links array<array<int>>"
+_INDEX = "shard struct<dim:int,octave:int,number:bigint>, node bigint, ids array<bigint>, vector array<double>, levels bigint, links array<array<int>>"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -327,7 +337,7 @@ class _Graph:
     def answer(self, rows: pa.RecordBatch, k: int, breadth: int) -> pa.RecordBatch:
         vectors = _matrix(rows["vector"])
         scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-        queries = np.column_stack([scaled, np.zeros(len(scaled))]).astype(np.float32)
+        queries = np.column_stack([scaled, np.zeros(len(scaled))])
         # One more than asked for: the query itself may be among them.
         found = search_graph(self.unit, self.layers, queries, max(breadth, k + 1))
         out = ([], [], [])

@@ -37,6 +37,23 @@ def test_neighbours_recall(spark, sf_dir):
     assert hits >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("norms", ["one long vector", "spread"])
+def test_neighbours_recall_with_unlike_norms(spark, norms):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= np.where(np.arange(2000) == 7, 1e4, 1.0)[:, None] if norms == "one long vector" else 10 ** rng.uniform(0, 4, (2000, 1))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = defaultdict(set)
+    for r in neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 2000, 20):
+        order = [i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q][:20]
+        hits += len(found[q] & set(order))
+    assert hits >= 0.9 * 20 * 100
+
+
 def test_neighbours_odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]),

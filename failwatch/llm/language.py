@@ -13,8 +13,10 @@ the first are in its own part; tasks build the parts and write them to the share
 to the tasks are only the first order (letters times languages) and the sizes of the parts. A
 worker scores the distinct n-grams of a chunk part by part and holds ``HELD_CELLS`` cells of parts.
 
-Calibrated rejection: on a bounded sample of training documents the mean and deviation of the
-cross-entropy per language and the sharpness of the score are set; ``rejected`` marks texts
+Calibrated rejection: on up to ``CALIBRATION_ROWS`` training documents of every language the mean
+and deviation of its cross-entropy and the sharpness of the score are set; a language of fewer
+than ``OWN_DEVIATION`` rows gets at least the usual deviation of the others. These rows are
+in the counts, too, so the mean of a language of few rows is on the low side; ``rejected`` marks texts
 whose cross-entropy is further than ``REJECT_DEVIATIONS`` above the mean of their language.
 
 Edge cases: a null text or one without a letter gets ``und`` and score 0; a null lang is not
@@ -32,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from failwatch.llm.files import committed, resolve
 from failwatch.llm.words import text_chunks
@@ -43,8 +45,10 @@ ORDER = 4
 PARTS = 256
 #: Parts that a worker keeps between chunks: n-grams times languages, 4 bytes each.
 HELD_CELLS = 64_000_000
-#: Bound of the sample that calibrates score and rejection, the documents of least hash.
+#: Rows of each language that calibrate score and rejection, the documents of least hash.
 CALIBRATION_ROWS = 1_000
+#: Calibration rows from which a language's deviation is its own alone.
+OWN_DEVIATION = 30
 REJECT_DEVIATIONS = 6.0
 UNKNOWN = "und"
 _U = np.uint64
@@ -341,17 +345,21 @@ class Calibration:
 
 
 def _calibrate(model: Parts, entropies: np.ndarray, langs: np.ndarray) -> Calibration:
-    means, deviations, margins = [], [], []
+    means, deviations, margins, enough = [], [], [], []
     for i, lang in enumerate(model.langs):
         mine = entropies[langs == lang]
         own = mine[:, i] if len(mine) else np.array([10.0])
+        enough.append(len(mine) >= OWN_DEVIATION)
         # The middle of the distribution: some labels of a corpus are wrong.
         means.append(np.median(own))
         deviations.append(max(np.median(np.abs(own - np.median(own))) * 1.4826, 0.02))
         if len(mine) and len(model.langs) > 1:
             margins += (np.delete(mine, i, axis=1).min(axis=1) - mine[:, i]).tolist()
     scale = max(float(np.median(np.abs(margins))) / 4, 1e-3) if margins else 1.0
-    return Calibration(np.array(means), np.array(deviations), scale)
+    deviation, enough = np.array(deviations), np.array(enough)
+    if enough.any():
+        deviation = np.where(enough, deviation, np.maximum(deviation, np.median(deviation[enough])))
+    return Calibration(np.array(means), deviation, scale)
 
 
 def _part_levels(table: pa.Table) -> dict[str, Levels]:
@@ -406,8 +414,10 @@ def train(training: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> tupl
     model = learn(training)
     if model is None:
         return None
-    sample = training.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "lang").limit(calibration_rows)
-    texts = training.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").select("lang", "text")
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = training.select("doc_id", "lang").withColumn("place", F.row_number().over(least))
+    sample = ranked.where(F.col("place") <= calibration_rows).select("doc_id", "lang").distinct()
+    texts = training.join(sample, ["doc_id", "lang"], "left_semi").select("lang", "text")
     sent = training.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -99,6 +99,19 @@ def test_language_rare_among_many(spark):
     assert all(r.lang_pred == f"l{r.doc_id:03}" for r in found)
 
 
+def test_language_calibrates_rare_languages(spark, monkeypatch):
+    """One row in some hundreds, fewer calibration rows than that: its threshold is not left open."""
+    rng = random.Random(9)
+    words = {x: ["".join(rng.choice(x) for _ in range(5)) for _ in range(60)] for x in ("abcdefg", "hijklmn", "opqrstu")}
+    rows = [(i, x, " ".join(rng.sample(words[x], 20))) for i, x in enumerate(["abcdefg", "hijklmn"] * 200 + ["opqrstu"])]
+    trained = language.train(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), 50)
+    rare = trained[0].langs.index("opqrstu")
+    assert trained[1].mean[rare] < 5 and trained[1].deviation[rare] >= trained[1].deviation.min()
+    asked = [(1, rows[-1][2]), (2, " ".join("".join(rng.choice("opqrstu") for _ in range(9)) + "ыэ" for _ in range(30)))]
+    found = {r.doc_id: r for r in language.predict(spark.createDataFrame(asked, "doc_id bigint, text string"), trained).collect()}
+    assert [(found[i].lang_pred, found[i].rejected) for i in (1, 2)] == [("opqrstu", False), ("opqrstu", True)]
+
+
 # decontamination
 
 def edited(words, n, rng):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from failwatch.llm import chat, decontam, language, line_dedup, near_dedup, neighbours, oracles, packing, simple8b, toxicity, warc
+from failwatch.llm import (
+    chat, decontam, language, line_dedup, near_dedup, neighbours, oracles, packing, phrases, secrets, simple8b, spelling, toxicity, warc,
+)
 from failwatch.llm.common import table
 from failwatch.storage import new_path
 
@@ -63,11 +65,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), damage=oracles.DAMAGE))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language, op2_neighbours, op3_chat, op4_decontamination, op5_token_files, op6_minhash,
-        op7_line_dedup, op8_warc, op9_packing, op10_toxicity,
+        op7_line_dedup, op8_warc, op9_packing, op10_toxicity, op11_spelling, op12_phrases, op13_secrets,
     )
 }
 #: The other operators are models, sketches or tokenizers; tests/llm checks them against brute force.

@@ -10,11 +10,12 @@ H. Toivonen, "Sampling Large Databases for Association Rules", VLDB 1996.
    is then added, and a further pass counts what the larger border holds beyond the old one,
    until no border phrase fails. What is frequent does not depend on the sample.
 
+Passes count 62-bit hashes of phrases, summed in arrays over a stretch of text and again by Spark
+on the map side, so a frequent phrase is no hot key. Phrases that share a hash share a sum, so
+nothing frequent can be missed; a last pass counts the phrases themselves, whose sums are exact.
 Proposals reach the tasks as one bit set per phrase length, 2^``FILTER_BITS`` bits whatever the
 corpus: a phrase that shares the bit of a proposal is counted, too, which costs time and changes
-nothing, since counts go by the phrase itself. Texts are hashed in arrays, phrases of a stretch of
-text are summed before they leave the task, and Spark adds the sums on the map side again, so a
-frequent phrase is no hot key. Within a stretch two phrases are told apart by 64-bit hashes.
+nothing.
 
 Scores are exact: decimals of 38 digits hold products of counts up to 10^16.
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from failwatch.llm.words import LOWER, byte_table, mix, span_hashes
@@ -43,19 +45,21 @@ SAMPLE = 4
 SAMPLE_COUNT = 2
 FILTER_BITS = 26
 #: Bytes of text that are summed before phrases leave a task.
-STRETCH_BYTES = 8 << 20
+STRETCH_BYTES = 4 << 20
+#: Phrases that leave a task in one batch.
+BATCH = 100_000
 #: Parts of a language that are ranked before the whole.
 RANK_PARTS = 64
 #: Characters that end a piece, and blanks between words; fixed by the definition of a phrase.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _WORD = byte_table(ENDS + BLANKS)
 _END = ~byte_table(ENDS)
-_COUNTS = "lang string, size int, hash bigint, phrase string, n bigint"
+_SIZE = np.uint64(3)
 _U = np.uint64
 
 
 class Proposals:
-    """One bit per hash of a proposed phrase, for phrases of 1 to ``MOST_WORDS`` - 1 words."""
+    """One bit per hash of a proposed phrase, for each phrase length."""
 
     def __init__(self, bits: list[np.ndarray]):
         self.bits = bits
@@ -69,123 +73,150 @@ class Proposals:
         if size == 1:
             return np.ones(len(parts), bool)
         known = self.has(size - 1, parts)
-        return joined & known[: len(joined)] & known[1 : len(joined) + 1]
-
-
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[str]]]:
-    langs, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
-    first = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= STRETCH_BYTES or i + 1 == len(texts):
-            yield langs[first : i + 1], texts[first : i + 1]
-            first, size = i + 1, 0
-
-
-def _count(langs: list[str], texts: list[str], new: Proposals | None, old: Proposals | None) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of a stretch in the border of ``new`` and not in that of ``old``;
-    without ``new``, of all phrases."""
-    # A row ends with a piece end, so no phrase runs from text to text.
-    data = np.frombuffer(("\n".join(texts) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
-    rows = np.cumsum([0, *(len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts)])
-    inside = _WORD[data]
-    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-    ends = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
-    if not len(starts):
-        return
-    names = sorted(set(langs))
-    ranks = {name: i for i, name in enumerate(names)}
-    lang = np.array([ranks[x] for x in langs])[np.searchsorted(rows, starts, "right") - 1]
-    lower = LOWER[data]
-    seeds = np.array([span_hashes(b := np.frombuffer(f"{x} ".encode(), np.uint8), np.array([0]), np.array([len(b)]))[0] for x in names])
-    hashes = mix(span_hashes(lower, starts, ends) ^ seeds[lang])
-    # The words alone with one blank between them, from which phrases are cut.
-    kept = inside.copy()
-    kept[ends] = True
-    line = lower[kept]
-    lengths = ends - starts
-    at = np.cumsum(lengths + 1) - lengths - 1
-    line[at + lengths] = 32
-    pieces = np.cumsum(_END[data])
-    follows = pieces[starts[1:]] == pieces[ends[:-1] - 1]
-
-    if old is None:
-        sums = np.bincount(lang, minlength=len(names))
-        yield _batch(names, 0, np.zeros(len(names), np.uint64), pa.array([""] * len(names)), sums)
-    code, joined = hashes, np.ones(len(hashes), bool)
-    for size in range(1, MOST_WORDS + 1):
-        if size > 1:
-            parts = code
-            joined = joined[:-1] & follows[size - 2 :]
-            code = mix(parts[:-1] * _U(0xC2B2AE3D27D4EB4F) + hashes[size - 1 :])
-        else:
+        return joined & known[:-1] & known[1:]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[Stretch]:
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(ends):
+            full = (ends[first - 1] if first else 0) + STRETCH_BYTES
+            n = max(1, int(np.searchsorted(ends, full, "right")) - first)
+            yield Stretch(batch["lang"].slice(first, n).to_pylist(), batch["text"].slice(first, n).to_pylist())
+            first += n
+
+
+class Stretch:
+    """The words of some texts, their hashes, and which words follow each other in a piece."""
+
+    def __init__(self, langs: list[str], texts: list[str]):
+        # A row ends with a piece end, so no phrase runs from text to text.
+        encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+        rows = np.cumsum([0, *(len(t) + 1 for t in encoded)])
+        data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
+        self.inside = np.concatenate([[False], _WORD[data], [False]])
+        self.starts = np.flatnonzero(self.inside[1:-1] & ~self.inside[:-2])
+        self.ends = np.flatnonzero(self.inside[1:-1] & ~self.inside[2:]) + 1
+        self.names = sorted(set(langs))
+        ranks = {name: i for i, name in enumerate(self.names)}
+        self.lang = np.array([ranks[x] for x in langs], np.int32)[np.searchsorted(rows, self.starts, "right") - 1]
+        self.lower = LOWER[data]
+        seeds = np.array([_hash(f"{x} ".encode()) for x in self.names], _U)
+        self.words = mix(span_hashes(self.lower, self.starts, self.ends) ^ seeds[self.lang])
+        piece = np.searchsorted(np.flatnonzero(_END[data]), self.starts)
+        self.follows = piece[1:] == piece[:-1]
+
+    def phrases(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per size: hashes at each word, which of them lie in one piece, and the hashes one size below."""
+        code, joined = self.words, np.ones(len(self.words), bool)
+        for size in range(1, MOST_WORDS + 1):
             parts = code
-        if new is None:
-            mine = np.flatnonzero(joined)
-        else:
-            wanted = new.border(size, parts, joined)
-            if old is not None:
-                wanted &= ~old.border(size, parts, joined)
-            mine = np.flatnonzero(wanted)
-        if not len(mine):
-            continue
-        keys, first, n = np.unique(code[mine], return_index=True, return_counts=True)
-        first = mine[first]
-        span = at[first + size - 1] + lengths[first + size - 1] - at[first]
-        offsets = np.concatenate([[0], np.cumsum(span)])
-        source = np.arange(offsets[-1]) + np.repeat(at[first] - offsets[:-1], span)
-        phrase = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(line[source]))
-        yield _batch([names[i] for i in lang[first]], size, keys, phrase.cast(pa.string()), n)
-
-
-def _batch(langs: list[str], size: int, keys: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(langs, pa.string()), pa.array(np.full(len(keys), size, np.int32)), pa.array(keys.view(np.int64)), phrase, pa.array(n.astype(np.int64))]
-    return pa.record_batch(columns, ["lang", "size", "hash", "phrase", "n"])
-
-
-def _counts(documents: DataFrame, least: int, new: Proposals | None = None, old: Proposals | None = None) -> DataFrame:
-    """lang, size, hash, phrase, n of the phrases found ``least`` times or more; size 0 holds the
-    number of words of a language."""
+            if size > 1:
+                joined = joined[:-1] & self.follows[size - 2 :]
+                code = mix(parts[:-1] * _U(0xC2B2AE3D27D4EB4F) + self.words[size - 1 :])
+            if not len(code):
+                return
+            code = (code & ~_SIZE) | _U(size)
+            yield size, code, joined, parts
+
+    def line(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words alone with one blank between them, and the start and length of each."""
+        kept = self.inside[1:-1].copy()
+        kept[self.ends] = True
+        lengths = self.ends - self.starts
+        at = np.cumsum(lengths + 1) - lengths - 1
+        line = self.lower[kept]
+        line[at + lengths] = 32
+        return line, at, lengths
+
+
+def _hash(data: bytes) -> int:
+    return int(span_hashes(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0])
+
+
+def _sums(documents: DataFrame, least: int, new: Proposals | None = None, old: Proposals | None = None) -> DataFrame:
+    """hash, n of the phrases found ``least`` times or more, among those in the border of ``new``
+    and not in that of ``old``; without ``new`` among all. The low bits of a hash are the size."""
     told = documents.sparkSession.sparkContext.broadcast((new, old))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for langs, texts in _stretches(batch):
-                yield from _count(langs, texts, *told.value)
-
-    sums = documents.mapInArrow(run, _COUNTS).groupBy("lang", "size", "hash", "phrase").agg(F.sum("n").alias("n"))
-    return materialize(sums.where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
-
-
-def _with_bits(proposed: Proposals | None, counts: DataFrame) -> Proposals:
-    """Proposals joined by the phrases of ``counts``: at most 2^(FILTER_BITS - 6) rows per size reach the driver."""
+        new, old = told.value
+        for stretch in _stretches(batches):
+            for size, code, joined, parts in stretch.phrases():
+                wanted = new.border(size, parts, joined) if new else joined
+                if old:
+                    wanted &= ~old.border(size, parts, joined)
+                keys, n = np.unique(code[wanted], return_counts=True)
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+    sums = documents.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    return materialize(sums.where(F.col("n") >= least), "phrase-sums")
+
+
+def _with_bits(proposed: Proposals | None, sums: DataFrame) -> Proposals:
+    """Proposals joined by the phrases of ``sums``: at most 2^(FILTER_BITS - 6) rows per size reach the driver."""
+    slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = (
+        sums.select(F.col("hash").bitwiseAND(3).alias("size"), slot.alias("slot"))
+        .groupBy("size", F.shiftrightunsigned("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    )
+    of, at, new = (words[c].to_numpy() for c in ("size", "word", "bits"))
     out = []
-    for size in range(1, MOST_WORDS):
-        slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-        bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-        words = (
-            counts.where(F.col("size") == size).select(slot.alias("slot"))
-            .groupBy(F.shiftrightunsigned("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        )
+    for size in range(1, MOST_WORDS + 1):
         bits = proposed.bits[size - 1].copy() if proposed else np.zeros(1 << (FILTER_BITS - 6), _U)
-        bits[words["word"].to_numpy()] |= words["bits"].to_numpy().view(_U)
+        bits[at[of == size]] |= new[of == size].view(_U)
         out.append(bits)
     return Proposals(out)
 
 
+def _phrases(documents: DataFrame, frequent: Proposals) -> DataFrame:
+    """lang, size, phrase, n of the phrases with a bit in ``frequent``, and the number of words as size 0."""
+    told = documents.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stretch in _stretches(batches):
+            names, lang = stretch.names, stretch.lang
+            line, at, lengths = stretch.line()
+            words = np.bincount(lang, minlength=len(names))
+            yield _batch(names, 0, [""] * len(names), words)
+            for size, code, joined, _ in stretch.phrases():
+                mine = np.flatnonzero(joined & told.value.has(size, code))
+                _, first, n = np.unique(code[mine], return_index=True, return_counts=True)
+                first = mine[first]
+                for k in range(0, len(first), BATCH):
+                    f = first[k : k + BATCH]
+                    span = at[f + size - 1] + lengths[f + size - 1] - at[f]
+                    offsets = np.concatenate([[0], np.cumsum(span)]).astype(np.int64)
+                    source = np.arange(offsets[-1]) + np.repeat(at[f] - offsets[:-1], span)
+                    phrase = pa.LargeStringArray.from_buffers(len(f), pa.py_buffer(offsets), pa.py_buffer(line[source]))
+                    yield _batch([names[i] for i in lang[f]], size, phrase.cast(pa.string()), n[k : k + BATCH])
+
+    each = documents.mapInArrow(run, "lang string, size int, phrase string, n bigint")
+    sums = each.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    return materialize(sums.where((F.col("n") >= LEAST_COUNT) | (F.col("size") == 0)), "phrases")
+
+
+def _batch(langs: list[str], size: int, phrase: pa.Array | list[str], n: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(langs, pa.string()), pa.array(np.full(len(n), size, np.int32)), pa.array(phrase, pa.string()), pa.array(n.astype(np.int64))]
+    return pa.record_batch(columns, ["lang", "size", "phrase", "n"])
+
+
 def frequent_phrases(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """lang, size, phrase, n of all phrases of up to ``MOST_WORDS`` words found ``LEAST_COUNT``
     times; the phrase of size 0 holds the number of all words of the language."""
     texts = documents.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = texts.where(F.pmod(F.xxhash64("lang", "text"), F.lit(sample)) == 0)
-    border = _with_bits(None, _counts(chosen, SAMPLE_COUNT))
-    found = _counts(texts, LEAST_COUNT, border)
+    border = _with_bits(None, _sums(chosen, SAMPLE_COUNT))
+    found = _sums(texts, LEAST_COUNT, border)
     while True:
         larger = _with_bits(border, found)
-        if all((a == b).all() for a, b in zip(larger.bits, border.bits)):
-            return found.select("lang", "size", "phrase", "n")
-        more = _counts(texts, LEAST_COUNT, larger, border)
-        found, border = found.unionByName(more), larger
+        # The longest phrases are part of no border.
+        if all((a == b).all() for a, b in zip(larger.bits[:-1], border.bits[:-1])):
+            return _phrases(texts, _with_bits(None, found))
+        found = found.unionByName(_sums(texts, LEAST_COUNT, larger, border))
+        border = larger
 
 
 def _cuts(phrases: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ UNKNOWN = "und"
 #: One document in so many is sampled; a phrase is proposed when the sample holds it so often.
 SAMPLE = 4
 SAMPLE_COUNT = 2
-FILTER_BITS = 26
+FILTER_BITS = 24
 #: Bytes of text that are summed before phrases leave a task.
 STRETCH_BYTES = 4 << 20
 #: Phrases that leave a task in one batch.
@@ -151,7 +151,9 @@ def _sums(documents: DataFrame, least: int, new: Proposals | None = None, old: P
                 yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
     sums = documents.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    return materialize(sums.where(F.col("n") >= least), "phrase-sums")
+    sums = materialize(sums.where(F.col("n") >= least), "phrase-sums")
+    told.destroy()
+    return sums
 
 
 def _with_bits(proposed: Proposals | None, sums: DataFrame) -> Proposals:
@@ -195,7 +197,9 @@ def _phrases(documents: DataFrame, frequent: Proposals) -> DataFrame:
 
     each = documents.mapInArrow(run, "lang string, size int, phrase string, n bigint")
     sums = each.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return materialize(sums.where((F.col("n") >= LEAST_COUNT) | (F.col("size") == 0)), "phrases")
+    sums = materialize(sums.where((F.col("n") >= LEAST_COUNT) | (F.col("size") == 0)), "phrases")
+    told.destroy()
+    return sums
 
 
 def _batch(langs: list[str], size: int, phrase: pa.Array | list[str], n: np.ndarray) -> pa.RecordBatch:

@@ -45,7 +45,7 @@ SAMPLE = 4
 SAMPLE_COUNT = 2
 FILTER_BITS = 24
 #: Bytes of text that are summed before phrases leave a task.
-STRETCH_BYTES = 4 << 20
+STRETCH_BYTES = 2 << 20
 #: Phrases that leave a task in one batch.
 BATCH = 100_000
 #: Parts of a language that are ranked before the whole.
@@ -63,9 +63,10 @@ class Proposals:
 
     def __init__(self, bits: list[np.ndarray]):
         self.bits = bits
+        self.shift = _U(65 - (64 * len(bits[0])).bit_length())
 
     def has(self, size: int, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes >> _U(64 - FILTER_BITS)
+        slot = hashes >> self.shift
         return (self.bits[size - 1][slot >> _U(6)] >> (slot & _U(63))) & _U(1) == 1
 
     def border(self, size: int, parts: np.ndarray, joined: np.ndarray) -> np.ndarray:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from failwatch.operators import enrich, importance, templates
 from failwatch.plans import jobs
-from failwatch.schemas import FEATURE_COLUMNS, MODEL_COLUMNS, SAMPLES, SAMPLE_COLUMNS
+from failwatch.functions.timeaxis import from_micros
+from failwatch.schemas import FEATURE_COLUMNS, MODEL_COLUMNS, SAMPLES, SAMPLE_COLUMNS, TREND_COLUMNS
 from failwatch.sinks import tables
 from failwatch.sources import samples as sources
 from failwatch.storage import materialize, new_path
-from failwatch.streaming import operators as streams
+from failwatch.streaming import blocks, operators as streams
 from failwatch.streaming.live import LiveJob
 from registry import adapter, oracle_parts as P
 from registry.catalog import KEY_LIST, KEYS, METRICS, ML, _ML, out, r6, r6s, register, sql
@@ -90,17 +91,20 @@ def snk3(spark, sf_dir):
 
 
 def _sample_files(spark: SparkSession, sf_dir: str) -> str:
-    """The samples as files for a stream to pick up, written one after the other: rows
+    return _arriving(adapter.samples(spark, sf_dir).select(*_STREAM_SCHEMA.fieldNames(), "ts_us"), ["ts_us"])
+
+
+def _arriving(rows: DataFrame, helpers: list[str] = ()) -> str:
+    """The rows as files for a stream to pick up, written one after the other: rows
     of one stretch of time each, some of them up to a minute late."""
-    path = new_path(spark, "arrivals")
-    samples = adapter.samples(spark, sf_dir)
-    first, last = samples.agg(F.min("ts_us"), F.max("ts_us")).first()
+    path = new_path(rows.sparkSession, "arrivals")
+    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
     delay = F.pmod(F.col("seq") * 7_368_787, F.lit(60_000_000))
     part = F.least(
         F.call_function("div", (F.col("ts_us") + delay - first) * FILES, F.lit(last - first + 1)), F.lit(FILES - 1)
     )
     for i in range(FILES):
-        samples.where(part == i).select(*_STREAM_SCHEMA.fieldNames()).coalesce(1).write.mode("append").parquet(path)
+        rows.where(part == i).drop(*helpers).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -198,6 +202,49 @@ def api12_stream(spark, sf_dir):
                "hybrid_label", "ram_percent", "ts_us")
 
 
+#: Blocks that the watermark, two minutes behind the newest row, has passed at the end.
+def _closed(rows: str) -> str:
+    return f"ts_us - ts_us % 300000000 + 300000000 <= (SELECT max(ts_us) FROM {rows}) - 120000000"
+
+
+@register("str3_stream_frames_and_trends", sql(P.TRENDS, f"""
+    SELECT {KEY_LIST}, stack, log_template, {r6('ram_percent', 'ram_percent')}, gc_count, hybrid_label, window_label, window_rows,
+           {FEATURE_LIST}, {r6('window_duration_seconds', 'window_duration_seconds')}, {r6s(TREND_COLUMNS)}
+    FROM trends WHERE {_closed('scored')}"""))
+def str3(spark, sf_dir):
+    """Frame features, labels and trends of a labelled stream in the engine's state, one file at a time."""
+    labelled = adapter.stages(spark, sf_dir).classified.withColumn("timestamp", from_micros(F.col("ts_us")))
+    path = _arriving(labelled)
+    arrivals = streams.read_samples_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    found = _collected(blocks.frames_stream(arrivals), "append")
+    return out(found, *KEYS, "stack", "log_template", "ram_percent", "gc_count", "hybrid_label", "window_label", "window_rows",
+               *FEATURES, "window_duration_seconds", *TREND_COLUMNS)
+
+
+_STREAM_FILLED = P.RAW + P.FILLED.removeprefix(P.DEDUPED).replace("FROM deduped", "FROM raw") + """, told AS (
+    SELECT *, sum(CASE WHEN log_message LIKE 'INFO signup%' THEN 1 ELSE 0 END) OVER (
+        PARTITION BY service_name ORDER BY ts_us, seq)::BIGINT AS gc_seen, trim(log_message) = '' AS blank FROM filled),
+  shown AS (
+    SELECT service_name, seq, gc_count - coalesce(lag(gc_count, 9) OVER s, first_value(gc_count) OVER s) AS gc_jump
+    FROM told WHERE NOT blank WINDOW s AS (PARTITION BY service_name ORDER BY ts_us, seq))"""
+
+
+@register("str2_stream_fill_and_counters", sql(_STREAM_FILLED, f"""
+    SELECT {KEY_LIST}, {r6s(METRICS)}, gc_count::DOUBLE AS gc_count, gc_seen, blank, gc_jump::DOUBLE AS gc_jump
+    FROM told LEFT JOIN shown USING (service_name, seq) WHERE {_closed('raw')}"""))
+def str2(spark, sf_dir):
+    """Forward fill, the counter of collections (SRC9) and the ten-row jump (CLS6), handed on from block to block."""
+    arrivals = _arrivals(spark, sf_dir, 1).withColumns(
+        {"ts_us": F.unix_micros("timestamp"), "log_message": F.regexp_replace("log_message", "^INFO signup", "INFO gc pause")}
+    )
+    closed = _collected(blocks.blocks_stream(arrivals), "append")
+    summaries = spark.readStream.schema(closed.schema).parquet(closed.inputFiles()[0].rsplit("/", 1)[0])
+    carries = _collected(blocks.carries_stream(summaries), "append")
+    names = [*KEYS, *METRICS, "gc_count"]
+    columns = T.StructType([arrivals.schema[c] if c not in (*METRICS, "gc_count") else T.StructField(c, T.DoubleType()) for c in names])
+    return out(blocks.filled_rows(closed, carries, columns), *names, "gc_seen", "blank", "gc_jump")
+
+
 def _live(spark: SparkSession, sf_dir: str) -> str:
     """Run the live job over the samples in four micro-batches; gives its folder."""
     folder = new_path(spark, "live")

@@ -68,11 +68,14 @@ def _unpacked(parts: Iterator[bytes]) -> pd.DataFrame:
 
 
 class BlockProcessor(StatefulProcessor):
-    """Keeps the rows of a (service, block) until the watermark has passed its end."""
+    """Keeps the rows of a (service, block) until the watermark has passed its end.
 
-    def __init__(self, block_us: int, close: Close):
+    ``trim`` drops what a micro-batch brings and no block needs."""
+
+    def __init__(self, block_us: int, close: Close, trim: Callable[[pd.DataFrame], pd.DataFrame] | None = None):
         self.block_us = block_us
         self.close_block = close
+        self.trim = trim
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -80,7 +83,7 @@ class BlockProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
-            self.rows.appendValue((_packed(part),))
+            self.rows.appendValue((_packed(self.trim(part) if self.trim else part),))
         self.handle.registerTimer(int((key[1] + 1) * self.block_us // 1000))
         return iter(())
 
@@ -139,6 +142,10 @@ def frames_stream(df: DataFrame, settings: Settings = DEFAULTS, delay: str = "2
     )
 
 
+#: A closed block and its summary.
+CLOSED = (
+    f"{KEY} string, {BLOCK} bigint, rows binary, {', '.join(f'last_{c} double' for c in METRICS)}, gc_seen bigint, tail array<double>"
+)
 #: Numbers that one block hands to the next.
 CARRY = ", ".join(f"carry_{c} double" for c in METRICS) + ", carry_gc_seen bigint, carry_history array<double>"
 _CARRY_NAMES = [part.split(" ")[0] for part in CARRY.split(", ")]
@@ -157,19 +164,22 @@ def blocks_stream(df: DataFrame, settings: Settings = DEFAULTS, delay: str = "2
     )
 
     def close(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        last = {f"last_{c}": _last(_numbers(rows, c)) for c in METRICS}
-        filled = pd.Series(_numbers(rows, "gc_count")).ffill()[~rows["blank"].to_numpy(bool)]
-        tail = [None if np.isnan(v) else float(v) for v in filled.to_numpy()[-back:]]
-        told = {KEY: key[0], BLOCK: key[1], "rows": _packed(rows.drop(columns=[KEY, BLOCK], errors="ignore")), **last}
-        return pd.DataFrame([{**told, "gc_seen": int(rows["gc_word"].sum()), "tail": tail}])
+        return summed_up(key, rows, back)
 
     return rows.groupBy(KEY, BLOCK).transformWithStateInPandas(
-        BlockProcessor(settings.slice_us, close),
-        f"{KEY} string, {BLOCK} bigint, rows binary, {', '.join(f'last_{c} double' for c in METRICS)}, gc_seen bigint, tail array<double>",
-        outputMode="Append", timeMode="EventTime",
+        BlockProcessor(settings.slice_us, close), CLOSED, outputMode="Append", timeMode="EventTime"
     )
 
 
+def summed_up(key: tuple, rows: pd.DataFrame, back: int) -> pd.DataFrame:
+    """One row with the sorted rows of a block and what they hand on."""
+    last = {f"last_{c}": _last(_numbers(rows, c)) for c in METRICS}
+    filled = pd.Series(_numbers(rows, "gc_count")).ffill()[~rows["blank"].to_numpy(bool)]
+    tail = [None if np.isnan(v) else float(v) for v in filled.to_numpy()[-back:]]
+    told = {KEY: key[0], BLOCK: key[1], "rows": _packed(rows.drop(columns=[KEY, BLOCK], errors="ignore")), **last}
+    return pd.DataFrame([{**told, "gc_seen": int(rows["gc_word"].sum()), "tail": tail}])
+
+
 def _last(values: np.ndarray) -> float:
     known = values[~np.isnan(values)]
     return known[-1] if len(known) else np.nan

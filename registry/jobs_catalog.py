@@ -11,10 +11,10 @@ from failwatch.schemas import FEATURE_COLUMNS, MODEL_COLUMNS, SAMPLES, SAMPLE_CO
 from failwatch.sinks import tables
 from failwatch.sources import samples as sources
 from failwatch.storage import materialize, new_path
-from failwatch.streaming import blocks, operators as streams
+from failwatch.streaming import blocks, containers, operators as streams
 from failwatch.streaming.live import LiveJob
 from registry import adapter, oracle_parts as P
-from registry.catalog import KEY_LIST, KEYS, METRICS, ML, _ML, out, r6, r6s, register, sql
+from registry.catalog import ENTRIES, KEY_LIST, KEYS, METRICS, ML, _ML, out, r6, r6s, register, sql
 
 FEATURES = [*FEATURE_COLUMNS]
 FEATURE_LIST = ", ".join(c if c == "gc_spike_count" else r6(c, c) for c in FEATURES)
@@ -245,6 +245,33 @@ def str2(spark, sf_dir):
     return out(blocks.filled_rows(closed, carries, columns), *names, "gc_seen", "blank", "gc_jump")
 
 
+def _json_arrivals(rows: DataFrame) -> DataFrame:
+    """The rows as a stream of JSON files, one file a micro-batch."""
+    path = new_path(rows.sparkSession, "records")
+    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    part = F.least(F.call_function("div", (F.col("ts_us") - first) * FILES, F.lit(last - first + 1)), F.lit(FILES - 1))
+    for i in range(FILES):
+        rows.where(part == i).coalesce(1).write.mode("append").json(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(path)
+
+
+_STREAMED = ("ts_us - ts_us % 300000000 + 300000000 <= (SELECT max(greatest(c.tick, l.tick)) FROM ticked c, last_lines l) - 120000000")
+
+
+@register("src12_stream_container_samples", ENTRIES["src10_container_samples"].sql.replace(
+    "SELECT c.name AS service_name", "SELECT * FROM (SELECT c.name AS service_name") + f""") WHERE {_STREAMED}""")
+def src12(spark, sf_dir):
+    """Container records and log lines, each a stream of JSON files, to samples with a running counter."""
+    minute = F.col("ts_us") - F.pmod("ts_us", F.lit(60_000_000))
+    records = _json_arrivals(adapter.container_stats(spark, sf_dir).withColumn("ts_us", minute))
+    lines = _json_arrivals(adapter.log_lines(spark, sf_dir))
+    closed = _collected(containers.container_blocks_stream(records, lines), "append")
+    summaries = spark.readStream.schema(closed.schema).parquet(closed.inputFiles()[0].rsplit("/", 1)[0])
+    carries = _collected(blocks.carries_stream(summaries), "append")
+    return out(containers.container_rows(closed, carries), *KEYS, "stack", "log_message", "log_level", *METRICS, "gc_count",
+               "ground_truth_label", "failure_type")
+
+
 def _live(spark: SparkSession, sf_dir: str) -> str:
     """Run the live job over the samples in four micro-batches; gives its folder."""
     folder = new_path(spark, "live")

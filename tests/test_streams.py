@@ -13,9 +13,11 @@ from failwatch.functions.timeaxis import from_micros
 from failwatch.operators import history, trends, windows
 from failwatch.schemas import METRICS, TREND_COLUMNS
 from failwatch.settings import MINUTE_US
+from failwatch.sources.container import container_samples
 from failwatch.storage import new_path
-from failwatch.streaming import blocks
+from failwatch.streaming import blocks, containers
 from failwatch.streaming.operators import append_samples, read_samples_stream
+from registry import adapter
 
 SCHEMA = (
     "ts_us bigint, seq bigint, service_name string, stack string, log_template string, template_id bigint, log_message string, "
@@ -135,6 +137,28 @@ def test_late_rows_are_dropped(spark, rows):
     assert spark.read.parquet(path).count() == before
 
 
+def test_container_samples_over_a_restart(spark, sf_dir):
+    """Records and lines in, samples out, as the batch has them."""
+    minute = F.col("ts_us") - F.pmod("ts_us", F.lit(MINUTE_US))
+    stats = adapter.container_stats(spark, sf_dir).withColumn("ts_us", minute).where("name in ('svc-1', 'svc-2')")
+    lines = adapter.log_lines(spark, sf_dir).where("name in ('svc-1', 'svc-2')").withColumn(
+        "line", F.when(F.col("line_no") % 7 == 0, "gc pause").when(F.col("line_no") % 5 != 0, F.col("line")))
+    inputs, path, checkpoint = (new_path(spark, "stats"), new_path(spark, "lines")), new_path(spark, "out"), new_path(spark, "checkpoint")
+    low, newest = stats.agg(F.min("ts_us"), F.max("ts_us")).first()
+    middle = (low + newest) // 2
+    for part in (F.col("ts_us") < middle, F.col("ts_us") >= middle):
+        for table, folder in zip((stats, lines), inputs):
+            table.where(part).coalesce(1).write.mode("append").json(folder)
+        streams = [spark.readStream.schema(t.schema).json(f) for t, f in zip((stats, lines), inputs)]
+        stored = run(containers.container_blocks_stream(*streams), path, checkpoint)
+    summaries = spark.readStream.schema(stored.schema).parquet(stored.inputFiles()[0].rsplit("/", 1)[0])
+    carries = run(blocks.carries_stream(summaries), new_path(spark, "carries"), new_path(spark, "checkpoint"))
+    batch = container_samples(stats, lines.where("line is not null"))
+    names = ["ts_us", "stack", "log_message", "log_level", *METRICS, "ground_truth_label"]
+    compare(containers.container_rows(stored, carries), closed(batch, newest), names)
+    assert batch.agg(F.max("gc_count")).first()[0] > 5
+
+
 def test_sliding_max():
     rng = np.random.default_rng(1)
     values = np.where(rng.random(300) < 0.2, np.nan, rng.random(300))

@@ -28,15 +28,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from failwatch.functions import frames, text
-from failwatch.functions.timeaxis import slot
+from failwatch.functions.timeaxis import from_micros, slot
 from failwatch.operators.history import KEY
 from failwatch.operators.windows import PASSED_THROUGH
 from failwatch.schemas import METRICS, TREND_COLUMNS, WINDOW_COLUMNS
 from failwatch.settings import DEFAULTS, MINUTE_US, Settings
+from failwatch.sinks import tables
 
 #: What trends look back beyond the frame: ten minutes of failures of the last minute.
 TREND_LOOK_BACK_US = 11 * MINUTE_US
@@ -142,6 +144,24 @@ def frames_stream(df: DataFrame, settings: Settings = DEFAULTS, delay: str = "2
     )
 
 
+def windows_to_tables(
+    labelled: DataFrame, audit_path: str, ml_path: str, projects: DataFrame, checkpoint: str,
+    settings: Settings = DEFAULTS, delay: str = "2 minutes",
+) -> DataStreamWriter:
+    """Window rows of a labelled stream into the audit and the ML table, exactly once.
+
+    ``projects`` is (stack, project_id). ``ram_std_trend``, which looks back by rows without a
+    limit of time, stays empty."""
+    found = frames_stream(labelled, settings, delay).withColumns(
+        {"timestamp": from_micros(F.col("ts_us")), "label_source": F.lit("ground_truth")}
+    )
+
+    def write(windows: DataFrame, batch: int) -> None:
+        tables.save_batch(windows, audit_path, ml_path, projects, batch)
+
+    return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 #: A closed block and its summary.
 CLOSED = (
     f"{KEY} string, {BLOCK} bigint, rows binary, {', '.join(f'last_{c} double' for c in METRICS)}, gc_seen bigint, tail array<double>"

@@ -221,6 +221,23 @@ def str3(spark, sf_dir):
                *FEATURES, "window_duration_seconds", *TREND_COLUMNS)
 
 
+@register("str7_stream_windows_to_tables", sql(P.TRENDS, f"""
+    SELECT {KEY_LIST}, {FEATURE_LIST}, {r6s(TREND_COLUMNS)}, hybrid_label, 'project_' || stack AS project_id
+    FROM trends WHERE {_closed('scored')}"""))
+def str7(spark, sf_dir):
+    """The same stream into the audit and the ML table, a partition per micro-batch; both read back and joined."""
+    labelled = adapter.stages(spark, sf_dir).classified.withColumn("timestamp", from_micros(F.col("ts_us")))
+    path = _arriving(labelled)
+    arrivals = streams.read_samples_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=2)
+    projects = materialize(labelled.select("stack", F.concat(F.lit("project_"), "stack").alias("project_id")).distinct(), "projects")
+    audit, ml = new_path(spark, "audit"), new_path(spark, "ml")
+    writer = blocks.windows_to_tables(arrivals, audit, ml, projects, new_path(spark, "checkpoint"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    trends = spark.read.parquet(ml).select("ts_us", "seq", "window_id", "project_id", *TREND_COLUMNS)
+    both = spark.read.parquet(audit).join(trends, ["ts_us", "seq", "window_id"])
+    return out(both, *KEYS, *FEATURES, *TREND_COLUMNS, "hybrid_label", "project_id")
+
+
 _STREAM_FILLED = P.RAW + P.FILLED.removeprefix(P.DEDUPED).replace("FROM deduped", "FROM raw") + """, told AS (
     SELECT *, sum(CASE WHEN log_message LIKE 'INFO signup%' THEN 1 ELSE 0 END) OVER (
         PARTITION BY service_name ORDER BY ts_us, seq)::BIGINT AS gc_seen, trim(log_message) = '' AS blank FROM filled),

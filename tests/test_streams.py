@@ -13,6 +13,7 @@ from failwatch.functions.timeaxis import from_micros
 from failwatch.operators import history, trends, windows
 from failwatch.schemas import METRICS, TREND_COLUMNS
 from failwatch.settings import MINUTE_US
+from failwatch.sinks import tables
 from failwatch.sources.container import container_samples
 from failwatch.storage import new_path
 from failwatch.streaming import blocks, containers
@@ -159,6 +160,38 @@ def test_container_samples_over_a_restart(spark, sf_dir):
     assert batch.agg(F.max("gc_count")).first()[0] > 5
 
 
+def test_failure_between_the_two_tables(spark, rows, monkeypatch):
+    """The ML write of the second micro-batch fails once; after the restart both tables are whole."""
+    source, audit, ml, checkpoint = (new_path(spark, n) for n in ("in", "audit", "ml", "checkpoint"))
+    projects = spark.createDataFrame([("st", "project_1")], "stack string, project_id string")
+    middle = START + 30 * MINUTE_US
+    whole = tables.enrich.ml_rows
+
+    def go():
+        arrivals = read_samples_stream(spark, source, rows.schema)
+        blocks.windows_to_tables(arrivals, audit, ml, projects, checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    rows.where(F.col("ts_us") < middle).coalesce(1).write.mode("append").parquet(source)
+    go()
+    rows.where(F.col("ts_us") >= middle).coalesce(1).write.mode("append").parquet(source)
+
+    def failing(*args):
+        # The audit rows of this micro-batch are written, the ML rows are not.
+        return whole(*args).withColumn("label", F.raise_error(F.lit("lost")).cast("string"))
+
+    monkeypatch.setattr(tables.enrich, "ml_rows", failing)
+    with pytest.raises(Exception):
+        go()
+    monkeypatch.setattr(tables.enrich, "ml_rows", whole)
+    ahead = spark.read.parquet(audit).count()
+    assert ahead > spark.read.parquet(ml).count()
+    go()
+    written, named = spark.read.parquet(audit), spark.read.parquet(ml)
+    assert written.count() == named.count() == named.select("ts_us", "seq").distinct().count() >= ahead
+    ids = sorted(r.window_id for r in written.select("window_id").collect())
+    assert ids == list(range(1, len(ids) + 1)) == sorted(r.window_id for r in named.select("window_id").collect())
+
+
 def test_sliding_max():
     rng = np.random.default_rng(1)
     values = np.where(rng.random(300) < 0.2, np.nan, rng.random(300))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from failwatch.operators import classify, enrich, preprocess, templates, trends, windows
 from failwatch.settings import DEFAULTS, Settings
 from failwatch.sinks import tables
+from failwatch.sinks.tables import ROW_KEYS
 from failwatch.storage import materialize
 
 Templating = Callable[[DataFrame], DataFrame]
@@ -75,13 +76,14 @@ class Stages:
     def trended(self) -> DataFrame:
         """Windows with ids and all trend columns.
 
-        The row lag comes first: it reads its input twice, which here is a written table.
+        Lags, ids and trends look at few columns, so they are worked out on rows of those; the
+        wide rows, a written table, move once, to be joined with the result.
         """
-        lagged = trends.add_ram_std_trend(self.window_rows, settings=self.settings)
-        numbered = windows.number_windows(
-            lagged, self.classified, self.settings, counted=self.window_rows
-        )
-        return materialize(trends.add_failure_trends(numbered), "trended")
+        narrow = self.window_rows.select(*ROW_KEYS, "hybrid_label", "ram_std")
+        trended = trends.add_failure_trends(trends.add_ram_std_trend(narrow, settings=self.settings))
+        numbered = windows.number_windows(trended, self.classified, self.settings, counted=narrow)
+        added = numbered.drop("hybrid_label", "ram_std")
+        return materialize(self.window_rows.join(added, ROW_KEYS), "trended")
 
     @property
     def audit(self) -> DataFrame:

@@ -213,7 +213,9 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id:
         yield pa.record_batch([pa.array([path]), pa.array([len(writer.counts)]), pa.array([writer.ids])], ["path", "docs", "ids"])
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange(tasks(documents), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id, null for instance, are split by the beginnings of their texts.
+    ranges = rows.repartitionByRange(tasks(documents), "doc_id", F.substring("text", 1, 64))
+    ordered = ranges.sortWithinPartitions("doc_id", "text")
     written = ordered.mapInArrow(run, "path string, docs bigint, ids bigint").collect()
     return sorted((r.path, r.docs, r.ids) for r in written)
 

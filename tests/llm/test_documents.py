@@ -14,7 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from failwatch.llm import decontam, language, line_dedup, near_dedup, packing, simple8b, toxicity
+from failwatch.llm import decontam, language, line_dedup, near_dedup, packing, simple8b, tokens, toxicity
 from failwatch.llm.tokens import UnitTokenizer, tokenizer
 from failwatch.llm.words import ALPHANUMERIC, text_chunks, word_hashes
 from failwatch.storage import new_path
@@ -223,6 +223,36 @@ def test_ids_are_those_of_the_plain_call(path):
             assert bool(ends & set(want)) == ("<|endoftext|>" in (texts[i] or ""))
 
 
+PIECES = [
+    *"aEsTDhJ", "ß", "ü", "É", "ñ", "\u00d7", "\u00f7", "\u01c5", "\u0130", "\u03a3", "\u0416", "\u047f", "\u0331", "\u030c", "\u0307", "日",
+    *".,#$%*'`-_|<>/0 7\n\t", "  ", "\u00a0", "\u0085", "\u2028", "\x1c", "'s", "'LL", "\u212a", "\u00b2", "\U0001f600", "the", "THE",
+]
+
+
+@pytest.mark.parametrize("kept", [40, 100_000])
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_units_of_random_texts(path, kept, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_UNITS", kept)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(PIECES, rng.integers(0, 40))) for _ in range(4000)]
+    plain, units = Tokenizer.from_file(path), UnitTokenizer(path, special_as_text=False)
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for first, end, data, offsets in text_chunks(pa.array(texts), 500):
+        ids, rows = units.encode(data, offsets)
+        for i in range(first, end):
+            assert ids[rows[i - first] : rows[i - first + 1]].tolist() == want[i], texts[i]
+
+
+def test_files_of_one_repeated_doc_id(spark):
+    texts = [f"{i % 50} text {i}" for i in range(400)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(1, "b"), (1, "a")], "doc_id bigint, text string").repartition(4)
+    files = simple8b.write_tokens(df, new_path(spark, "t"), WORD)
+    assert sum(docs > 0 for _, docs, _ in files) > 1
+    rows = [(None, t) for t in sorted(texts)] + [(1, "a"), (1, "b")]
+    got = simple8b.read_tokens(spark, files).orderBy("start").collect()
+    assert [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == list(zip([d for d, _ in rows], encoded(WORD, [t for _, t in rows])))
+
+
 def test_files_and_packs_hold_ids_of_the_plain_call(spark):
     df = spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id bigint, text string")
     files = simple8b.read_tokens(spark, simple8b.write_tokens(df, new_path(spark, "t"), WORD)).collect()

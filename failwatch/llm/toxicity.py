@@ -7,8 +7,9 @@ alphanumerics, ASCII in lower case; a feature is a whole word or its first chara
 Edge cases: a null or empty text has no feature and gets the intercept's severity; a null
 doc_id is scored like any other; repeated rows give repeated results; labels that are null or
 belong to no document are not used; other columns are ignored. Without usable labels of two
-grades every severity is 0 and nothing is rejected; so it is with so few toxic labels that no
-feature stands in ``MIN_ROWS`` rows with ``MIN_EVIDENCE`` (11 of 87 labels of small texts are too few).
+grades every severity is 0 and nothing is rejected. With few toxic labels the features of most
+evidence are taken, whatever it is, and the ridge shrinks their weights: texts like the labelled
+ones are found, others may be missed.
 """
 
 from __future__ import annotations
@@ -29,11 +30,10 @@ TRAINING_ROWS = 20_000
 FEATURES = 4_096
 #: Bytes at the start of a longer word that are features too, for stems with free endings.
 STEMS = (4, 5, 6, 8)
-MIN_ROWS = 5
 #: P(grade > 0) from which a text is toxic: one flagged word must do, also a rare one.
 THRESHOLD = 0.3
-#: Least evidence of a feature in nats, about a chance of one in a million.
-MIN_EVIDENCE = 12.0
+#: Folds whose toxic rows are graded by a model of the other rows.
+FOLDS = 2
 _STEM_SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -78,14 +78,13 @@ def _pairs(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 def _row_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, keys, of in _pairs(batch["text"]):
-            for row in range(end - first):
-                mine = np.unique(keys[of == row]) if end - first > 1 else np.unique(keys)
-                yield pa.record_batch(
-                    {
-                        "grade": batch["grade"].slice(first + row, 1),
-                        "keys": pa.array([mine.view(np.int64)], pa.list_(pa.int64())),
-                    }
-                )
+            order = np.lexsort((keys, of))
+            keys, of = keys[order], of[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
+            offsets = np.searchsorted(of[new], np.arange(end - first + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[new].view(np.int64)))
+            yield pa.record_batch({"grade": batch["grade"].slice(first, end - first), "keys": lists})
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> DataFrame:
@@ -100,7 +99,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, limit: int = TRAINING
 
 
 def choose_features(rows: DataFrame, limit: int = FEATURES) -> np.ndarray:
-    """The features of the sample with most evidence (a G test) that they go with toxic text."""
+    """The features of the sample with most evidence (a G test) that they go with toxic text.
+
+    The least evidence is the logarithm of the number of features that go with toxic text at all, so
+    that about one of those kept would be there by chance, or the most that any feature has, if less."""
     sums = rows.agg(F.count("*"), F.sum((F.col("grade") > 0).cast("long"))).first()
     total, toxic = sums[0], sums[1] or 0
     if not toxic or toxic == total:
@@ -115,13 +117,11 @@ def choose_features(rows: DataFrame, limit: int = FEATURES) -> np.ndarray:
         return F.when(seen > 0, seen * F.log(seen / mean)).otherwise(0.0)
 
     evidence = term(F.col("a"), expected) + term(rest, F.col("n") - expected)
-    best = (
-        counts.where((F.col("n") >= MIN_ROWS) & (F.col("a") > expected))
-        .withColumn("g", evidence)
-        .where(F.col("g") >= MIN_EVIDENCE)
-        .orderBy(F.desc("g"), "key")
-        .limit(limit)
-    )
+    with_toxic = materialize(counts.where(F.col("a") > expected).select("key", F.round(evidence, 9).alias("g")), "toxicity-features")
+    found, most = with_toxic.agg(F.count("*"), F.max("g")).first()
+    if not found:
+        return np.zeros(0, np.uint64)
+    best = with_toxic.where(F.col("g") >= min(np.log(found), most)).orderBy(F.desc("g"), "key").limit(limit)
     keys = best.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64)
     return np.sort(keys)
 
@@ -160,8 +160,8 @@ def fit_cumulative(x_rows: np.ndarray, x_cols: np.ndarray, grades: np.ndarray, n
 def train(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Model:
     """Fit the model on the bounded sample.
 
-    ``labels.toxic`` above 1 is taken as a grade. Where it only says 0 or 1, toxic texts are
-    graded by how many chosen features they hold: 2 from the median on, else 1."""
+    ``labels.toxic`` above 1 is taken as a grade. Where it only says 0 or 1, toxic texts are graded 1 or 2
+    by the score that a model of 0 and 1 fitted on the other fold gives them: 2 from the median on."""
     rows = training_rows(documents, labels, limit).mapInArrow(_row_features, "grade int, keys array<bigint>")
     rows = materialize(rows, "toxicity-sample")
     keys = choose_features(rows)
@@ -169,21 +169,36 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -
         return Model()
     chosen = rows.sparkSession.createDataFrame([(keys.view(np.int64).tolist(),)], "chosen array<bigint>")
     # At most ``limit`` rows of at most FEATURES entries each.
-    held = rows.crossJoin(F.broadcast(chosen)).select("grade", F.array_sort(F.array_intersect("keys", "chosen")).alias("keys")).toPandas()
+    held = rows.crossJoin(F.broadcast(chosen)).select(
+        "grade", F.pmod(F.xxhash64("keys"), F.lit(FOLDS)).alias("fold"), F.array_intersect("keys", "chosen").alias("keys")
+    ).toPandas()
     grades = held["grade"].to_numpy(np.int64).clip(0)
     sizes = held["keys"].map(len).to_numpy()
+    at = np.repeat(np.arange(len(held)), sizes)
+    cols = np.concatenate([np.asarray(k, np.int64) for k in held["keys"]] or [np.zeros(0, np.int64)])
+    cols = np.searchsorted(keys, cols.view(np.uint64))
     if grades.max(initial=0) == 1:
-        grades = grades + ((grades == 1) & (sizes >= np.median(sizes[grades == 1])))
-        if not (grades == 1).any():
-            grades = np.minimum(grades, 1)
+        grades = _graded(at, cols, grades, held["fold"].to_numpy(), len(keys))
     else:
         grades = np.unique(grades, return_inverse=True)[1]
-    cols = np.concatenate([np.asarray(k, np.int64) for k in held["keys"]] or [np.zeros(0, np.int64)])
-    cols = np.searchsorted(keys, cols.view(np.uint64))
-    w, cuts = fit_cumulative(np.repeat(np.arange(len(held)), sizes), cols, grades, len(keys))
+    w, cuts = fit_cumulative(at, cols, grades, len(keys))
     return Model(keys, w, cuts)
 
 
+def _graded(at: np.ndarray, cols: np.ndarray, toxic: np.ndarray, fold: np.ndarray, n_features: int) -> np.ndarray:
+    """0 for clean rows, 1 or 2 for toxic ones by the other fold's model."""
+    scores = np.zeros(len(toxic))
+    for k in range(FOLDS):
+        other = fold != k
+        place = np.cumsum(other) - 1
+        mine = other[at]
+        w, cuts = fit_cumulative(place[at[mine]], cols[mine], toxic[other], n_features, rounds=500)
+        if len(cuts):
+            scores[~other] = (np.bincount(at, w[cols], len(toxic)) - cuts[0])[~other]
+    grades = toxic + ((toxic == 1) & (scores >= np.median(scores[toxic == 1])))
+    return grades if (grades == 1).any() else np.minimum(grades, 1)
+
+
 def linear_scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     if not len(model.keys):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from failwatch.llm import decontam, language, line_dedup, near_dedup, packing, simple8b, tokens, toxicity
 from failwatch.llm.tokens import UnitTokenizer, tokenizer
-from failwatch.llm.words import ALPHANUMERIC, text_chunks, word_hashes
+from failwatch.llm.words import ALPHANUMERIC, mix, span_hashes, text_chunks, word_hashes
 from failwatch.storage import new_path
 from pyspark.sql import functions as F
 
@@ -486,6 +487,57 @@ def test_cumulative_link_orders_grades():
     assert np.abs(severity - grades).max() < 0.5
 
 
+def plain_keys(text):
+    """Hashes of the words of a text and of their starts, one word at a time."""
+    keys = set()
+    for word in re.findall(rb"[A-Za-z0-9\x80-\xff]+", (text or "").encode()):
+        word = word.lower()
+        for size in [0, *(n for n in toxicity.STEMS if n < len(word))]:
+            data = np.frombuffer(word[: size or len(word)], np.uint8)
+            key = span_hashes(data, np.array([0]), np.array([len(data)]))
+            keys.add(int((mix(key ^ toxicity._STEM_SALT) if size else key)[0]))
+    return keys
+
+
+def test_toxicity_of_few_labels(spark, docs, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    assert 0 < len(model.keys) <= toxicity.FEATURES
+    found = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist()))
+    for doc_id, text in pairs(docs):  # each document by itself
+        score = sum(weights.get(k, 0.0) for k in plain_keys(text))
+        above = [1 / (1 + math.exp(min(40, max(-40, t - score)))) for t in model.thresholds]
+        row = found[doc_id]
+        assert row.p_toxic == pytest.approx(above[0], abs=1e-9) and row.severity == pytest.approx(sum(above), abs=1e-9)
+        assert row.toxic == (row.p_toxic >= toxicity.THRESHOLD)
+    marked = [(found[r.doc_id].toxic, r.toxic) for r in labels.where("toxic is not null").collect() if r.doc_id in found]
+    assert sum(t for t, bad in marked if bad) * 2 > sum(bad > 0 for _, bad in marked)
+    assert not any(t for t, bad in marked if not bad)
+    # One toxic text among clean ones is known again, in a clean document's company, too.
+    few = spark.createDataFrame([(i, f"fine words number {i} here") for i in range(30)] + [(30, "grawl snibbet here"), (31, "a grawl snibbet")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i == 30)) for i in range(31)], "doc_id long, toxic int")
+    assert [r.doc_id for r in toxicity.classify(few, marks).where("toxic").orderBy("doc_id").collect()] == [30, 31]
+
+
+def test_cumulative_fit_is_the_best_of_a_dense_model():
+    rng = np.random.default_rng(8)
+    x = rng.random((300, 5)) < 0.3
+    grades = np.digitize(x @ [3.0, 2.0, 1.0, 0.0, -1.0] + rng.logistic(size=300), [2.0, 4.0])
+    w, cuts = toxicity.fit_cumulative(*np.nonzero(x), grades, 5, ridge=1.0)
+
+    def loss(w, cuts):
+        above = [np.ones(300), *(1 / (1 + np.exp(t - x @ w)) for t in cuts), np.zeros(300)]
+        return -sum(np.log(above[g][i] - above[g + 1][i]) for i, g in enumerate(grades)) + 0.5 * (w**2).sum()
+
+    best = loss(w, cuts)
+    for i in range(7):
+        for step in (-0.02, 0.02):
+            move = np.zeros(7)
+            move[i] = step
+            assert loss(w + move[:5], cuts + move[5:]) > best
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (77, 0, 1), (None, 0, 1), (3, 0, None)], "doc_id bigint, quality int, toxic int")
     assert toxicity.classify(odd_docs, labels).count() == odd_docs.count()

@@ -16,6 +16,9 @@ SEED = 42
 HELD_OUT = 0.2
 #: The deepest trees the forest can grow.
 MAX_DEPTH = 30
+#: Rows that a tree is grown from, on average. They bound its leaves, so the forest, which the driver holds,
+#: does not grow with the table: every tree gets its own sample of all rows, with replacement.
+TREE_ROWS = 20_000
 #: Held-out rows among which a feature's values are exchanged.
 SHUFFLED_ROWS = 10_000
 
@@ -48,13 +51,14 @@ def row_counts(rows: DataFrame) -> DataFrame:
 
 
 def train_forest(
-    rows: DataFrame, trees: int = TREES, max_depth: int = MAX_DEPTH
+    rows: DataFrame, trees: int = TREES, max_depth: int = MAX_DEPTH, tree_rows: int = TREE_ROWS
 ) -> RandomForestClassificationModel:
+    known = rows.where(~F.col("held_out"))
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=1024,
-        subsamplingRate=1.0, featureSubsetStrategy="sqrt",
+        subsamplingRate=min(1.0, tree_rows / max(1, known.count())), featureSubsetStrategy="sqrt",
     )
-    return forest.fit(rows.where(~F.col("held_out")))
+    return forest.fit(known)
 
 
 def _shuffled(rows: DataFrame) -> DataFrame:

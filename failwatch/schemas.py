@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+# The column names and orders of samples, windows and both output tables.
 METRICS = ["ram_percent", "cpu_percent", "heap_mb_used", "gc_count"]
 
 SAMPLES = T.StructType(

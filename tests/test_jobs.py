@@ -170,6 +170,20 @@ def test_live_finish_without_rows(spark, tmp_path):
     LiveJob(spark, str(tmp_path / "out"), str(tmp_path / "state")).finish()
 
 
+def test_trees_do_not_grow_with_the_rows(spark):
+    from pyspark.ml.functions import array_to_vector
+    from failwatch.operators import importance
+
+    def nodes(n):
+        values = F.array(*[F.rand(k) for k in range(12)])
+        rows = spark.range(n).select(array_to_vector(values).alias("features"), F.round(F.rand(99)).alias("label"), F.lit(False).alias("held_out"))
+        forest = importance.train_forest(materialize(rows), trees=5, tree_rows=300)
+        return max(t.numNodes for t in forest.trees)
+
+    # Labels are noise, so trees are as large as their rows allow.
+    assert 100 < nodes(3_000) < 2 * 400 and nodes(30_000) < 2 * 400
+
+
 def test_importance_finds_the_planted_feature(spark):
     from failwatch.operators import importance
     from failwatch.schemas import MODEL_COLUMNS

@@ -1,8 +1,10 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-Texts and items are sequences of words (alphanumeric runs, lower case), edits are word edits.
-An item leaks into a document that has a stretch of words within ``floor(rate * n)`` edits of
-the item's n words. Items of similar length form a class that is searched with windows of its
+Texts and items are sequences of words (runs of letters and digits, lower case; in scripts
+without blanks, such as Chinese or Thai, every character is a word), edits are word edits. An
+item leaks into a document that has a stretch of words within ``floor(rate * n)`` edits of the
+item's n words. An item of fewer than ``MIN_WORDS`` words leaks where all its words stand in a
+row unchanged: such items are found by a hash of their words, and compared. Longer items of similar length form a class that is searched with windows of its
 least length, one starting at every word of every document:
 
 1. A window can only match if enough of its word pairs occur in some item, as one edit breaks
@@ -17,9 +19,9 @@ least length, one starting at every word of every document:
 Items are sent to the tasks in blocks of about ``BLOCK_WORDS`` words, so any number of items
 works: each block is one scan of the documents. Results are one row per document and item.
 
-Edge cases: null or empty texts and items match nothing, nor do items of fewer than
-``MIN_WORDS`` words, which say nothing about a leak. A null doc_id or item_id is carried as
-it is. Repeated rows give repeated results. Columns other than the ids and text are ignored.
+Edge cases: null or empty texts and items match nothing, nor do items of one word or of fewer
+than ``MIN_BYTES`` bytes of words, which say nothing about a leak. A null doc_id or item_id is
+carried as it is; texts may have any length. Repeated rows give repeated results. Columns other than the ids and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +29,18 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from failwatch.llm.words import ALPHANUMERIC, mix, text_chunks, word_hashes
+from failwatch.llm.words import LOWER, letter_spans, mix, span_hashes, text_chunks
 
+#: Words from which an item may have edits.
 MIN_WORDS = 8
+#: UTF-8 bytes in the words of the shortest item: 16 Latin letters, six Chinese characters.
+MIN_BYTES = 16
 #: Word edits allowed, as a share of the item's words.
 EDIT_RATE = 0.2
 BLOCK_WORDS = 1_000_000
@@ -57,6 +63,12 @@ def repetitions(target_recall: float) -> int:
     return max(1, math.ceil(math.log(1 - target_recall) / math.log1p(-one) / TABLES))
 
 
+def item_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all rows, each row's first word, and the bytes of each word."""
+    starts, ends, rows = letter_spans(data, offsets)
+    return span_hashes(LOWER[data], starts, ends), rows, ends - starts
+
+
 def _pairs(words: np.ndarray) -> np.ndarray:
     return mix(words[:-1] * _PAIR + words[1:])
 
@@ -139,41 +151,97 @@ def edit_distances(item: np.ndarray, words: np.ndarray, starts: np.ndarray, ends
     return best.min(axis=1)
 
 
+class PairSet:
+    """Pairs of neighbouring words, behind a table of marks that most others fail."""
+
+    def __init__(self, pairs: list[np.ndarray]):
+        self.pairs = np.unique(np.concatenate(pairs or [np.zeros(0, np.uint64)]))
+        self.marks = np.zeros(1 << 18, bool)
+        self.marks[(self.pairs & _U(len(self.marks) - 1)).astype(np.int64)] = True
+
+    def known(self, pairs: np.ndarray) -> np.ndarray:
+        known = self.marks[(pairs & _U(len(self.marks) - 1)).astype(np.int64)]
+        some = np.flatnonzero(known)
+        at = np.searchsorted(self.pairs, pairs[some])
+        at[at == len(self.pairs)] = 0
+        known[some] = self.pairs[at] == pairs[some]
+        return known
+
+
+class ShortItems:
+    """Items of ``size`` words, found unchanged by the hash of their words."""
+
+    def __init__(self, ids: list, items: list[np.ndarray]):
+        self.size, words = len(items[0]), np.stack(items)
+        keys = self._keys(words.ravel(), np.arange(len(items)) * self.size)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.words, self.ids = keys[order], words[order], [ids[i] for i in order]
+
+    def _keys(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        keys = np.zeros(len(starts), np.uint64)
+        for k in range(self.size):
+            keys = mix(keys * _PAIR + words[starts + k])
+        return keys
+
+    def found(self, words: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, object, int, int]]:
+        """(row, item id, first start in the row, 0) for the starts, which are ascending."""
+        keys = self._keys(words, starts)
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        hit = np.flatnonzero(high > low)
+        hit = hit[(words[starts[hit][:, None] + np.arange(self.size)] == self.words[low[hit]]).all(axis=1)]
+        # The first of all places of a text in a row, then the items that share the text.
+        _, least = np.unique(np.stack([owner[hit], low[hit]]), axis=1, return_index=True)
+        for i in hit[np.sort(least)].tolist():
+            for item in range(int(low[i]), int(high[i])):
+                yield int(owner[i]), self.ids[item], int(starts[i]), 0
+
+
 class Items:
     """A block of items, ready to be searched for."""
 
     def __init__(self, ids: list, texts: list[str], rate: float, target_recall: float):
         chunks = list(text_chunks(pa.array(texts, pa.string())))
-        split = []
+        split, sizes = [], []
         for _, _, data, offsets in chunks:
-            words, rows = word_hashes(data, offsets, ALPHANUMERIC)
+            words, rows, lengths = item_words(data, offsets)
             split += [words[a:b] for a, b in zip(rows[:-1], rows[1:])]
-        long = sorted((i for i in range(len(split)) if len(split[i]) >= MIN_WORDS), key=lambda i: len(split[i]))
+            sizes += [int(lengths[a:b].sum()) for a, b in zip(rows[:-1], rows[1:])]
+        by_length = sorted((i for i in range(len(split)) if len(split[i]) > 1 and sizes[i] >= MIN_BYTES), key=lambda i: len(split[i]))
+        long, short = [i for i in by_length if len(split[i]) >= MIN_WORDS], [i for i in by_length if len(split[i]) < MIN_WORDS]
         self.classes, walks, group = [], repetitions(target_recall), []
         for i in [*long, None]:
             if group and (i is None or len(split[i]) > CLASS_RATIO * len(split[group[0]])):
                 self.classes.append(ItemClass([ids[g] for g in group], [split[g] for g in group], rate, walks))
                 group = []
             group.append(i)
-        self.pairs = np.unique(np.concatenate([_pairs(split[i]) for i in long] or [np.zeros(0, np.uint64)]))
-        self.marks = np.zeros(1 << 18, bool)
-        self.marks[(self.pairs & _U(len(self.marks) - 1)).astype(np.int64)] = True
-
-    def known_pairs(self, words: np.ndarray) -> np.ndarray:
-        pairs = _pairs(words)
-        known = self.marks[(pairs & _U(len(self.marks) - 1)).astype(np.int64)]
-        some = np.flatnonzero(known)
-        at = np.searchsorted(self.pairs, pairs[some])
-        at[at == len(self.pairs)] = 0
-        known[some] = self.pairs[at] == pairs[some]
-        return known
+        self.pairs = PairSet([_pairs(split[i]) for i in long])
+        self.short = [ShortItems([ids[i] for i in own], [split[i] for i in own]) for own in (list(g) for _, g in groupby(short, lambda i: len(split[i])))]
+        self.openings = PairSet([_pairs(split[i][:2]) for i in short])
 
     def leaks(self, words: np.ndarray, rows: np.ndarray) -> list[tuple[int, object, int, int]]:
         """(row, item id, first word in the row, edits), the best stretch of each row and item."""
-        if len(words) < 2 or not self.classes:
+        if len(words) < 2:
             return []
+        pairs = _pairs(words)
+        return [
+            (row, item, start - int(rows[row]), edits)
+            for row, item, start, edits in (*self._short_leaks(words, rows, pairs), *self._long_leaks(words, rows, pairs))
+        ]
+
+    def _short_leaks(self, words: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, object, int, int]]:
+        if self.short:
+            starts = np.flatnonzero(self.openings.known(pairs))
+            owner = np.searchsorted(rows, starts, "right") - 1
+            left = rows[owner + 1] - starts
+            for items in self.short:
+                enough = left >= items.size
+                yield from items.found(words, starts[enough], owner[enough])
+
+    def _long_leaks(self, words: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[int, object, int, int]]:
+        if not self.classes:
+            return
         known = np.zeros(len(words), np.int32)
-        np.cumsum(self.known_pairs(words), out=known[1:])
+        np.cumsum(self.pairs.known(pairs), out=known[1:])
         # Starts with too few known pairs for every class, within the longest window, go first.
         longest, fewest = self.classes[-1].size, min(c.pairs_needed for c in self.classes)
         reach = known[np.minimum(np.arange(longest - 1, longest - 1 + len(words)), len(words) - 1)]
@@ -202,10 +270,8 @@ class Items:
                     for at in np.flatnonzero(edits <= c.edits[i]).tolist():
                         key, value = (int(owner[part[at]]), k, i), (int(edits[at]), int(starts[part[at]]))
                         best[key] = min(value, best.get(key, value))
-        return [
-            (row, self.classes[k].ids[i], start - int(rows[row]), edits)
-            for (row, k, i), (edits, start) in sorted(best.items())
-        ]
+        for (row, k, i), (edits, start) in sorted(best.items()):
+            yield row, self.classes[k].ids[i], start, edits
 
     @staticmethod
     def _row_bound(c: ItemClass, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -232,7 +298,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, rate: float = EDIT
             for batch in batches:
                 ids = batch["doc_id"]
                 for first, _, data, offsets in text_chunks(batch["text"], CHUNK_BYTES):
-                    found = sent.value.leaks(*word_hashes(data, offsets, ALPHANUMERIC))
+                    found = sent.value.leaks(*item_words(data, offsets)[:2])
                     if found:
                         row, item, start, edits = zip(*found)
                         yield pa.record_batch(

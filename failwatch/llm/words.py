@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ def byte_table(separators: bytes) -> np.ndarray:
 BLANK_SEPARATED = byte_table(b" \t\n\x0b\x0c\r")
 #: Words are runs of ASCII letters, digits and all non-ASCII bytes.
 ALPHANUMERIC = byte_table(bytes(b for b in range(128) if not chr(b).isalnum()))
+#: Blocks of scripts that set no blanks between words: Thai and Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 #: ASCII upper case to lower case.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -108,6 +112,43 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
     return span_hashes(LOWER[data], starts, ends), rows
 
 
+@lru_cache(1)
+def letter_kinds() -> np.ndarray:
+    """For every code point 0 (no part of a word), 1 (of a longer word) or 2 (a word by itself)."""
+    kinds = np.array([unicodedata.category(chr(p))[0] in "LMN" for p in range(0x110000)], np.uint8)
+    for first, last in UNSPACED:
+        kinds[first : last + 1] *= 2
+    return kinds
+
+
+def letter_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans as of ``word_spans`` of runs of letters, digits and their marks in any script.
+
+    A character of a script without blanks is a word; malformed bytes are read as some character."""
+    kinds = ALPHANUMERIC[data].astype(np.uint8)
+    wide = np.flatnonzero(data >= 0x80)
+    if len(wide):
+        lead = (data[wide] & 0xC0) != 0x80
+        lead[0] = True
+        at = wide[lead]
+        b = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 0x3F for k in range(4)]
+        two, three = ((b[0] & 0x1F) << 6) | b[1], ((b[0] & 0x0F) << 12) | (b[1] << 6) | b[2]
+        four = ((b[0] & 0x07) << 18) | (b[1] << 12) | (b[2] << 6) | b[3]
+        points = np.where(data[at] < 0xE0, two, np.where(data[at] < 0xF0, three, np.minimum(four, 0x10FFFF)))
+        kinds[wide] = letter_kinds()[points][np.cumsum(lead) - 1]
+    first = (data & 0xC0) != 0x80
+    first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    inside, single = kinds > 0, kinds == 2
+    starts_at = inside.copy()
+    starts_at[1:] &= ~inside[:-1] | (first[1:] & (single[1:] | single[:-1]))
+    edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+    starts_at[edges] = inside[edges]
+    ends_at = inside.copy()
+    ends_at[:-1] &= ~inside[1:] | starts_at[1:]
+    starts, ends = np.flatnonzero(starts_at), np.flatnonzero(ends_at) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def shingle_sets(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each row and their offsets.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from failwatch.llm import decontam, language, line_dedup, near_dedup, packing, simple8b, tokens, toxicity
 from failwatch.llm.tokens import UnitTokenizer, tokenizer
-from failwatch.llm.words import ALPHANUMERIC, mix, span_hashes, text_chunks, word_hashes
+from failwatch.llm.words import ALPHANUMERIC, UNSPACED, letter_spans, mix, span_hashes, text_chunks, word_hashes
 from failwatch.storage import new_path
 from pyspark.sql import functions as F
 
@@ -164,6 +165,84 @@ def test_decontamination_finds_planted_edits(spark, sf_dir):
             assert word_edits(words, text) <= r.edits <= decontam.EDIT_RATE * len(words)
 
 
+def plain_words(text):
+    """Words character by character: runs of letters, digits and marks; one each in unspaced scripts."""
+    words, run = [], ""
+    for char in (text or "").lower():
+        kind = 0 if unicodedata.category(char)[0] not in "LMN" else 2 if any(a <= ord(char) <= b for a, b in UNSPACED) else 1
+        if kind != 1 and run:
+            words.append(run)
+            run = ""
+        if kind == 1:
+            run += char
+        elif kind == 2:
+            words.append(char)
+    return [*words, run] if run else words
+
+
+SCRIPTS = [
+    "", None, "Añb—c d’e «f» ", "什么是机器学习，为什么重要？", "日本語テキスト ok漢字x 12年", "ภาษาไทย abc", "e\u0301a 한국어 문장", "😀é", "é", "漢",
+    "𠮷野家 x", "a\u00a0b\u3000c", "…", "x", "ñ",
+]
+
+
+def test_words_of_all_scripts():
+    for texts in (SCRIPTS, SCRIPTS[::-1], [x for x in SCRIPTS if x], ["ascii only, 1 2", "", "next"]):
+        for _, _, data, offsets in text_chunks(pa.array(texts), 1 << 30):
+            starts, ends, rows = letter_spans(data, offsets)
+            got = [[data[a:b].tobytes().decode().lower() for a, b in zip(starts[i:j], ends[i:j])] for i, j in zip(rows[:-1], rows[1:])]
+            assert got == [plain_words(t) for t in texts]
+    broken = np.frombuffer(b"\x80ab\xff\xe4 \xf4\xbf", np.uint8)
+    starts, ends, rows = letter_spans(broken, np.array([0, 1, 1, 5, len(broken)]))
+    assert (starts < ends).all() and (ends[:-1] <= starts[1:]).all() and rows[-1] == len(starts)
+
+
+def leaking(docs, items):
+    """(doc, item) of all pairs within the bound, each document against each item by the plain table."""
+    found = set()
+    for doc, text in docs:
+        words = plain_words(text)
+        for item, own in ((i, plain_words(t)) for i, t in items):
+            if len(own) < 2 or len("".join(own).encode()) < decontam.MIN_BYTES:
+                continue
+            edits = int(decontam.EDIT_RATE * len(own)) if len(own) >= decontam.MIN_WORDS else 0
+            if word_edits(own, words) <= edits:
+                found.add((doc, item))
+    return found
+
+
+def test_decontamination_is_all_pairs_within_the_bound(spark, sf_dir):
+    """All documents with planted items against all items: nothing besides, next to nothing missed."""
+    rng = random.Random(11)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(12).collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    for item, text in items:
+        words = plain_words(text)
+        for share in (0, 0.1, 0.2, 0.3):  # the last is past the bound
+            docs.append((1000 + len(docs), " ".join(["before", *edited(words, int(share * len(words)), rng), "after"])))
+    want = leaking(docs, items)
+    found = decontam.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got <= want and len(want) > 30 and len(want - got) <= 0.05 * len(want)
+
+
+def test_decontamination_of_short_items_and_unspaced_scripts(spark):
+    items = [
+        (1, "What is the capital of France?"), (2, "Name three primary colours"), (3, "yes or no"), (4, "internationalisation"),
+        (5, "什么是机器学习，为什么它在今天这么重要？"), (6, "请说出三种颜色"), (7, "为什么"), (8, "ภาษาไทยเป็นภาษาที่ใช้ในประเทศไทย"), (9, "what is the CAPITAL of france"),
+    ]
+    docs = [
+        (1, "Quiz: what is the capital of France -- Paris"), (2, "what is the old capital of France"), (3, "name three primary colours" + ", name three primary colours" * 50),
+        (4, "yes or no internationalisation 为什么"), (5, "前言。什么是机器学习，为什么他在今天这么重要？后记"), (6, "请说出三种颜色！"), (7, "请说出四种颜色"),
+        (8, "x ภาษาไทยเป็นภาษาที่ใช้ในประเทศไทย y"), (9, "what is the"), (10, "capital of France"), (11, "xwhat is the capital of France"), (12, None), (None, "请说出三种颜色"),
+        (13, "机器学习今天重要"),
+    ]
+    found = decontam.contamination(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = [(r.doc_id, r.item_id) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == leaking(docs, items)
+    assert set(got) == {(1, 1), (1, 9), (3, 2), (5, 5), (6, 6), (8, 8), (None, 6)}
+
+
 def test_edit_distances_against_table():
     rng = random.Random(1)
     for _ in range(60):

@@ -13,15 +13,21 @@ the first are in its own part; tasks build the parts and write them to the share
 to the tasks are only the first order (letters times languages) and the sizes of the parts. A
 worker scores the distinct n-grams of a chunk part by part and holds ``HELD_CELLS`` cells of parts.
 
-Calibrated rejection: on up to ``CALIBRATION_ROWS`` training documents of every language the mean
-and deviation of its cross-entropy and the sharpness of the score are set; a language of fewer
-than ``OWN_DEVIATION`` rows gets at least the usual deviation of the others. These rows are
-in the counts, too, so the mean of a language of few rows is on the low side; ``rejected`` marks texts
-whose cross-entropy is further than ``REJECT_DEVIATIONS`` above the mean of their language.
+Calibrated rejection: of every language a tenth of the training documents, ``CALIBRATION_ROWS``
+at most, is scored by a second model whose counts are those of the first less these documents'
+own. Their cross-entropies give the mean and deviation of their language and the sharpness of the
+score. A language of fewer than ``OWN_DEVIATION`` such rows gets at least the usual deviation of
+the others. One of fewer than ``CALIBRATION_SHARE`` documents can spare none: the first model scores
+them, and its mean is at least the usual one; unseen texts in it may be rejected too readily.
+``rejected`` marks texts whose cross-entropy is further than ``REJECT_DEVIATIONS`` above the mean
+of their language.
 
 Edge cases: a null text or one without a letter gets ``und`` and score 0; a null lang is not
 learned from; code points over 0xFFFF are one letter class; a null doc_id is scored and, as its
 crc32 is null, neither held out nor learned from. Without training text everything is ``und``.
+A repeated row counts as often as it occurs and is predicted each time; of a doc_id that repeats one
+text, the least, calibrates. Texts may have any length: long ones are chunks of their own. Ties go
+to the language that sorts first. Columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -47,6 +54,10 @@ PARTS = 256
 HELD_CELLS = 64_000_000
 #: Rows of each language that calibrate score and rejection, the documents of least hash.
 CALIBRATION_ROWS = 1_000
+#: One in so many training rows of a language calibrates, up to that bound.
+CALIBRATION_SHARE = 10
+#: Parts in which the rows of a language are ranked before the least of all are taken.
+RANK_PARTS = 64
 #: Calibration rows from which a language's deviation is its own alone.
 OWN_DEVIATION = 30
 REJECT_DEVIATIONS = 6.0
@@ -344,22 +355,23 @@ class Calibration:
     scale: float
 
 
-def _calibrate(model: Parts, entropies: np.ndarray, langs: np.ndarray) -> Calibration:
-    means, deviations, margins, enough = [], [], [], []
-    for i, lang in enumerate(model.langs):
-        mine = entropies[langs == lang]
-        own = mine[:, i] if len(mine) else np.array([10.0])
-        enough.append(len(mine) >= OWN_DEVIATION)
-        # The middle of the distribution: some labels of a corpus are wrong.
-        means.append(np.median(own))
-        deviations.append(max(np.median(np.abs(own - np.median(own))) * 1.4826, 0.02))
-        if len(mine) and len(model.langs) > 1:
-            margins += (np.delete(mine, i, axis=1).min(axis=1) - mine[:, i]).tolist()
-    scale = max(float(np.median(np.abs(margins))) / 4, 1e-3) if margins else 1.0
-    deviation, enough = np.array(deviations), np.array(enough)
-    if enough.any():
-        deviation = np.where(enough, deviation, np.maximum(deviation, np.median(deviation[enough])))
-    return Calibration(np.array(means), deviation, scale)
+def _calibrate(languages: list[str], held: pd.DataFrame) -> Calibration:
+    """From lang, h (cross-entropy in it), margin (how much more the next best has) and small."""
+    means, deviations = np.zeros(len(languages)), np.full(len(languages), 0.02)
+    spared = {lang: own["h"].to_numpy() for lang, own in held[~held["small"]].groupby("lang")}
+    for i, lang in enumerate(languages):
+        if lang in spared:
+            # The middle of the distribution: some labels of a corpus are wrong.
+            means[i] = np.median(spared[lang])
+            deviations[i] = max(np.median(np.abs(spared[lang] - means[i])) * 1.4826, 0.02)
+    known = np.array([lang in spared for lang in languages])
+    enough = np.array([len(spared.get(lang, ())) >= OWN_DEVIATION for lang in languages])
+    usual = [np.median(x[enough if enough.any() else known]) if known.any() else low for x, low in ((means, 0.0), (deviations, 0.02))]
+    deviations[~enough] = np.maximum(deviations[~enough], usual[1])
+    for lang, own in held[held["small"]].groupby("lang"):
+        means[languages.index(lang)] = max(own["h"].median(), usual[0])
+    margins = held["margin"][np.isfinite(held["margin"])]
+    return Calibration(means, deviations, max(float(margins.abs().median()) / 4, 1e-3) if len(margins) else 1.0)
 
 
 def _part_levels(table: pa.Table) -> dict[str, Levels]:
@@ -374,9 +386,13 @@ def _part_levels(table: pa.Table) -> dict[str, Levels]:
 
 def learn(training: DataFrame) -> Parts | None:
     """The model from (lang, text), all counts in it; None without training text."""
-    spark = training.sparkSession
-    part = F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(PARTS - 1)).cast("int")
-    counts = materialize(count_ngrams(training).withColumn("part", part), "ngrams")
+    return build(materialize(count_ngrams(training), "ngrams"))
+
+
+def build(counts: DataFrame) -> Parts | None:
+    """The model of the counts (lang, gram, n), which are read twice; None without any."""
+    spark = counts.sparkSession
+    counts = counts.withColumn("part", F.shiftrightunsigned("gram", 16).bitwiseAND(F.lit(PARTS - 1)).cast("int"))
 
     def totals(table: pa.Table) -> pa.Table:
         found = [(lang, *key, n) for lang, own in _part_levels(table).items() for key, n in _totals(own).items()]
@@ -394,7 +410,7 @@ def learn(training: DataFrame) -> Parts | None:
     shared, folder = _shared(by_lang), new_path(spark, "language-model")
     sent = spark.sparkContext.broadcast(shared)
 
-    def build(table: pa.Table) -> pa.Table:
+    def write(table: pa.Table) -> pa.Table:
         model, number = _tables(_part_levels(table), sent.value, least=2), table["part"][0].as_py()
         file = io.BytesIO()
         named = (("g", model.grams), ("l", model.logs), ("c", model.contexts), ("b", model.backs))
@@ -405,29 +421,60 @@ def learn(training: DataFrame) -> Parts | None:
         cells = sum(x.size for x in (*model.logs, *model.backs))
         return pa.table([pa.array([number], pa.int32()), pa.array([path]), pa.array([cells])], ["part", "path", "cells"])
 
-    built = parts.applyInArrow(build, "part int, path string, cells bigint").collect()
+    built = parts.applyInArrow(write, "part int, path string, cells bigint").collect()
     return Parts(_tables({}, shared), {r.part: r.path for r in built}, sum(r.cells for r in built))
 
 
-def train(training: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> tuple[Parts, Calibration] | None:
-    """Model and calibration from (doc_id, lang, text); None without training text."""
-    model = learn(training)
-    if model is None:
-        return None
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = training.select("doc_id", "lang").withColumn("place", F.row_number().over(least))
-    sample = ranked.where(F.col("place") <= calibration_rows).select("doc_id", "lang").distinct()
-    texts = training.join(sample, ["doc_id", "lang"], "left_semi").select("lang", "text")
-    sent = training.sparkSession.sparkContext.broadcast(model)
+def calibration_texts(training: DataFrame, rows: int) -> DataFrame:
+    """doc_id, lang and text of the documents of least hash, a share of each language, ``rows`` at most.
+
+    ``small`` marks those of languages that have fewer than ``CALIBRATION_SHARE`` documents, all of them."""
+    least = [F.xxhash64("doc_id"), "doc_id"]
+    keys = training.select("doc_id", "lang").withColumn("rank_part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(RANK_PARTS)))
+    # Ranked in parts first, so that a language with most rows is not one task's.
+    near = keys.withColumn("place", F.row_number().over(Window.partitionBy("lang", "rank_part").orderBy(*least))).where(F.col("place") <= rows)
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*least))).where(F.col("place") <= rows)
+    sizes = training.groupBy("lang").agg(F.count("*").alias("rows"))
+    small = F.col("rows") < CALIBRATION_SHARE
+    sample = ranked.join(sizes, "lang").where(small | (F.col("place") * CALIBRATION_SHARE <= F.col("rows")))
+    sample = sample.select("doc_id", "lang", small.alias("small")).distinct()
+    return training.select("doc_id", "lang", "text").join(sample, ["doc_id", "lang"]).groupBy("doc_id", "lang", "small").agg(F.min("text").alias("text"))
+
+
+def _own_entropies(texts: DataFrame, model: Parts | None) -> pd.DataFrame:
+    """lang, h, margin and small of the texts that have a letter and whose language is in the model."""
+    sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sent.value is None:
+            return
+        column = {lang: i for i, lang in enumerate(sent.value.langs)}
         for batch in batches:
-            for first, end, entropy, _ in _best(sent.value, batch):
-                yield pa.record_batch([batch["lang"].slice(first, end - first), pa.array(entropy.tolist(), pa.list_(pa.float64()))], ["lang", "h"])
+            for first, end, entropy, n in _best(sent.value, batch):
+                rows = batch.slice(first, end - first)
+                mine = np.array([column.get(lang, -1) for lang in rows["lang"].to_pylist()])
+                known = np.flatnonzero((mine >= 0) & (n > 0))
+                places, others = np.arange(len(known)), entropy[known]
+                h = others[places, mine[known]]
+                others[places, mine[known]] = np.inf
+                kept = rows.take(pa.array(known))
+                yield pa.record_batch([kept["lang"], pa.array(h), pa.array(others.min(axis=1) - h), kept["small"]], ["lang", "h", "margin", "small"])
+
+    return texts.select("lang", "text", "small").mapInArrow(run, "lang string, h double, margin double, small boolean").toPandas()
 
-    held = texts.mapInArrow(run, "lang string, h array<double>").toPandas()
-    entropies = np.array(held["h"].tolist(), np.float64).reshape(len(held), len(model.langs))
-    return model, _calibrate(model, entropies, held["lang"].to_numpy())
+
+def train(training: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> tuple[Parts, Calibration] | None:
+    """Model and calibration from (doc_id, lang, text); None without training text."""
+    counts = materialize(count_ngrams(training), "ngrams")
+    model = build(counts)
+    if model is None:
+        return None
+    texts = materialize(calibration_texts(training, calibration_rows), "calibration")
+    own = count_ngrams(texts.where("not small")).withColumn("n", -F.col("n"))
+    rest = counts.unionByName(own).groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 0")
+    unseen = build(materialize(rest, "ngrams-unseen"))
+    held = pd.concat([_own_entropies(texts.where("not small"), unseen), _own_entropies(texts.where("small"), model)])
+    return model, _calibrate(model.langs, held)
 
 
 def predict(documents: DataFrame, trained: tuple[Parts, Calibration] | None) -> DataFrame:

@@ -88,6 +88,104 @@ def test_language_keeps_every_count(spark, docs, monkeypatch):
         assert np.abs(parts.log_probs(grams) - language.log_probs(whole, grams)).max() < 1e-5
 
 
+def plain_kneser_ney(texts):
+    """Log probability of a letter after up to three of its word, from dicts; and all letters."""
+    counts = [defaultdict(int) for _ in range(5)]
+    for text in texts:
+        for context, x in plain_events(text):
+            counts[4][context, x] += 1
+    for k in (3, 2, 1):
+        for context, x in counts[k + 1]:
+            counts[k][context[1:], x] += 1
+    discounts = {}
+    for k in range(1, 5):
+        once, twice = (sum(n == m for n in counts[k].values()) for m in (1, 2))
+        discounts[k] = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+    own = [defaultdict(list) for _ in range(5)]
+    for k in range(1, 5):
+        for (context, _), n in counts[k].items():
+            own[k][context].append(n)
+
+    def p(context, x, k, floor):
+        if k == 0:
+            return floor
+        context = context[len(context) - (k - 1) :]
+        below, seen = p(context, x, k - 1, floor), own[k].get(context)
+        if not seen:
+            return below
+        n = counts[k].get((context, x), 0)
+        return (max(n - discounts[k], 0) if n else 0) / sum(seen) + discounts[k] * len(seen) / sum(seen) * below
+
+    return p, {x for _, x in counts[1]}
+
+
+def plain_events(text):
+    word = ""
+    for char in (text or "") + " ":
+        char = char.lower() if char.isalpha() else " "
+        if char != " " or word:
+            yield ("   " + word)[-3:], char
+        word = word + char if char != " " else ""
+
+
+def test_language_equals_a_plain_model(spark):
+    """Predictions and cross-entropies of the query against models of dicts, document by document."""
+    rng, rows = random.Random(4), []
+    alphabets = {"a": "abcdefgh", "b": "efghijkl", "c": "aeéiouñst"}
+    for i in range(400):
+        lang = rng.choice("abc")
+        words = ["".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 12))]
+        rows.append((i, ", ".join(words).title() if i % 3 else " ".join(words), None if i % 17 == 0 else lang))
+    found = language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    learned = defaultdict(list)
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang].append(text)
+    models = {lang: plain_kneser_ney(own) for lang, own in sorted(learned.items())}
+    floor = 1 / (len(set().union(*(letters for _, letters in models.values()))) + 1)
+    texts = {i: text for i, text, _ in rows}
+    assert len(found) == len(rows)
+    for r in found:
+        events = list(plain_events(texts[r.doc_id]))
+        if not events:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        h = {lang: -sum(math.log(p(c, x, 4, floor)) for c, x in events) / len(events) for lang, (p, _) in models.items()}
+        assert r.cross_entropy == pytest.approx(min(h.values()), abs=1e-5)
+        assert h[r.lang_pred] == pytest.approx(min(h.values()), abs=1e-5)
+
+
+def test_language_rejects_few_texts_of_its_own(spark):
+    """Rows that calibrate are not in the counts that score them: unseen texts of small languages stay."""
+    rng = random.Random(6)
+    def words(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(25))
+    alphabets = {"a": "abcdefghij", "b": "ijklmnopqr", "c": "rstuvwxyza"}
+    rows = [(i, x, words(alphabets[x])) for i, x in enumerate("a" * 300 + "b" * 120 + "c" * 9)]
+    trained = language.train(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    assert np.isfinite(trained[1].mean).all() and (trained[1].deviation > 0).all()
+    asked = [(i, words(alphabets["abc"[i % 3]])) for i in range(150)] + [(900, "жщ " * 40)]
+    found = language.predict(spark.createDataFrame(asked, "doc_id bigint, text string"), trained).collect()
+    assert [r.rejected for r in found if r.doc_id == 900] == [True]
+    for k in (0, 1):
+        assert sum(r.rejected for r in found if r.doc_id % 3 == k and r.doc_id < 900) <= 1
+
+
+def test_calibration_texts_are_the_least_of_each_language(spark):
+    rows = [(i, "ab"[i % 10 == 0], f"t{i}") for i in range(500)] + [(7, "b", "again"), (7, "b", "t7")]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    ranked = defaultdict(list)
+    for r in df.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).collect():
+        ranked[r.lang].append((r.h, r.doc_id))
+    for bound in (1_000, 3):
+        want = {(lang, i) for lang, own in ranked.items() for _, i in sorted(own)[: min(bound, len(own) // language.CALIBRATION_SHARE)]}
+        got = [(r.lang, r.doc_id) for r in language.calibration_texts(df, bound).where("not small").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    few = spark.createDataFrame([(1, "z", "y"), (1, "z", "x"), (2, "z", "z")], df.schema)
+    got = [(r.doc_id, r.text, r.small) for r in language.calibration_texts(df.union(few), 1_000).where("lang = 'z'").collect()]
+    assert sorted(got) == [(1, "x", True), (2, "z", True)]
+
+
 def test_language_rare_among_many(spark):
     """A hundred languages with counts of eight, and one with counts of one, in over 8 million cells."""
     rng, rows, asked = random.Random(8), [], []

@@ -269,6 +269,19 @@ def test_exact_median(spark, n):
     assert evaluate.exact_median(df, "x", "m").first()["m"] == statistics.median(values)
 
 
+@pytest.mark.parametrize("kind", ["spread", "skewed", "ties", "halves", "sorted"])
+def test_exact_median_of_many_values(spark, kind):
+    """More values than the sketch keeps, in partitions of unlike values."""
+    n = 300_001 if kind != "halves" else 300_000
+    value = {
+        "spread": F.xxhash64("id"), "skewed": F.floor(F.pow(F.lit(1.0001), F.col("id") % 200_000)), "ties": F.floor(F.col("id") / 120_000) * 7,
+        "halves": F.when(F.col("id") < 150_000, -5).otherwise(9), "sorted": F.col("id") * 3 - 1000,
+    }[kind]
+    df = spark.range(0, n, 1, 12).select(value.cast("long").alias("x"))
+    want = statistics.median(df.toPandas()["x"].tolist())
+    assert evaluate.exact_median(df, "x", "m").first()["m"] == pytest.approx(want, rel=1e-12)
+
+
 def test_width_sweep_equals_scan(spark):
     rows = random_rows(200, seed=2)
     extra = spark.createDataFrame([(r["seq"], r["hybrid_label"]) for r in rows], "seq bigint, hybrid_label string")

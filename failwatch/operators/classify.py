@@ -39,11 +39,32 @@ def _term_counts(df: DataFrame, keys: list[str], body: str) -> DataFrame:
     )
 
 
+def _term_marks(templates: DataFrame) -> DataFrame:
+    """(term, total, df) to be added up: a row per occurrence and one per distinct template with the term.
+
+    A template is one row, so nothing is grouped by it and its text stays where it is."""
+    listed = templates.withColumn("_words", text.words(F.col("log_template"))).select(
+        text.with_bigrams(F.col("_words")).alias("_terms")
+    )
+    counted = lambda total, df: lambda t: F.struct(
+        t.alias("term"), F.lit(total).cast("bigint").alias("total"), F.lit(df).cast("bigint").alias("df")
+    )
+    told = F.concat(
+        F.transform("_terms", counted(1, 0)), F.transform(F.array_distinct("_terms"), counted(0, 1))
+    )
+    return listed.select(F.inline(told))
+
+
+def _added_up(marks: DataFrame) -> DataFrame:
+    return marks.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+
 @dataclass(frozen=True)
 class TermModel:
     """TF-IDF fitted on the distinct templates and the sentences of each corpus size.
 
-    ``template_terms`` (log_template, term, tf); ``vocabulary`` (size, term, idf, refs) with
+    ``template_terms`` (log_template, term, tf), worked out by those who read it;
+    ``vocabulary`` (size, term, idf, refs) with
     the weight of the term in every sentence. The vocabulary has at most
     ``vocabulary_size`` terms per corpus size, whatever the data, so it can be broadcast.
     """
@@ -59,11 +80,9 @@ def fit_terms(
     """Count the terms of the templates once; a size adds only its few sentences."""
     sizes = sizes or [len(FAILURE_SENTENCES)]
     spark = templates.sparkSession
-    counts = _term_counts(templates, ["log_template"], "log_template")
-    template_terms = materialize(counts, "template-terms")
-    counted = template_terms.select("term", F.col("tf").alias("total"), F.lit(1).cast("bigint").alias("df"))
+    counted = _term_marks(templates)
     if len(sizes) > 1:
-        counted = materialize(counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")))
+        counted = materialize(_added_up(counted), "term-totals")
     sentences = _sentence_terms(spark, sizes)
     n_templates = templates.count()
     vocabulary = reduce(
@@ -73,6 +92,7 @@ def fit_terms(
             for s in sizes
         ],
     )
+    template_terms = _term_counts(templates, ["log_template"], "log_template")
     return TermModel(sizes, template_terms, materialize(vocabulary, "vocabulary"))
 
 
@@ -104,11 +124,7 @@ def _vocabulary(
     ``orderBy().limit()`` keeps the leaders of every partition before they are merged.
     """
     columns = ["term", "total", "df"]
-    totals = (
-        counted.unionByName(sentences.select(*columns))
-        .groupBy("term")
-        .agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
-    )
+    totals = _added_up(counted.unionByName(sentences.select(*columns)))
     leaders = totals.orderBy(F.desc("total"), "term").limit(settings.vocabulary_size)
     # A corpus of ``size`` sentences adds that many documents.
     idf = F.log((1 + n_templates + size) / (1 + F.col("df"))) + 1

@@ -57,6 +57,8 @@ def train_forest(
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=1024,
         subsamplingRate=min(1.0, tree_rows / max(1, known.count())), featureSubsetStrategy="sqrt",
+        # Otherwise every pass sends all trees to all tasks and walks each row down each of them.
+        cacheNodeIds=True,
     )
     return forest.fit(known)
 

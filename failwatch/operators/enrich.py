@@ -56,30 +56,43 @@ def label_incidents(df: DataFrame, incidents: DataFrame) -> DataFrame:
     ``incidents`` has project_id, failure_ts and failure_type. A row looks at the next
     incident of its project; after the last one it counts as failed. Only incidents at
     most seven minutes ahead matter, so incidents are listed under the time slot they
-    fall in and the one before, and rows meet them by an equi-join on (project, slot).
+    fall in and the one before. Rows and incidents of a (project, slot) are put in order of
+    time once, latest first, and each row takes the smallest incident so far, so the work does
+    not depend on how many incidents a slot holds.
     """
     times = incidents.select(
         "project_id", micros(F.col("failure_ts")).alias("at"), F.col("failure_type").alias("kind")
     )
     slots = F.array(slot(F.col("at"), EARLY_PHASE_US) - 1, slot(F.col("at"), EARLY_PHASE_US))
-    ahead = (
-        times.withColumn("_slot", F.explode(slots))
-        .groupBy("project_id", "_slot")
-        .agg(F.array_sort(F.collect_set(F.struct("at", "kind"))).alias("_ahead"))
+    rows = df.drop("failure_type").select("project_id", "ts_us", F.struct("*").alias("_row"))
+    # Rows without a time meet no incident and stay apart, spread over as many groups as partitions.
+    untimed = F.lit(-(1 << 60)) - F.spark_partition_id()
+    marks = (
+        times.where(F.col("project_id").isNotNull())
+        .groupBy("project_id", "at").agg(F.min(F.struct("at", "kind")).alias("_ahead"))
+        .select("project_id", F.col("at").alias("ts_us"), F.explode(slots).alias("_slot"), "_ahead")
+        .where(F.col("_slot").isNotNull())
+    )
+    both = rows.withColumn("_slot", F.coalesce(slot(F.col("ts_us"), EARLY_PHASE_US), untimed)).unionByName(
+        marks, allowMissingColumns=True
+    )
+    later = (
+        Window.partitionBy("project_id", "_slot")
+        .orderBy(F.desc("ts_us"))
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     latest = times.groupBy("project_id").agg(F.max(F.struct("at", "kind")).alias("_latest"))
     joined = (
-        df.drop("failure_type")
-        .withColumn("_slot", slot(F.col("ts_us"), EARLY_PHASE_US))
-        .join(ahead, ["project_id", "_slot"], "left")
+        both.withColumn("_next", F.min("_ahead").over(later))
+        .where(F.col("_row").isNotNull())
+        .select("_row.*", "_next")
         .join(latest, "project_id", "left")
     )
-    upcoming = F.get(F.filter("_ahead", lambda i: i["at"] >= F.col("ts_us")), F.lit(0))
     past_all = F.when(F.col("_latest.at") < F.col("ts_us"), F.col("_latest"))
-    nearest = joined.withColumn("_nearest", F.coalesce(upcoming, past_all))
+    nearest = joined.withColumn("_nearest", F.coalesce("_next", past_all))
     return nearest.withColumns(
         _phases(F.col("_nearest.at") - F.col("ts_us"), F.col("_nearest.kind"))
-    ).drop("_slot", "_ahead", "_latest", "_nearest")
+    ).drop("_latest", "_next", "_nearest")
 
 
 def audit_table(windows: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -109,15 +110,28 @@ def split_tokens(message: str) -> list[str]:
     return [t for t in _BLANKS.split(message) if t]
 
 
+#: Templates of a leaf that are compared one by one, and messages before more are laid out as a table.
+PLAIN_TEMPLATES = 8
+PLAIN_MESSAGES = 2
+
+
 @dataclass
 class Leaf:
     """Templates of one leaf at one moment."""
 
     templates: list[list[str]] = field(default_factory=list)
     similarity: float = 0.4
+    _asked: int = 0
+    _table: "TokenTable | None" = None
 
     def match(self, tokens: list[str]) -> int | None:
         """Most similar template; more wildcards win a tie, then the older one."""
+        self._asked += 1
+        if tokens and self._asked > PLAIN_MESSAGES and len(self.templates) > PLAIN_TEMPLATES:
+            if self._table is None:
+                self._table = TokenTable(len(tokens))
+            if self._table.take(self.templates, tokens):
+                return self._table.match(tokens, self.similarity)
         best, best_rank = None, (self.similarity, -1)
         for i, template in enumerate(self.templates):
             wild = template.count(WILDCARD)
@@ -139,9 +153,49 @@ class Leaf:
         merged = self.merged(i, tokens)
         changed = merged != self.templates[i]
         self.templates[i] = merged
+        if changed and self._table is not None:
+            self._table.update(i, merged)
         return i, changed
 
 
+class TokenTable:
+    """The templates of a leaf as numbers, a row each, so that a message meets all of them at once."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.numbers: dict[str, int] = {WILDCARD: 0}
+        self.rows = np.zeros((2 * PLAIN_TEMPLATES, width), np.int32)
+        self.wild = np.zeros(2 * PLAIN_TEMPLATES, np.int32)
+        self.n = 0
+        self.even = True
+
+    def take(self, templates: list[list[str]], tokens: list[str]) -> bool:
+        """Lay out the templates that are new; whether all have as many tokens as the message."""
+        if len(templates) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((len(templates), self.width), np.int32)])
+            self.wild = np.concatenate([self.wild, np.zeros(len(templates), np.int32)])
+        while self.even and self.n < len(templates):
+            self.even = len(templates[self.n]) == self.width
+            if self.even:
+                self.n += 1
+                self.update(self.n - 1, templates[self.n - 1])
+        return self.even and len(tokens) == self.width
+
+    def update(self, i: int, template: list[str]) -> None:
+        if i < self.n:
+            self.rows[i] = [self.numbers.setdefault(t, len(self.numbers)) for t in template]
+            self.wild[i] = template.count(WILDCARD)
+
+    def match(self, tokens: list[str], similarity: float) -> int | None:
+        # A wildcard of the message is equal to none of the template.
+        wanted = np.array([self.numbers.get(t) or -1 for t in tokens], np.int32)
+        same = np.count_nonzero(self.rows[: self.n] == wanted, axis=1)
+        most = same.max()
+        if most / self.width < similarity:
+            return None
+        return int(np.argmax(np.where(same == most, self.wild[: self.n], -1)))
+
+
 class Timeline:
     """Versions of all templates; finds the templates valid at a position."""
 

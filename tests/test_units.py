@@ -262,6 +262,15 @@ def test_incidents_of_a_slot_are_not_gathered(spark):
         assert got[i] == (label, near[1] if label != "NORMAL" else ""), (i, project, t)
 
 
+def test_incident_lookup_leaves_out_unread_columns(spark):
+    table = spark.createDataFrame([("p", "leak")], "project_id string, failure_type string").withColumn("failure_ts", F.timestamp_micros(F.lit(T0)))
+    rows = rows_to_df(spark, [{"ts_us": T0}]).withColumns({"project_id": F.lit("p"), "unread": F.raise_error(F.lit("read"))})
+    found = enrich.label_incidents(rows, table)
+    assert found.columns == ["project_id", *[c for c in rows.columns if c not in ("project_id", "failure_type")],
+                             "label", "incident_phase_1", "incident_phase_2", "failure_type"]
+    assert found.select("seq", "label").first()["label"] == "PRE_FAILURE"
+
+
 def labelled(spark, pairs):
     rows = [{"ts_us": T0 + i} for i in range(len(pairs))]
     df = rows_to_df(spark, rows).drop("ground_truth_label")

@@ -46,6 +46,8 @@ SAMPLE_COUNT = 2
 FILTER_BITS = 24
 #: Bytes of text that are summed before phrases leave a task.
 STRETCH_BYTES = 2 << 20
+#: Hashes that are held and added up over stretches before they leave a task.
+HELD = 2_000_000
 #: Phrases that leave a task in one batch.
 BATCH = 100_000
 #: Parts of a language that are ranked before the whole.
@@ -143,13 +145,19 @@ def _sums(documents: DataFrame, least: int, new: Proposals | None = None, old: P
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, old = told.value
+        held, rows = [], 0
         for stretch in _stretches(batches):
             for size, code, joined, parts in stretch.phrases():
                 wanted = new.border(size, parts, joined) if new else joined
                 if old:
                     wanted &= ~old.border(size, parts, joined)
-                keys, n = np.unique(code[wanted], return_counts=True)
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+                held.append(np.unique(code[wanted], return_counts=True))
+                rows += len(held[-1][0])
+            if rows > HELD:
+                yield _added_up(held)
+                held, rows = [], 0
+        if held:
+            yield _added_up(held)
 
     sums = documents.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
     sums = materialize(sums.where(F.col("n") >= least), "phrase-sums")
@@ -157,6 +165,16 @@ def _sums(documents: DataFrame, least: int, new: Proposals | None = None, old: P
     return sums
 
 
+def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One row per hash of the sums of several stretches, each sorted by hash."""
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], np.concatenate([n for _, n in parts])[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n, first) if len(first) else n
+    return pa.record_batch([pa.array(keys[first].view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
+
+
 def _with_bits(proposed: Proposals | None, sums: DataFrame) -> Proposals:
     """Proposals joined by the phrases of ``sums``: at most 2^(FILTER_BITS - 6) rows per size reach the driver."""
     slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS)

@@ -30,6 +30,20 @@ def test_native_plan(docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_hashes_are_added_up_over_stretches(spark, monkeypatch):
+    """Each stretch of text sent its own sums, and most phrases come up in many stretches."""
+    monkeypatch.setattr(phrases, "STRETCH_BYTES", 40)
+    texts = spark.createDataFrame([("en", "a b c a b")] * 50 + [("de", "a b")] * 7, "lang string, text string").coalesce(1)
+    for held in (0, 10, 10**6):
+        monkeypatch.setattr(phrases, "HELD", held)
+        sums = sorted(r["n"] for r in phrases._sums(texts, 1).collect())
+        # In "en" a, b, c, a b, b c, c a, a b c, b c a, c a b; in "de" a, b, a b.
+        assert sums == sorted([100, 100, 50, 100, 50, 50, 50, 50, 50, 7, 7, 7])
+    parts = [phrases.np.unique(phrases.np.array(x, "u8"), return_counts=True) for x in ([3, 1, 3], [], [3, 2], [1])]
+    assert phrases._added_up(parts).to_pydict() == {"hash": [1, 2, 3], "n": [2, 1, 3]}
+    assert phrases._added_up(parts[1:2]).num_rows == 0
+
+
 # spelling
 
 def plain_variants(n: dict[str, int]) -> dict[str, tuple]:

@@ -47,7 +47,7 @@ def strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (strip(text) == "")
+    return text.isNull() | ~text.rlike(r"\S")
 
 
 def clean_message(text: Column) -> Column:
@@ -58,7 +58,7 @@ def clean_message(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """White-space tokens; empty text has none."""
     parts = F.split(strip(text), r"\s+")
-    return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(parts)
+    return F.when(~text.rlike(r"\S"), F.array().cast("array<string>")).otherwise(parts)
 
 
 def mask_numbers(token_array: Column) -> Column:

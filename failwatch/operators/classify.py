@@ -24,7 +24,11 @@ def corpora(spark: SparkSession, sizes: list[int]) -> DataFrame:
 
 def keyword_layer(template: Column) -> tuple[Column, Column, Column]:
     """label, layer and failure type of the keyword layer, null where it is silent."""
-    kind = text.keyword_type(template)
+    return layers_of(text.keyword_type(template))
+
+
+def layers_of(kind: Column) -> tuple[Column, Column, Column]:
+    """The same from a failure type that is already known."""
     hit = kind.isNotNull()
     return F.when(hit, "FAILURE"), F.when(hit, "keyword"), kind
 
@@ -214,7 +218,9 @@ def metric_score(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def fuse(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Combine the layers; needs log_template, similarity and metric_score."""
-    label, layer, kind = keyword_layer(F.col("log_template"))
+    # A column of its own: the phrases are searched once a row, not once for every use.
+    df = df.withColumn("_kind", text.keyword_type(F.col("log_template")))
+    label, layer, kind = layers_of(F.col("_kind"))
     semantic = semantic_hit(F.col("similarity"), settings.semantic_threshold)
     before_label = F.coalesce(label, F.when(semantic, "FAILURE").otherwise("NORMAL"))
     before_layer = F.coalesce(layer, F.when(semantic, "tfidf_semantic").otherwise("normal"))
@@ -231,7 +237,7 @@ def fuse(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
                 F.coalesce(kind, F.lit("none"))
             ),
         }
-    )
+    ).drop("_kind")
 
 
 def fit_similarity(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

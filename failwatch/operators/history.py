@@ -14,6 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from failwatch.functions.timeaxis import slot
+from failwatch.storage import materialize
 
 KEY = "service_name"
 SLICE = "_slice"
@@ -62,28 +63,31 @@ def position(ts: str = "ts_us") -> Column:
 
 
 def forward_fill(df: DataFrame, columns: list[str], width_us: int) -> DataFrame:
-    """Replace nulls by the last earlier non-null value of the service."""
-    rows = with_slice(df, width_us)
-    summary = [
-        F.max_by(c, F.when(F.col(c).isNotNull(), position())).alias(f"_last_{c}") for c in columns
-    ]
-    filled = join_earlier(
-        rows,
-        summary,
-        lambda w: [
-            F.last(f"_last_{c}", ignorenulls=True).over(w).alias(f"_carry_{c}") for c in columns
-        ],
-    )
+    """Replace nulls by the last earlier non-null value of the service.
+
+    Runs jobs: rows are filled inside their slice first and written, so that the last row of a
+    slice is its summary and no row is compared by position a second time.
+    """
     here = in_slice().rowsBetween(Window.unboundedPreceding, 0)
-    return filled.withColumns(
-        {
-            c: F.when(
-                F.col(KEY).isNotNull(),
-                F.coalesce(F.last(c, ignorenulls=True).over(here), F.col(f"_carry_{c}")),
-            )
-            for c in columns
-        }
-    ).drop(SLICE, *[f"_carry_{c}" for c in columns])
+    inside = with_slice(df, width_us).withColumns(
+        {c: F.last(c, ignorenulls=True).over(here) for c in columns}
+        | {"_end": F.lead(F.lit(True)).over(in_slice()).isNull()}
+    )
+    rows = materialize(inside, "filled-slices")
+    # Written, so that the known size of the summaries lets the rows be joined without a shuffle.
+    ends = materialize(rows.where("_end").select(*SLICE_KEYS, *columns), "slice-ends")
+    carry = (
+        ends.where(F.col(KEY).isNotNull())
+        .groupBy(*SLICE_KEYS)
+        .agg(*[F.max(c).alias(f"_last_{c}") for c in columns])
+        .select(
+            *SLICE_KEYS,
+            *[F.last(f"_last_{c}", ignorenulls=True).over(earlier_slices()).alias(f"_carry_{c}") for c in columns],
+        )
+    )
+    return rows.join(carry, SLICE_KEYS, "left").withColumns(
+        {c: F.when(F.col(KEY).isNotNull(), F.coalesce(c, f"_carry_{c}")) for c in columns}
+    ).select(*df.columns)
 
 
 def running_total(df: DataFrame, amount: Column, name: str, width_us: int) -> DataFrame:

@@ -219,11 +219,14 @@ class LiveJob:
             )
         both = materialize(_after(known, unique, unique.columns), "unfilled")
         filled = materialize(preprocess.fill_metrics(both, self.settings), "filled")
-        latest = filled.where(F.col("service_name").isNotNull()).groupBy("service_name").agg(
-            *[
-                F.max_by(c, F.when(F.col(c).isNotNull(), history.position())).alias(c)
-                for c in METRICS
-            ]
+        # Rows are filled, so the newest one of a service has all that is known; limited before the shuffle.
+        newest = Window.partitionBy(history.KEY).orderBy(F.col("ts_us").desc_nulls_first(), F.col("seq").desc())
+        latest = (
+            filled.where(F.col("service_name").isNotNull())
+            .select(history.KEY, "ts_us", "seq", *METRICS)
+            .withColumn("_rn", F.row_number().over(newest))
+            .where("_rn = 1")
+            .select(history.KEY, *METRICS)
         )
         self._write("fill", batch, latest)
         fresh = filled.where(~F.col("_old")).drop("_old")

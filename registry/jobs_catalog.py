@@ -10,7 +10,7 @@ from failwatch.functions.timeaxis import from_micros
 from failwatch.schemas import FEATURE_COLUMNS, MODEL_COLUMNS, SAMPLES, SAMPLE_COLUMNS, TREND_COLUMNS
 from failwatch.sinks import tables
 from failwatch.sources import samples as sources
-from failwatch.storage import materialize, new_path
+from failwatch.storage import materialize, names_in, new_path
 from failwatch.streaming import blocks, containers, operators as streams
 from failwatch.streaming.live import LiveJob
 from registry import adapter, oracle_parts as P
@@ -90,22 +90,36 @@ def snk3(spark, sf_dir):
                "ground_truth_label", "failure_type")
 
 
-def _sample_files(spark: SparkSession, sf_dir: str) -> str:
+def _sample_files(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     return _arriving(adapter.samples(spark, sf_dir).select(*_STREAM_SCHEMA.fieldNames(), "ts_us"), ["ts_us"])
 
 
-def _arriving(rows: DataFrame, helpers: list[str] = ()) -> str:
-    """The rows as files for a stream to pick up, written one after the other: rows
-    of one stretch of time each, some of them up to a minute late."""
-    path = new_path(rows.sparkSession, "arrivals")
-    first, last = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+#: Rows of an arrival that one task writes as a file of its own.
+ARRIVAL_ROWS = 250_000
+
+
+def _arriving(rows: DataFrame, helpers: list[str] = ()) -> tuple[str, int]:
+    """The rows as arrivals for a stream to pick up, written one after the other: rows
+    of one stretch of time each, some of them up to a minute late.
+
+    Gives the folder and the number of files per arrival, which grows with the rows, so that no
+    task writes or reads a whole arrival. Every arrival has that number, empty ones included."""
+    spark = rows.sparkSession
+    path = new_path(spark, "arrivals")
+    first, last, n = rows.agg(F.min("ts_us"), F.max("ts_us"), F.count("*")).first()
     delay = F.pmod(F.col("seq") * 7_368_787, F.lit(60_000_000))
     part = F.least(
         F.call_function("div", (F.col("ts_us") + delay - first) * FILES, F.lit(last - first + 1)), F.lit(FILES - 1)
     )
+    files = -(-n // (FILES * ARRIVAL_ROWS))
     for i in range(FILES):
-        rows.where(part == i).drop(*helpers).coalesce(1).write.mode("append").parquet(path)
-    return path
+        arrival = rows.where(part == i).drop(*helpers)
+        dealt = arrival.coalesce(1) if files == 1 else arrival.repartition(files)
+        dealt.write.mode("append").parquet(path)
+        # A task without rows writes no file, and a stream counts files.
+        for _ in range(files * (i + 1) - len([f for f in names_in(spark, path) if f.startswith("part-")])):
+            arrival.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return path, files
 
 
 #: The samples with the number of the file they arrive in.
@@ -114,9 +128,10 @@ ARRIVED = P.RAW + f""", arrived AS (
                     // (SELECT max(ts_us) - min(ts_us) + 1 FROM raw), {FILES - 1})::BIGINT AS part FROM raw)"""
 
 
-def _arrivals(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
-    path = _sample_files(spark, sf_dir)
-    return streams.read_samples_stream(spark, path, _STREAM_SCHEMA, files_per_batch=files_per_batch)
+def _arrivals(spark: SparkSession, sf_dir: str, per_batch: int | None = None) -> DataFrame:
+    """The samples as a stream, ``per_batch`` arrivals a micro-batch."""
+    path, files = _sample_files(spark, sf_dir)
+    return streams.read_samples_stream(spark, path, _STREAM_SCHEMA, files_per_batch=per_batch and per_batch * files)
 
 
 def _collected(stream: DataFrame, mode: str) -> DataFrame:
@@ -214,8 +229,8 @@ def _closed(rows: str) -> str:
 def str3(spark, sf_dir):
     """Frame features, labels and trends of a labelled stream in the engine's state, one file at a time."""
     labelled = adapter.stages(spark, sf_dir).classified.withColumn("timestamp", from_micros(F.col("ts_us")))
-    path = _arriving(labelled)
-    arrivals = streams.read_samples_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    path, files = _arriving(labelled)
+    arrivals = streams.read_samples_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=files)
     found = _collected(blocks.frames_stream(arrivals), "append")
     return out(found, *KEYS, "stack", "log_template", "ram_percent", "gc_count", "hybrid_label", "window_label", "window_rows",
                *FEATURES, "window_duration_seconds", *TREND_COLUMNS)
@@ -227,8 +242,8 @@ def str3(spark, sf_dir):
 def str7(spark, sf_dir):
     """The same stream into the audit and the ML table, a partition per micro-batch; both read back and joined."""
     labelled = adapter.stages(spark, sf_dir).classified.withColumn("timestamp", from_micros(F.col("ts_us")))
-    path = _arriving(labelled)
-    arrivals = streams.read_samples_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=2)
+    path, files = _arriving(labelled)
+    arrivals = streams.read_samples_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=2 * files)
     projects = materialize(labelled.select("stack", F.concat(F.lit("project_"), "stack").alias("project_id")).distinct(), "projects")
     audit, ml = new_path(spark, "audit"), new_path(spark, "ml")
     writer = blocks.windows_to_tables(arrivals, audit, ml, projects, new_path(spark, "checkpoint"))
@@ -293,7 +308,8 @@ def _live(spark: SparkSession, sf_dir: str) -> str:
     """Run the live job over the samples in four micro-batches; gives its folder."""
     folder = new_path(spark, "live")
     job = LiveJob(spark, folder, f"{folder}/state")
-    source = streams.read_samples_stream(spark, _sample_files(spark, sf_dir), _STREAM_SCHEMA, files_per_batch=2)
+    path, files = _sample_files(spark, sf_dir)
+    source = streams.read_samples_stream(spark, path, _STREAM_SCHEMA, files_per_batch=2 * files)
     job.start(source, f"{folder}/checkpoint", every=None).awaitTermination()
     job.finish()
     return folder

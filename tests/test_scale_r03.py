@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from failwatch.functions import text
 from failwatch.operators import classify, history
 from failwatch.settings import MINUTE_US
+from registry import jobs_catalog
 
 MIN = MINUTE_US
 
 
+def test_an_arrival_is_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jobs_catalog, "ARRIVAL_ROWS", 20)
+    # The second quarter of the time holds a single row, so most of its files are empty.
+    times = [*range(0, 100), 1_500, *range(2_000, 2_100), *range(3_900, 4_000)]
+    rows = spark.createDataFrame([(i, t * MIN) for i, t in enumerate(times)], "seq bigint, ts_us bigint")
+    path, files = jobs_catalog._arriving(rows)
+    written = sorted((os.stat(f"{path}/{f}").st_mtime_ns, f) for f in os.listdir(path) if f.startswith("part-"))
+    assert files == 4 and len(written) == files * jobs_catalog.FILES
+    arrivals = []
+    for i in range(jobs_catalog.FILES):
+        mine = [f"{path}/{f}" for _, f in written[i * files:(i + 1) * files]]
+        arrivals.append({r["seq"] for r in spark.read.schema(rows.schema).parquet(*mine).collect()})
+    assert [len(a) for a in arrivals] == [100, 1, 100, 100]
+    assert set.union(*arrivals) == set(range(len(times)))
+
+
+def test_few_rows_arrive_as_one_file(spark):
+    rows = spark.createDataFrame([(i, i * MIN) for i in range(40)], "seq bigint, ts_us bigint")
+    assert jobs_catalog._arriving(rows)[1] == 1
+
+
 def test_fill_compares_no_positions(spark):
     rows = [("a", 0, 1, 5.0), ("a", 0, 2, None), ("a", MIN, 3, None), ("a", 5 * MIN, 4, 7.0), ("a", None, 5, None),
             (None, 0, 6, None), (None, 0, 7, 3.0), (None, MIN, 8, None), ("b", 0, 9, None), ("b", 2 * MIN, 10, float("nan"))]

@@ -111,7 +111,7 @@ def _arriving(rows: DataFrame, helpers: list[str] = ()) -> tuple[str, int]:
     part = F.least(
         F.call_function("div", (F.col("ts_us") + delay - first) * FILES, F.lit(last - first + 1)), F.lit(FILES - 1)
     )
-    files = -(-n // (FILES * ARRIVAL_ROWS))
+    files = max(1, -(-n // (FILES * ARRIVAL_ROWS)))
     for i in range(FILES):
         arrival = rows.where(part == i).drop(*helpers)
         dealt = arrival.coalesce(1) if files == 1 else arrival.repartition(files)

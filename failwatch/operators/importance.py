@@ -16,9 +16,6 @@ SEED = 42
 HELD_OUT = 0.2
 #: The deepest trees the forest can grow.
 MAX_DEPTH = 30
-#: Rows that a tree is grown from, on average. They bound its leaves, so the forest, which the driver holds,
-#: does not grow with the table: every tree gets its own sample of all rows, with replacement.
-TREE_ROWS = 20_000
 #: Held-out rows among which a feature's values are exchanged.
 SHUFFLED_ROWS = 10_000
 
@@ -51,12 +48,13 @@ def row_counts(rows: DataFrame) -> DataFrame:
 
 
 def train_forest(
-    rows: DataFrame, trees: int = TREES, max_depth: int = MAX_DEPTH, tree_rows: int = TREE_ROWS
+    rows: DataFrame, trees: int = TREES, max_depth: int = MAX_DEPTH, tree_rows: int | None = None
 ) -> RandomForestClassificationModel:
+    """Every tree draws as many rows as there are, with replacement; ``tree_rows`` is for callers that want fewer."""
     known = rows.where(~F.col("held_out"))
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=1024,
-        subsamplingRate=min(1.0, tree_rows / max(1, known.count())), featureSubsetStrategy="sqrt",
+        subsamplingRate=min(1.0, tree_rows / max(1, known.count())) if tree_rows else 1.0, featureSubsetStrategy="sqrt",
         # Otherwise every pass sends all trees to all tasks and walks each row down each of them.
         cacheNodeIds=True,
     )

@@ -8,14 +8,18 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from failwatch.functions.metrics import is_failure
+from failwatch.operators import forest
 from failwatch.schemas import MODEL_COLUMNS, NOVEL_FEATURES
-from failwatch.storage import materialize
+from failwatch.storage import materialize, scratch
 
 TREES = 200
 SEED = 42
 HELD_OUT = 0.2
 #: The deepest trees the forest can grow.
 MAX_DEPTH = 30
+#: Training rows up to which Spark's trainer takes its split points from all of them and its trees are small enough
+#: for the driver.
+SPARK_ROWS = 10_000
 #: Held-out rows among which a feature's values are exchanged.
 SHUFFLED_ROWS = 10_000
 
@@ -49,16 +53,21 @@ def row_counts(rows: DataFrame) -> DataFrame:
 
 def train_forest(
     rows: DataFrame, trees: int = TREES, max_depth: int = MAX_DEPTH, tree_rows: int | None = None
-) -> RandomForestClassificationModel:
-    """Every tree draws as many rows as there are, with replacement; ``tree_rows`` is for callers that want fewer."""
+) -> RandomForestClassificationModel | forest.Forest:
+    """Every tree draws as many rows as there are, with replacement; ``tree_rows`` is for callers that want fewer.
+
+    Spark's trainer grows small forests; beyond, it would sample split points and keep all trees on the driver."""
     known = rows.where(~F.col("held_out"))
-    forest = RandomForestClassifier(
+    n = known.count()
+    if n > SPARK_ROWS and not tree_rows:
+        return forest.grow(known, trees, max_depth, SEED)
+    trainer = RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, seed=SEED, maxMemoryInMB=1024,
-        subsamplingRate=min(1.0, tree_rows / max(1, known.count())) if tree_rows else 1.0, featureSubsetStrategy="sqrt",
+        subsamplingRate=min(1.0, tree_rows / max(1, n)) if tree_rows else 1.0, featureSubsetStrategy="sqrt",
         # Otherwise every pass sends all trees to all tasks and walks each row down each of them.
         cacheNodeIds=True,
     )
-    return forest.fit(known)
+    return trainer.fit(known)
 
 
 def _shuffled(rows: DataFrame) -> DataFrame:
@@ -79,13 +88,14 @@ def _shuffled(rows: DataFrame) -> DataFrame:
     return moved.select("label", "feature", values.alias("values"))
 
 
-def permutation_importance(model: RandomForestClassificationModel, rows: DataFrame) -> DataFrame:
+def permutation_importance(model: RandomForestClassificationModel | forest.Forest, rows: DataFrame) -> DataFrame:
     """(feature, loss): accuracy lost on ``rows`` when a feature's values change places.
 
     All features and the untouched rows are scored in one pass; no rows gives no result."""
     plain = rows.select("label", "draw", vector_to_array("features").alias("values"))
     whole = plain.select("label", F.lit(-1).alias("feature"), "values")
-    scored = model.transform(whole.union(_shuffled(plain)).withColumn("features", array_to_vector("values")))
+    versions = whole.union(_shuffled(plain)).select("label", "feature", array_to_vector("values").alias("features"))
+    scored = model.transform(versions)
     right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
     accuracy = scored.groupBy("feature").agg(right.alias("accuracy"))
     base = F.max(F.when(F.col("feature") == -1, F.col("accuracy"))).over(Window.partitionBy())
@@ -116,9 +126,10 @@ def feature_importance(windows: DataFrame, trees: int = TREES, max_depth: int =
     rows = materialize(training_rows(windows), "training")
     if rows.where(~F.col("held_out")).isEmpty():
         return _ranked(windows.sparkSession, [0.0] * len(MODEL_COLUMNS), {}).limit(0)
-    model = train_forest(rows, trees, max_depth)
-    # Twelve rows.
-    lost = permutation_importance(model, rows.where("held_out")).collect()
+    with scratch(windows.sparkSession):
+        model = train_forest(rows, trees, max_depth)
+        # Twelve rows.
+        lost = permutation_importance(model, rows.where("held_out")).collect()
     losses = {r["feature"]: r["loss"] for r in lost}
     return _ranked(windows.sparkSession, list(model.featureImportances.toArray()), losses)
 
